@@ -39,13 +39,13 @@ def salted_join(fact: DataFrame, table: DataFrame, key: str, row_id: str, how: s
     spread = F.col("_hot") | F.col(key).isNull()
     left = (
         fact.join(hot, key, "left")
-        .withColumn("_salt", F.when(spread, F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0).cast("bigint")))
+        .withColumn("_salt", F.when(spread, F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = (
         table.join(hot, key, "left")
-        .withColumn("_salt", F.explode(copies).cast("bigint"))
+        .withColumn("_salt", F.explode(copies))
         .drop("_hot")
     )
     return left.join(right, [key, "_salt"], how).drop("_salt")

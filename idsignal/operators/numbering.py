@@ -36,18 +36,17 @@ def group_ordinals(rows: DataFrame, group: str, level: str, order_id: str, name:
     any size splits into (level, id range) chunks of at most `chunk` rows that
     are numbered in parallel; a running total over chunk sizes joins them up.
     """
-    chunked = rows.withColumn("_chunk", F.floor(F.col(order_id) / chunk))
-    parts = [group, level, "_chunk"]
-    before = Window.partitionBy(group).orderBy(F.desc(level), "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # A struct keeps rows of a null group joinable by plain equality.
+    chunked = rows.withColumn("_group", F.struct(group)).withColumn("_chunk", F.floor(F.col(order_id) / chunk))
+    parts = ["_group", level, "_chunk"]
+    before = Window.partitionBy("_group").orderBy(F.desc(level), "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         chunked.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
-        .select(*[F.col(part).alias(f"_at_{part}") for part in parts],
-                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(*parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    same = [F.col(part).eqNullSafe(F.col(f"_at_{part}")) for part in parts]
     within = F.row_number().over(Window.partitionBy(*parts).orderBy(order_id))
     return (
-        chunked.join(offsets, same)
+        chunked.join(offsets, parts)
         .withColumn(name, F.col("_before") + within)
         .select(*rows.columns, name)
     )

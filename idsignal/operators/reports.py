@@ -184,12 +184,11 @@ def trend_window(logs: DataFrame, as_of: Column | None = None) -> DataFrame:
     """
     now = as_of if as_of is not None else logs.agg(F.max("event_ts")).scalar()
     ranges = [("24h", 1), ("7d", 7), ("30d", 30)]
-    timed = logs.select("event_ts", "alert_score").withColumn("_now", now)
-    step = F.when(F.col("event_ts") >= F.col("_now") - F.expr(f"interval {ranges[0][1]} days"), 0)
-    for place, (_, days) in enumerate(ranges[1:], 1):
-        step = step.when(F.col("event_ts") >= F.col("_now") - F.expr(f"interval {days} days"), place)
-    step = step.when(F.col("event_ts") >= F.col("_now") - F.expr("interval 12 months"), len(ranges))
-    totals = _day_totals(timed.withColumn("_step", step).where(F.col("_step").isNotNull()), ["_step"])
+    timed = logs.select("event_ts", "alert_score").where(F.col("event_ts") >= now - F.expr("interval 12 months"))
+    step = F.lit(len(ranges))
+    for place, (_, days) in reversed(list(enumerate(ranges))):
+        step = F.when(F.col("event_ts") >= F.col("_now") - F.expr(f"interval {days} days"), place).otherwise(step)
+    totals = _day_totals(timed.withColumn("_now", now).withColumn("_step", step), ["_step"])
     names = F.array(*[F.lit(name) for name, _ in ranges], F.lit("365d"))
     widened = totals.select(
         F.explode(F.slice(names, F.col("_step") + 1, F.lit(len(ranges) + 1))).alias("range"),

@@ -8,18 +8,20 @@ MALFORMED = "malformed payload"
 NOT_AN_EVENT = "not an event object"
 
 
-def _field(path: str) -> Column:
-    return F.try_variant_get(F.col("element"), f"$.{path}", "string")
+def _json(path: str) -> Column:
+    """JSON text of a field; a missing key and a JSON null are both null."""
+    return F.nullif(F.to_json(F.try_variant_get(F.col("element"), f"$.{path}", "variant")), F.lit("null"))
 
 
-def _error_json() -> Column:
-    return F.to_json(F.try_variant_get(F.col("element"), "$.errorCode", "variant"))
+def _field(path: str) -> Column:
+    """A field as text; objects and arrays keep their JSON form."""
+    return F.coalesce(F.try_variant_get(F.col("element"), f"$.{path}", "string"), _json(path))
 
 
 def _has_error() -> Column:
     """Whether errorCode is a non-empty string, a non-zero number, true, or a filled container."""
-    text = _error_json()
-    empty = text.isin("null", '""', "false", "{}", "[]") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    text = _json("errorCode")
+    empty = text.isin('""', "false", "{}", "[]") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
     return F.coalesce(~empty, F.lit(False))
 
 
@@ -31,29 +33,30 @@ def scan_elements(requests: DataFrame, keep_empty: bool = False, unwrap_records:
     rejected row. `keep_empty` keeps requests with an empty array as a row with
     null pos; `unwrap_records` accepts the {"Records": [...]} wrapper.
     """
-    parsed = requests.withColumn("document", F.try_parse_json("payload"))
-    is_array = F.ltrim("payload").startswith("[")
+    document = F.try_parse_json("payload")
+    parsed = requests.select("request_id", "payload", document.alias("document"), F.ltrim("payload").startswith("[").alias("_array"))
     if unwrap_records:
-        inner = F.try_variant_get("document", "$.Records", "variant")
-        wrapped = F.to_json(inner).startswith("[") & ~is_array
-        is_array = is_array | F.coalesce(wrapped, F.lit(False))
-        parsed = parsed.withColumn("document", F.when(wrapped, inner).otherwise(F.col("document")))
+        records = F.try_variant_get("document", "$.Records", "variant")
+        wrapped = ~F.col("_array") & F.coalesce(F.to_json(records).startswith("["), F.lit(False))
+        parsed = parsed.select(
+            "request_id", "payload", F.when(wrapped, records).otherwise(F.col("document")).alias("document"),
+            (F.col("_array") | wrapped).alias("_array"))
     elements = (
         F.when(F.col("document").isNull(), F.array(F.lit(None).cast("variant")))
-        .when(is_array, F.col("document").cast("array<variant>"))
+        .when(F.col("_array"), F.col("document").cast("array<variant>"))
         .otherwise(F.array("document"))
     )
     explode = F.posexplode_outer if keep_empty else F.posexplode
     rows = parsed.select("request_id", "payload", F.col("document").isNull().alias("_malformed"),
                          explode(elements).alias("pos", "element"))
-    raw = F.to_json("element")
+    is_object = F.try_variant_get("element", "$", "struct<eventName: variant>").isNotNull()
     rejected = (
         F.when(F.col("_malformed"), MALFORMED)
-        .when(F.col("pos").isNotNull() & ~F.coalesce(raw.startswith("{"), F.lit(False)), NOT_AN_EVENT)
+        .when(F.col("pos").isNotNull() & ~is_object, NOT_AN_EVENT)
     )
     return rows.select(
         "request_id", "pos", "element",
-        F.when(F.col("_malformed"), F.col("payload")).otherwise(raw).alias("raw_event"),
+        F.when(F.col("_malformed"), F.col("payload")).otherwise(F.to_json("element")).alias("raw_event"),
         rejected.alias("rejected"),
     )
 
@@ -76,11 +79,11 @@ def event_fields(elements: DataFrame, keep_empty: bool = False) -> DataFrame:
         _field("eventName").alias("event_name"),
         _field("userIdentity.userName").alias("user_name"),
         _field("userIdentity.arn").alias("arn"),
-        F.try_variant_get("element", "$.userIdentity", "variant").isNotNull().alias("has_identity"),
+        _json("userIdentity").isNotNull().alias("has_identity"),
         _field("sourceIPAddress").alias("source_ip_address"),
         _field("awsRegion").alias("aws_region"),
         _field("eventSource").alias("event_source"),
-        F.coalesce(_field("errorCode"), _error_json()).alias("error_code"),
+        _field("errorCode").alias("error_code"),
         _has_error().alias("has_error"),
         "raw_event",
     )
