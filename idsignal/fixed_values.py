@@ -6,6 +6,11 @@ here as plain text and used by name everywhere else.
 
 # -- fixed values: parsing ----------------------------------------------------
 UNKNOWN = "unknown"
+WHITESPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+JSON_WHITESPACE = " \t\n\r"
 IPV4_TOKEN = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 IPV4_SHAPE = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$"
 IAM_SOURCE = "iam.amazonaws.com"

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from idsignal import fixed_values as fv
+from idsignal.functions.text import strip
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _STRICT_IPV4 = f"^({_OCTET}[.]){{3}}{_OCTET}$"
@@ -18,12 +19,12 @@ def extract_ip(text: Column) -> Column:
 
 
 def is_blank_ip(ip: Column) -> Column:
-    return ip.isNull() | F.lower(F.trim(ip)).isin(fv.BLANK_IPS)
+    return ip.isNull() | F.lower(strip(ip)).isin(fv.BLANK_IPS)
 
 
 def repair_ip(ip: Column) -> Column:
     """Four octets from whatever digits the text has: pad with 0, cut at 4, cap at 255."""
-    octets = F.filter(F.split(F.trim(ip), "[.]"), lambda part: part.rlike("^[0-9]+$"))
+    octets = F.filter(F.split(strip(ip), "[.]"), lambda part: part.rlike("^[0-9]+$"))
     padded = F.slice(F.concat(octets, F.array_repeat(F.lit("0"), 4)), 1, 4)
 
     def capped(part):

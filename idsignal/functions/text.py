@@ -7,7 +7,7 @@ from idsignal import fixed_values as fv
 
 def strip(text: Column) -> Column:
     """Remove all leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(fv.WHITESPACE))
 
 
 def clean_value(text: Column, default: str = "Unknown") -> Column:

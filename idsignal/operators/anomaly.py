@@ -156,38 +156,43 @@ def load_or_train(path: str, featured: DataFrame, row_id: str, **settings) -> Da
 
 
 def _pack(nodes: pd.DataFrame) -> dict:
-    """All trees in flat arrays; child links become positions in them."""
+    """All trees in flat arrays; child links become positions in them.
+
+    A row goes right where low < x <= high. For an action split x is the action's
+    code and the bounds enclose one code; a leaf encloses nothing and links to itself.
+    """
     nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
     first = nodes.groupby("tree_id")["node_id"].transform(lambda ids: ids.index[0]).to_numpy()
     names = sorted(nodes["category"].dropna().unique())
-    codes = {name: code for code, name in enumerate(names)}
+    codes = {name: float(code) for code, name in enumerate(names)}
+    feature = nodes["feature"].to_numpy()
+    code = nodes["category"].map(codes).to_numpy(dtype=float)
+    by_action = feature == ACTION_SPLIT
+    low = np.where(by_action, code - 0.5, nodes["threshold"].to_numpy())
     return {
         "roots": np.unique(first),
-        "feature": nodes["feature"].to_numpy(),
-        "threshold": nodes["threshold"].to_numpy(),
-        "action": nodes["category"].map(codes).fillna(-2).astype(int).to_numpy(),
-        "left": first + nodes["left_id"].to_numpy(),
-        "right": first + nodes["right_id"].to_numpy(),
+        "depth": int(np.ceil(np.log2(max(nodes["sample_size"].max(), 2)))),
+        "feature": np.maximum(feature, 0),
+        "low": np.where(feature == LEAF, np.inf, low),
+        "high": np.where(by_action, code + 0.5, np.inf),
+        "child": np.stack([first + nodes["left_id"].to_numpy(), first + nodes["right_id"].to_numpy()], axis=1).ravel(),
         "length": nodes["path_length"].to_numpy(),
         "codes": codes,
         "unit": float(mean_path(nodes["sample_size"].max())),
     }
 
 
-def _isolation(forest: dict, values: np.ndarray, actions: np.ndarray) -> np.ndarray:
-    """2^(-mean path / expected path) for each row."""
-    rows = np.arange(len(values))
+def _isolation(forest: dict, values: np.ndarray) -> np.ndarray:
+    """2^(-mean path / expected path) for each row of (numeric columns, action code)."""
+    width, flat = values.shape[1], np.ascontiguousarray(values).ravel()
+    start = np.arange(len(values)) * width
     total = np.zeros(len(values))
     for root in forest["roots"]:
         at = np.full(len(values), root)
-        while True:
-            feature = forest["feature"][at]
-            inner = feature != LEAF
-            if not inner.any():
-                break
-            number = values[rows, np.clip(feature, 0, len(NUMERIC) - 1)] > forest["threshold"][at]
-            right = np.where(feature == ACTION_SPLIT, actions == forest["action"][at], number)
-            at = np.where(inner, np.where(right, forest["right"][at], forest["left"][at]), at)
+        for _ in range(forest["depth"]):
+            x = flat[start + forest["feature"][at]]
+            right = (x > forest["low"][at]) & (x <= forest["high"][at])
+            at = forest["child"][2 * at + right]
         total += forest["length"][at]
     return np.power(2.0, -total / len(forest["roots"]) / max(forest["unit"], 1e-12))
 
@@ -199,8 +204,8 @@ def raw_scores(featured: DataFrame, forest: DataFrame, name: str = "raw_score")
     @F.pandas_udf("double")
     def isolation(numbers: pd.DataFrame, action: pd.Series) -> pd.Series:
         trees = packed.value
-        codes = action.map(trees["codes"]).fillna(-1).astype(int).to_numpy()
-        return pd.Series(_isolation(trees, numbers[NUMERIC].to_numpy(dtype=float), codes))
+        codes = action.map(trees["codes"]).fillna(-1.0)
+        return pd.Series(_isolation(trees, numbers[NUMERIC].astype(float).assign(action=codes).to_numpy()))
 
     return featured.withColumn(name, isolation(F.struct(*NUMERIC), F.col("action_top")))
 

@@ -64,3 +64,8 @@ def final_scores(featured: DataFrame, model: PipelineModel) -> DataFrame:
         .withColumn("predicted", F.col("prediction").cast("int"))
         .drop("features", "rawPrediction", "probability", "prediction", "_p")
     )
+
+
+def preview(final: DataFrame, row_id: str, limit: int = 10) -> DataFrame:
+    """The short list shown after a run."""
+    return final.orderBy(row_id).limit(limit).select("timestamp", "user", "src_ip", "final_priority")

@@ -176,22 +176,40 @@ def _trend_output(totals: DataFrame, extra: list[str]) -> DataFrame:
     return totals.select(*extra, "day", F.col("_n").alias("alert_count"), F.coalesce(mean, F.lit(0.0)).alias("avg_risk"))
 
 
+RANGES = {"24h": "1 day", "7d": "7 days", "30d": "30 days", "365d": "12 months"}
+
+
+def trend_since(logs: DataFrame, span: str = "30d", as_of: Column | None = None) -> DataFrame:
+    """The daily trend over one span before `as_of` (default: the newest event).
+
+    Logs partitioned by a `dt` column are read only for the days of the span.
+    """
+    now = as_of if as_of is not None else logs.agg(F.max("event_ts")).scalar()
+    since = now - F.expr(f"interval {RANGES[span]}")
+    recent = logs.where(F.col("event_ts") >= since)
+    if "dt" in logs.columns:
+        recent = recent.where(F.col("dt") >= F.to_date(since))
+    return daily_trend(recent)
+
+
 def trend_window(logs: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """The daily trend over the last 24h, 7d, 30d and 365d before `as_of`.
+    """The daily trend over all spans at once.
 
-    The ranges nest, so each row is counted once under the shortest range that
-    holds it and the small day table is then added up per range.
+    The spans nest, so each row is counted once under the shortest span that
+    holds it and the small day table is then added up per span.
     """
     now = as_of if as_of is not None else logs.agg(F.max("event_ts")).scalar()
-    ranges = [("24h", 1), ("7d", 7), ("30d", 30)]
-    timed = logs.select("event_ts", "alert_score").where(F.col("event_ts") >= now - F.expr("interval 12 months"))
-    step = F.lit(len(ranges))
-    for place, (_, days) in reversed(list(enumerate(ranges))):
-        step = F.when(F.col("event_ts") >= F.col("_now") - F.expr(f"interval {days} days"), place).otherwise(step)
-    totals = _day_totals(timed.withColumn("_now", now).withColumn("_step", step), ["_step"])
-    names = F.array(*[F.lit(name) for name, _ in ranges], F.lit("365d"))
+    names = list(RANGES)
+    recent = logs.select("event_ts", "alert_score").where(
+        F.col("event_ts") >= now - F.expr(f"interval {RANGES[names[-1]]}"))
+    step = F.lit(len(names) - 1)
+    for place in reversed(range(len(names) - 1)):
+        inside = F.col("event_ts") >= F.col("_now") - F.expr(f"interval {RANGES[names[place]]}")
+        step = F.when(inside, place).otherwise(step)
+    totals = _day_totals(recent.withColumn("_now", now).withColumn("_step", step), ["_step"])
+    labels = F.array(*[F.lit(name) for name in names])
     widened = totals.select(
-        F.explode(F.slice(names, F.col("_step") + 1, F.lit(len(ranges) + 1))).alias("range"),
+        F.explode(F.slice(labels, F.col("_step") + 1, F.lit(len(names)))).alias("range"),
         "day", "_n", "_sum", "_scored")
     summed = widened.groupBy("range", "day").agg(*[F.sum(c).alias(c) for c in ("_n", "_sum", "_scored")])
     return _trend_output(summed, ["range"]).orderBy("range", "day")

@@ -618,6 +618,13 @@ def trend_window(spark, sf):
     return reports.trend_window(wh_fact(spark, sf))
 
 
+@query("trend_last_week", fx.oracle(fact=fx.WH_FACT) + f"""
+select strftime(event_ts, '%Y-%m-%d') as day, {TREND_VALUE} from fact
+where event_ts >= (select max(event_ts) from fact) - interval 7 day group by 1""")
+def trend_last_week(spark, sf):
+    return reports.trend_since(wh_fact(spark, sf), "7d")
+
+
 INSIGHT_RAW = "case when username is null or username = '' then 'Unknown' else username end"
 INSIGHTS = f"""
 select id, shown as "user", case when alert_score > 0.8 then '{fv.LOCKDOWN_ADVICE[0]}' || shown || '{fv.LOCKDOWN_ADVICE[1]}'
@@ -794,7 +801,15 @@ def stream_alert_store(spark, sf):
     streams.start_alert_stream(
         stream_fixture(spark, sf, fx.RAW_LINES), store, fresh_path(spark, "feed"), fresh_path(spark, "offsets"),
         {"availableNow": True}, timestamp=F.col("event_ts")).awaitTermination()
-    return streams.stored_alerts(spark, store)
+    return streams.stored_rows(spark, store)
+
+
+@query("stream_raw_landing", ORACLES["raw_landing"])
+def stream_raw_landing(spark, sf):
+    path = fresh_path(spark, "landing")
+    streams.start_landing(stream_fixture(spark, sf, fx.RAW_LINES), path, fresh_path(spark, "offsets"),
+                          {"availableNow": True}, F.col("event_ts")).awaitTermination()
+    return streams.stored_rows(spark, path)
 
 
 @query("stream_severity_counts", fx.oracle(**CT) + "select priority as severity, count(*) as v from scored group by 1")

@@ -34,7 +34,10 @@ def scan_elements(requests: DataFrame, keep_empty: bool = False, unwrap_records:
     null pos; `unwrap_records` accepts the {"Records": [...]} wrapper.
     """
     document = F.try_parse_json("payload")
-    parsed = requests.select("request_id", "payload", document.alias("document"), F.ltrim("payload").startswith("[").alias("_array"))
+    parsed = requests.select(
+        "request_id", "payload", document.alias("document"),
+        F.ltrim(F.col("payload"), F.lit(fv.JSON_WHITESPACE)).startswith("[").alias("_array"),
+    )
     if unwrap_records:
         records = F.try_variant_get("document", "$.Records", "variant")
         wrapped = ~F.col("_array") & F.coalesce(F.to_json(records).startswith("["), F.lit(False))

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from idsignal import schemas
 from idsignal.operators import warehouse
-from idsignal.workspace import stage
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -57,7 +56,7 @@ def load_star(logs: DataFrame, base: str, ti_country: str = "country") -> None:
         (actions, "action", "action_name", "action_id", "actions"),
     ]:
         fresh = warehouse.fresh_rows(existing, warehouse.distinct_keys(logs, column, key), key, id_name)
-        append_parquet(stage(fresh, name), f"{base}/{name}")
+        append_parquet(fresh, f"{base}/{name}")
 
     details = read_ip_details(spark, base)
     version = (details.agg(F.max("version")).first()[0] or 0) + 1

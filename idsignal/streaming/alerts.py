@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from idsignal import schemas
-from idsignal.plans.analysis import line_alerts
+from idsignal.plans.analysis import line_alerts, raw_landing
 
 FEED = ["id", "src_ip", "event_type", "severity", "risk_score"]
 REFRESH = {"processingTime": "30 seconds"}
@@ -50,6 +50,18 @@ def start_alert_stream(lines: DataFrame, store: str, feed: str, checkpoint: str,
     return _start(lines, process, checkpoint, trigger, "append")
 
 
+def start_landing(lines: DataFrame, path: str, checkpoint: str, trigger: dict,
+                  created_at: Column | None = None) -> StreamingQuery:
+    """Land raw lines with their normalised form, not yet processed."""
+    stamp = created_at if created_at is not None else F.current_timestamp().cast("timestamp_ntz")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch if "event_id" in batch.columns else number_lines(batch, batch_id)
+        write_batch(raw_landing(numbered, stamp, F.col("event_id")), batch_id, path)
+
+    return _start(lines, process, checkpoint, trigger, "append")
+
+
 def start_severity_counts(alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Running alert count per severity, refreshed every 30 seconds."""
     counts = alerts.groupBy("severity").agg(F.count(F.lit(1)).alias("v"))
@@ -65,7 +77,7 @@ def _start(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpo
     )
 
 
-def stored_alerts(spark: SparkSession, path: str) -> DataFrame:
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 

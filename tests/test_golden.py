@@ -81,6 +81,11 @@ def test_quarantine_keeps_good_elements(spark):
     assert [(r.request_id, r.pos) for r in good] == [(0, 0), (0, 4), (4, 0)]
 
 
+def test_payload_may_start_with_whitespace(spark):
+    rows = requests(spark, "\n\t [" + json.dumps(SAMPLE[0]) + "]", "\r\n" + json.dumps(SAMPLE[1]))
+    assert payloads.event_fields(payloads.scan_elements(rows)).count() == 2
+
+
 def test_records_wrapper_is_optional(spark):
     wrapped = requests(spark, {"Records": SAMPLE})
     assert payloads.event_fields(payloads.scan_elements(wrapped)).first().event_name is None
@@ -131,8 +136,8 @@ def test_names(spark):
         "Security Monitor Bot", "Backup Service Account"]
     assert applied(spark, text.insight_name, ["admin", "ADMIN", "Level6", None]) == [
         "Admin Account", "Admin", "Production IAM Role", "Unknown"]
-    assert applied(spark, text.clean_value, [None, "\tNaN\n", "none ", "", " x y "]) == [
-        "Unknown", "Unknown", "Unknown", "Unknown", "x y"]
+    assert applied(spark, text.clean_value, [None, "\tNaN\n", "none ", "", " x y ", "\u3000x\xa0"]) == [
+        "Unknown", "Unknown", "Unknown", "Unknown", "x y", "x"]
 
 
 def test_times(spark):

@@ -86,6 +86,8 @@ def test_fusion(spark, sf, tmp_path):
     assert len(rows) == featured.count()
     assert all(0 <= r.final_score <= 100 and 0 <= r.p_high <= 1 for r in rows)
     assert {r.final_priority for r in rows} <= {"LOW", "MEDIUM", "HIGH", "CRITICAL"}
+    shown = fusion.preview(fusion.final_scores(featured.withColumn("timestamp", F.col("event_ts")), model), "id").collect()
+    assert len(shown) == 10 and shown[0].asDict().keys() == {"timestamp", "user", "src_ip", "final_priority"}
     loaded = fusion.load_or_train(path, featured, "id", trees=10)
     assert {r.id: r.final_score for r in fusion.final_scores(featured, loaded).collect()} == {r.id: r.final_score for r in rows}
 

@@ -22,7 +22,7 @@ def test_text_lines_restart_and_ids(spark, tmp_path):
 
     def run():
         streams.start_alert_stream(lines.stream_lines(spark, str(source)), store, feed, offsets, NOW).awaitTermination()
-        return streams.stored_alerts(spark, store).collect()
+        return streams.stored_rows(spark, store).collect()
 
     assert [r.risk_score for r in sorted(run(), key=lambda r: r.id)] == [15, 15, 0]
     assert len(run()) == 3
