@@ -16,7 +16,11 @@ IPV4_SHAPE = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$"
 IAM_SOURCE = "iam.amazonaws.com"
 BLANK_WORDS = ["nan", "none", "", "null"]
 BLANK_IPS = ["", "-", "unknown", "none", "nan"]
-TIME_FORMATS = ["yyyy-M-d H:m:s", "yyyy-M-d"]
+# (what the text must look like, how it is read)
+TIME_FORMATS = [
+    ("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$", "yyyy-M-d H:m:s"),
+    ("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "yyyy-M-d"),
+]
 
 # -- fixed values: risk rules -------------------------------------------------
 SENSITIVE_ACTIONS = [

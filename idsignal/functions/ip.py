@@ -24,7 +24,8 @@ def is_blank_ip(ip: Column) -> Column:
 
 def repair_ip(ip: Column) -> Column:
     """Four octets from whatever digits the text has: pad with 0, cut at 4, cap at 255."""
-    octets = F.filter(F.split(strip(ip), "[.]"), lambda part: part.rlike("^[0-9]+$"))
+    trimmed = strip(ip)
+    octets = F.filter(F.split(trimmed, "[.]"), lambda part: part.rlike("^[0-9]+$"))
     padded = F.slice(F.concat(octets, F.array_repeat(F.lit("0"), 4)), 1, 4)
 
     def capped(part):
@@ -34,11 +35,11 @@ def repair_ip(ip: Column) -> Column:
             .otherwise(F.least(digits.cast("int"), F.lit(255)).cast("string"))
         )
 
-    return F.when(~is_blank_ip(ip), F.array_join(F.transform(padded, capped), "."))
-
-
-def has_four_octets(ip: Column) -> Column:
-    return F.size(F.split(ip, "[.]")) == 4
+    # Most addresses are whole already and skip the array work.
+    return (
+        F.when(trimmed.rlike(_STRICT_IPV4), trimmed)
+        .when(~is_blank_ip(ip), F.array_join(F.transform(padded, capped), "."))
+    )
 
 
 def is_internal(ip: Column, rfc1918: bool = False) -> Column:

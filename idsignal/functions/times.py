@@ -11,8 +11,13 @@ def coerce_time(text: Column) -> Column:
 
 
 def parse_time(text: Column, fallback: Column) -> Column:
-    """The two accepted formats in order, else `fallback` (the ingest time)."""
-    attempts = [F.try_to_timestamp(text, F.lit(pattern)) for pattern in fv.TIME_FORMATS]
+    """The two accepted formats in order, else `fallback` (the ingest time).
+
+    The shape is tested first because a failed parse costs an exception.
+    """
+    attempts = [
+        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))) for shape, pattern in fv.TIME_FORMATS
+    ]
     return F.coalesce(*attempts, fallback)
 
 

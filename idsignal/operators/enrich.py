@@ -3,15 +3,19 @@
 from pyspark.sql import DataFrame, functions as F
 
 from idsignal import fixed_values as fv
-from idsignal.functions.ip import has_four_octets, repair_ip
+from idsignal.functions.ip import is_blank_ip, repair_ip
 from idsignal.functions.scores import reputation_score
 from idsignal.operators.lookup import lookup
 
 
 def valid_ips(rows: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """Distinct repaired addresses."""
-    repaired = rows.select(repair_ip(F.col(ip)).alias("src_ip"))
-    return repaired.where(F.col("src_ip").isNotNull() & has_four_octets(F.col("src_ip"))).distinct()
+    """Distinct repaired addresses.
+
+    Raw values are made distinct first, so each is repaired once. A repaired
+    address always has four octets; blank ones are dropped before.
+    """
+    raw = rows.where(~is_blank_ip(F.col(ip))).select(F.col(ip).alias("src_ip")).distinct()
+    return raw.select(repair_ip(F.col("src_ip")).alias("src_ip")).distinct()
 
 
 def enrich(rows: DataFrame, reputation: DataFrame, row_id: str, broadcast: bool | None = None) -> DataFrame:

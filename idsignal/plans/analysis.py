@@ -15,9 +15,9 @@ def analyze_events(events: DataFrame) -> DataFrame:
     return with_explanation(with_risk(parse_events(events)))
 
 
-def analyze_payloads(requests: DataFrame) -> DataFrame:
+def analyze_payloads(requests: DataFrame, keep_raw: bool = True) -> DataFrame:
     """(request_id, payload) rows to scored, explained alerts in payload order."""
-    return analyze_events(event_fields(scan_elements(requests)))
+    return analyze_events(event_fields(scan_elements(requests, keep_raw)))
 
 
 def line_alerts(lines: DataFrame, id_column: Column, timestamp: Column, auth_rule: bool = False) -> DataFrame:

@@ -145,7 +145,7 @@ select request_id, pos, strftime(event_ts, '%Y-%m-%dT%H:%M:%SZ') as event_time,
  source_ip_address, aws_region, event_source, error_code, length(coalesce(error_code, '')) > 0 as has_error from parsed""")
 def ct_payload_scan(spark, sf):
     requests = fx.payload_requests(ct_events(spark, sf))
-    return payloads.event_fields(payloads.scan_elements(requests)).drop("raw_event", "has_identity")
+    return payloads.event_fields(payloads.scan_elements(requests, keep_raw=False)).drop("has_identity")
 
 
 @query("payload_quarantine", fx.oracle(ct_events=fx.CT_EVENTS) + f"""
@@ -154,7 +154,7 @@ union all select event_id, p, '{payloads.NOT_AN_EVENT}' from ct_events join (val
  on event_id % 7 = 3
 union all select event_id, 0, '{payloads.NOT_AN_EVENT}' from ct_events where event_id % 7 = 5""")
 def payload_quarantine(spark, sf):
-    return payloads.quarantined(payloads.scan_elements(fx.payload_cases(ct_events(spark, sf)))).drop("raw_event")
+    return payloads.quarantined(payloads.scan_elements(fx.payload_cases(ct_events(spark, sf)), keep_raw=False))
 
 
 @query("ct_parsed", fx.oracle(**CT) + """
@@ -221,7 +221,7 @@ select request_id, total_logs, total_logs as total_alerts, pos as top_pos, actio
 from (select *, count(*) over (partition by request_id) as total_logs,
   row_number() over (partition by request_id order by risk_score desc, pos) as place from scored) where place = 1""")
 def request_summary(spark, sf):
-    return reports.request_summary(analysis.analyze_payloads(fx.payload_requests(ct_events(spark, sf))))
+    return reports.request_summary(analysis.analyze_payloads(fx.payload_requests(ct_events(spark, sf)), keep_raw=False))
 
 
 @query("kpi_cards", fx.oracle(**CT) + """
@@ -232,7 +232,7 @@ select event_id as request_id,
  case when event_id % 7 in (0, 1, 3) then priority when event_id % 7 = 6 then 'CRITICAL' else 'SAFE' end as top_priority
 from scored""")
 def kpi_cards(spark, sf):
-    elements = payloads.scan_elements(fx.payload_cases(ct_events(spark, sf)), keep_empty=True)
+    elements = payloads.scan_elements(fx.payload_cases(ct_events(spark, sf)), keep_raw=False, keep_empty=True)
     return reports.kpi_cards(with_risk(events.parse_events(payloads.event_fields(elements, keep_empty=True))))
 
 

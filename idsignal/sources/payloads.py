@@ -7,65 +7,94 @@ from idsignal import fixed_values as fv
 MALFORMED = "malformed payload"
 NOT_AN_EVENT = "not an event object"
 
+# errorCode stays a variant because its truth depends on its JSON type.
+EVENT = (
+    "struct<eventTime: string, eventName: string, sourceIPAddress: string, awsRegion: string, "
+    "eventSource: string, errorCode: variant, userIdentity: struct<userName: string, arn: string>>"
+)
+STRICT = {"allowSingleQuotes": "false"}
 
-def _json(path: str) -> Column:
-    """JSON text of a field; a missing key and a JSON null are both null."""
-    return F.nullif(F.to_json(F.try_variant_get(F.col("element"), f"$.{path}", "variant")), F.lit("null"))
 
+def _once(value: Column, use) -> Column:
+    """`use(value)` with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
-def _field(path: str) -> Column:
-    """A field as text; objects and arrays keep their JSON form."""
-    return F.coalesce(F.try_variant_get(F.col("element"), f"$.{path}", "string"), _json(path))
 
+def _only(documents: Column) -> Column:
+    """The one document of an array; null if there is none or another follows."""
+    return _once(documents, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
-def _has_error() -> Column:
-    """Whether errorCode is a non-empty string, a non-zero number, true, or a filled container."""
-    text = _json("errorCode")
-    empty = text.isin('""', "false", "{}", "[]") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
-    return F.coalesce(~empty, F.lit(False))
+
+def _parsed(payload: Column, is_array: Column, unwrap_records: bool) -> Column:
+    """Array of events in one pass over the text; null if any element is not an object.
+
+    The text is read inside brackets, so anything after the document makes it malformed.
+    """
+    def read(kind: str) -> Column:
+        return _only(F.from_json(F.concat(F.lit("["), payload, F.lit("]")), f"array<{kind}>", STRICT))
+
+    single = _once(read(EVENT), lambda event: F.when(event.isNotNull(), F.array(event)))
+    if unwrap_records:
+        single = F.coalesce(read(f"struct<Records: array<{EVENT}>>")["Records"], single)
+    return F.when(is_array, read(f"array<{EVENT}>")).otherwise(single)
+
+
+def _salvaged(document: Column, is_array: Column) -> Column:
+    """Array of events element by element; what is not an object becomes null."""
+    parts = F.when(is_array, document.cast("array<variant>")).otherwise(F.array(document))
+    events = F.transform(parts, lambda part: F.from_json(F.to_json(part), EVENT, STRICT))
+    objects = F.transform(parts, lambda part: F.to_json(part).startswith("{"))
+    kept = F.transform(F.arrays_zip(events.alias("e"), objects.alias("o")), lambda z: F.when(z["o"], z["e"]))
+    return F.when(document.isNotNull(), kept)
 
 
-def scan_elements(requests: DataFrame, keep_empty: bool = False, unwrap_records: bool = False) -> DataFrame:
+def scan_elements(requests: DataFrame, keep_raw: bool = True, keep_empty: bool = False,
+                  unwrap_records: bool = False) -> DataFrame:
     """One row per array element of (request_id, payload), in payload order.
 
-    Gives request_id, pos, element (variant), raw_event (its JSON text) and
-    rejected (null for an event object). A payload that is not JSON gives one
-    rejected row. `keep_empty` keeps requests with an empty array as a row with
-    null pos; `unwrap_records` accepts the {"Records": [...]} wrapper.
+    Gives request_id, pos, event (struct), rejected (null for an event object) and,
+    with `keep_raw`, raw_event (JSON text, at the price of a second parse). A
+    payload that is not JSON gives one rejected row. `keep_empty` keeps requests
+    with an empty array as a row with null pos; `unwrap_records` accepts the
+    {"Records": [...]} wrapper.
     """
-    document = F.try_parse_json("payload")
-    parsed = requests.select(
-        "request_id", "payload", document.alias("document"),
-        F.ltrim(F.col("payload"), F.lit(fv.JSON_WHITESPACE)).startswith("[").alias("_array"),
-    )
-    if unwrap_records:
-        records = F.try_variant_get("document", "$.Records", "variant")
-        wrapped = ~F.col("_array") & F.coalesce(F.to_json(records).startswith("["), F.lit(False))
-        parsed = parsed.select(
-            "request_id", "payload", F.when(wrapped, records).otherwise(F.col("document")).alias("document"),
-            (F.col("_array") | wrapped).alias("_array"))
-    elements = (
-        F.when(F.col("document").isNull(), F.array(F.lit(None).cast("variant")))
-        .when(F.col("_array"), F.col("document").cast("array<variant>"))
-        .otherwise(F.array("document"))
-    )
-    explode = F.posexplode_outer if keep_empty else F.posexplode
-    rows = parsed.select("request_id", "payload", F.col("document").isNull().alias("_malformed"),
-                         explode(elements).alias("pos", "element"))
-    is_object = F.try_variant_get("element", "$", "struct<eventName: variant>").isNotNull()
+    payload = F.col("payload")
+    is_array = F.ltrim(payload, F.lit(fv.JSON_WHITESPACE)).startswith("[")
+    document = _only(F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))).cast("array<variant>"))
+    events = F.coalesce(_parsed(payload, is_array, unwrap_records), _salvaged(document, is_array))
+    rows = requests.select("request_id", "payload", events.alias("events"))
+    if keep_raw:
+        records = F.try_variant_get(document, "$.Records", "array<variant>") if unwrap_records else F.lit(None)
+        raws = F.when(is_array, document.cast("array<variant>")).otherwise(F.coalesce(records, F.array(document)))
+        texts = F.transform(raws, lambda part: F.to_json(part))
+        rows = rows.withColumn("events", F.when(
+            F.col("events").isNotNull(), F.arrays_zip(F.col("events").alias("event"), F.coalesce(texts, F.array()).alias("raw"))))
+    else:
+        rows = rows.withColumn("events", F.transform("events", lambda event: F.struct(event.alias("event"))))
+    rows = rows.withColumn("_malformed", F.col("events").isNull()).select(
+        "request_id", "payload", "_malformed", F.posexplode_outer("events").alias("pos", "element"))
+    if not keep_empty:
+        rows = rows.where(F.col("pos").isNotNull() | F.col("_malformed"))
     rejected = (
         F.when(F.col("_malformed"), MALFORMED)
-        .when(F.col("pos").isNotNull() & ~is_object, NOT_AN_EVENT)
+        .when(F.col("pos").isNotNull() & F.col("element.event").isNull(), NOT_AN_EVENT)
     )
+    raw = [F.when(F.col("_malformed"), F.col("payload")).otherwise(F.col("element.raw")).alias("raw_event")] if keep_raw else []
     return rows.select(
-        "request_id", "pos", "element",
-        F.when(F.col("_malformed"), F.col("payload")).otherwise(F.to_json("element")).alias("raw_event"),
-        rejected.alias("rejected"),
+        "request_id", F.when(F.col("_malformed"), 0).otherwise(F.col("pos")).alias("pos"),
+        F.col("element.event").alias("event"), rejected.alias("rejected"), *raw,
     )
 
 
 def quarantined(elements: DataFrame) -> DataFrame:
-    return elements.where(F.col("rejected").isNotNull()).select("request_id", "pos", "rejected", "raw_event")
+    raw = [c for c in elements.columns if c == "raw_event"]
+    return elements.where(F.col("rejected").isNotNull()).select("request_id", "pos", "rejected", *raw)
+
+
+def _has_error(error: Column) -> Column:
+    """Whether an error code is a non-empty string, a non-zero number, true, or a filled container."""
+    empty = error.isin('""', "false", "{}", "[]") | F.coalesce(error.try_cast("double") == 0, F.lit(False))
+    return F.coalesce(~empty, F.lit(False))
 
 
 def event_fields(elements: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -75,20 +104,24 @@ def event_fields(elements: DataFrame, keep_empty: bool = False) -> DataFrame:
     request stays visible.
     """
     good = F.col("rejected").isNull() & F.col("pos").isNotNull()
-    rows = elements.withColumn("pos", F.when(good, F.col("pos")))
-    return (rows if keep_empty else rows.where(F.col("pos").isNotNull())).select(
-        "request_id", "pos",
-        _field("eventTime").alias("event_time"),
-        _field("eventName").alias("event_name"),
-        _field("userIdentity.userName").alias("user_name"),
-        _field("userIdentity.arn").alias("arn"),
-        _json("userIdentity").isNotNull().alias("has_identity"),
-        _field("sourceIPAddress").alias("source_ip_address"),
-        _field("awsRegion").alias("aws_region"),
-        _field("eventSource").alias("event_source"),
-        _field("errorCode").alias("error_code"),
-        _has_error().alias("has_error"),
-        "raw_event",
+    rows = elements.withColumn("pos", F.when(good, F.col("pos"))) if keep_empty else elements.where(good)
+    error = F.nullif(F.to_json("event.errorCode"), F.lit("null"))
+    return (
+        rows.withColumn("_error", error)
+        .select(
+            "request_id", "pos",
+            F.col("event.eventTime").alias("event_time"),
+            F.col("event.eventName").alias("event_name"),
+            F.col("event.userIdentity.userName").alias("user_name"),
+            F.col("event.userIdentity.arn").alias("arn"),
+            F.col("event.userIdentity").isNotNull().alias("has_identity"),
+            F.col("event.sourceIPAddress").alias("source_ip_address"),
+            F.col("event.awsRegion").alias("aws_region"),
+            F.col("event.eventSource").alias("event_source"),
+            F.coalesce(F.try_variant_get("event.errorCode", "$", "string"), F.col("_error")).alias("error_code"),
+            _has_error(F.col("_error")).alias("has_error"),
+            *[c for c in elements.columns if c == "raw_event"],
+        )
     )
 
 

@@ -72,11 +72,15 @@ def test_private_range_option(spark):
 
 
 def test_quarantine_keeps_good_elements(spark):
-    elements = payloads.scan_elements(requests(spark, [SAMPLE[0], 5, "x", None, SAMPLE[1]], "[{", "7", "[]", SAMPLE[2]))
+    elements = payloads.scan_elements(requests(
+        spark, [SAMPLE[0], 5, "x", None, SAMPLE[1]], "[{", "7", "[]", SAMPLE[2], "[] []", "{} x", "{'eventName':'A'}", "", "[[{}]]", "{},{}", "[{}],[{}]"))
     bad = payloads.quarantined(elements).orderBy("request_id", "pos").collect()
     assert [(r.request_id, r.pos, r.rejected) for r in bad] == [
         (0, 1, payloads.NOT_AN_EVENT), (0, 2, payloads.NOT_AN_EVENT), (0, 3, payloads.NOT_AN_EVENT),
-        (1, 0, payloads.MALFORMED), (2, 0, payloads.NOT_AN_EVENT)]
+        (1, 0, payloads.MALFORMED), (2, 0, payloads.NOT_AN_EVENT), (5, 0, payloads.MALFORMED), (6, 0, payloads.MALFORMED),
+        (7, 0, payloads.MALFORMED), (8, 0, payloads.MALFORMED), (9, 0, payloads.NOT_AN_EVENT),
+        (10, 0, payloads.MALFORMED), (11, 0, payloads.MALFORMED)]
+    assert [r.raw_event for r in bad[:6]] == ["5", '"x"', "null", "[{", "7", "[] []"]
     good = payloads.event_fields(elements).orderBy("request_id", "pos").collect()
     assert [(r.request_id, r.pos) for r in good] == [(0, 0), (0, 4), (4, 0)]
 
@@ -89,7 +93,9 @@ def test_payload_may_start_with_whitespace(spark):
 def test_records_wrapper_is_optional(spark):
     wrapped = requests(spark, {"Records": SAMPLE})
     assert payloads.event_fields(payloads.scan_elements(wrapped)).first().event_name is None
-    assert payloads.event_fields(payloads.scan_elements(wrapped, unwrap_records=True)).count() == 3
+    rows = payloads.event_fields(payloads.scan_elements(wrapped, unwrap_records=True)).orderBy("pos").collect()
+    assert [json.loads(r.raw_event) for r in rows] == SAMPLE
+    assert payloads.event_fields(payloads.scan_elements(requests(spark, SAMPLE[0]), unwrap_records=True)).count() == 1
 
 
 def test_error_code_truth_and_missing_keys(spark):
