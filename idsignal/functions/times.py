@@ -23,3 +23,8 @@ def parse_time(text: Column, fallback: Column) -> Column:
 
 def iso_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def printed_time(ts: Column) -> Column:
+    """As iso_text, with six decimals when there is a fraction of a second."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "[.]000000$", "")

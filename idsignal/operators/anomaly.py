@@ -51,10 +51,10 @@ def action_vocabulary(featured: DataFrame) -> DataFrame:
     return featured.select("action_top").distinct()
 
 
-def one_hot(featured: DataFrame, vocabulary: DataFrame, row_id: str, broadcast: bool | None = None) -> DataFrame:
+def one_hot(featured: DataFrame, vocabulary: DataFrame, row_id: str) -> DataFrame:
     """Sparse one-hot: `hot_feature` names the single flag that is 1, null for an unseen action."""
     flags = vocabulary.select("action_top", F.concat(F.lit("action_"), "action_top").alias("hot_feature"))
-    return lookup(featured, flags, "action_top", row_id, "left", broadcast)
+    return lookup(featured, flags, "action_top", row_id)
 
 
 # -- training -------------------------------------------------------------------

@@ -18,14 +18,14 @@ def valid_ips(rows: DataFrame, ip: str = "src_ip") -> DataFrame:
     return raw.select(repair_ip(F.col("src_ip")).alias("src_ip")).distinct()
 
 
-def enrich(rows: DataFrame, reputation: DataFrame, row_id: str, broadcast: bool | None = None) -> DataFrame:
+def enrich(rows: DataFrame, reputation: DataFrame, row_id: str) -> DataFrame:
     """Repair src_ip and add ti_score, ti_country and ti_asn; unknown addresses get 1, NA, NA."""
     records = reputation.select(
         F.col("ip").alias("src_ip"), "abuse_confidence",
         F.col("country").alias("_country"), F.col("asn").alias("_asn"),
     )
     repaired = rows.withColumn("src_ip", repair_ip(F.col("src_ip")))
-    matched = lookup(repaired, records, "src_ip", row_id, "left", broadcast)
+    matched = lookup(repaired, records, "src_ip", row_id)
     return (
         matched
         .withColumn("ti_score", reputation_score(F.col("abuse_confidence")))

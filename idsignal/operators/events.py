@@ -64,9 +64,11 @@ def adapt_events(rows: DataFrame, ingest_time: Column, keep: list[str] | None =
         else F.lit(0).alias(flag)
         for flag in FLAGS
     ]
+    time = F.col("eventtime")
+    is_text = isinstance(rows.schema["eventtime"].dataType, T.StringType)
     return rows.select(
         *(keep or []),
-        parse_time(F.col("eventtime"), ingest_time).alias("event_time"),
+        (parse_time(time, ingest_time) if is_text else F.coalesce(time, ingest_time)).alias("event_time"),
         F.lower(clean_value(F.col("eventname"))).alias("event_name"),
         user.alias("user"),
         user.alias("user_identity"),

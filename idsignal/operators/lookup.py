@@ -33,9 +33,12 @@ def hot_keys(fact: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
 
 
 def salted_join(fact: DataFrame, table: DataFrame, key: str, row_id: str, how: str = "left",
-                share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
-    """Equi-join on `key` with hot and null keys spread over `salts` tasks."""
-    hot = F.broadcast(hot_keys(fact, key, share))
+                share: float = HOT_SHARE, salts: int = SALTS, count_on: DataFrame | None = None) -> DataFrame:
+    """Equi-join on `key` with hot and null keys spread over `salts` tasks.
+
+    `count_on` is a cheaper frame with the same keys to look for hot ones in.
+    """
+    hot = F.broadcast(hot_keys(fact if count_on is None else count_on, key, share))
     spread = F.col("_hot") | F.col(key).isNull()
     left = (
         fact.join(hot, key, "left")
@@ -52,10 +55,8 @@ def salted_join(fact: DataFrame, table: DataFrame, key: str, row_id: str, how: s
 
 
 def lookup(fact: DataFrame, table: DataFrame, key: str, row_id: str, how: str = "left",
-           broadcast: bool | None = None) -> DataFrame:
-    """Join each fact row with at most one table row; `broadcast` skips the measurement."""
-    small = fits_broadcast(table) if broadcast is None else broadcast
-    if small:
+           count_on: DataFrame | None = None) -> DataFrame:
+    """Join each fact row with at most one table row (measures the table first)."""
+    if fits_broadcast(table):
         return fact.join(F.broadcast(table), key, how)
-    return salted_join(fact, table, key, row_id, how)
-
+    return salted_join(fact, table, key, row_id, how, count_on=count_on)

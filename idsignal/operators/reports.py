@@ -6,7 +6,7 @@ from idsignal import fixed_values as fv
 from idsignal.functions.explain import entity_message, insight_advice
 from idsignal.functions.numeric import exact_mean, exact_sum, ratio, round_half_up, two_decimals
 from idsignal.functions.text import capitalize, feed_name, insight_name, or_default
-from idsignal.functions.times import iso_text
+from idsignal.functions.times import printed_time
 from idsignal.operators.numbering import group_ordinals
 
 # -- request analysis -----------------------------------------------------------
@@ -136,7 +136,7 @@ def alerts_feed(fact: DataFrame, users: DataFrame, actions: DataFrame, ips: Data
     latest = latest.orderBy(*order).limit(limit)
     return _with_names(latest, users, actions, ips).orderBy(*order).select(
         "id",
-        F.coalesce(iso_text(F.col("event_ts")), F.lit(fv.DASH)).alias("timestamp"),
+        F.coalesce(printed_time(F.col("event_ts")), F.lit(fv.DASH)).alias("timestamp"),
         feed_name(F.col("username")).alias("user"),
         or_default(F.col("action"), fv.DASH).alias("action"),
         or_default(F.col("prelim_priority"), "LOW").alias("prelim_priority"),

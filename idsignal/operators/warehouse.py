@@ -61,19 +61,23 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, id_name: str) ->
 
 
 def star_fact(logs: DataFrame, users: DataFrame, actions: DataFrame, ips: DataFrame,
-              ti_country: str = "country", broadcast: bool | None = None) -> DataFrame:
-    """Fact rows whose user, action and address are all in the dimensions."""
+              ti_country: str = "country") -> DataFrame:
+    """Fact rows whose user, action and address are all in the dimensions.
+
+    Dimensions should be written tables: each is measured and then joined. Addresses,
+    the largest, come last, after the joins most likely to need no shuffle.
+    """
     keyed = logs.where(F.col("user").isNotNull() & F.col("action").isNotNull() & F.col("src_ip").isNotNull())
-    dims = [
-        (users.select("user_id", F.col("username").alias("user")), "user"),
+    fact = keyed.select("id", "event_ts", "user", "action", "src_ip", "result", "result_flag",
+                        "alert_score", "prelim_priority", F.col(ti_country).alias("ti_country"))
+    for dim, key in [
         (actions.select("action_id", F.col("action_name").alias("action")), "action"),
+        (users.select("user_id", F.col("username").alias("user")), "user"),
         (ips.select("ip_id", "src_ip"), "src_ip"),
-    ]
-    joined = reduce(lambda fact, dim: lookup(fact, dim[0], dim[1], "id", "inner", broadcast), dims, keyed)
-    return joined.select(
-        "id", "event_ts", "user_id", "action_id", "ip_id", "result", "result_flag",
-        "alert_score", "prelim_priority", F.col(ti_country).alias("ti_country"),
-    )
+    ]:
+        fact = lookup(fact, dim, key, "id", "inner", count_on=keyed).drop(key)
+    return fact.select("id", "event_ts", "user_id", "action_id", "ip_id", "result", "result_flag",
+                       "alert_score", "prelim_priority", "ti_country")
 
 
 def missing_keys(logs: DataFrame, users: DataFrame, actions: DataFrame, ips: DataFrame, samples: int = 10) -> DataFrame:

@@ -578,7 +578,7 @@ RAW_NAME = "trim(case when username is null or username = '' then 'Unknown' else
 
 
 @query("alerts_feed", fx.oracle(**WH) + f"""
-select id, coalesce(strftime(event_ts, '%Y-%m-%d %H:%M:%S'), '—') as "timestamp",
+select id, coalesce(regexp_replace(strftime(event_ts, '%Y-%m-%d %H:%M:%S.%f'), '[.]000000$', ''), '—') as "timestamp",
  {sql_names(f'lower({RAW_NAME})', fv.FEED_NAMES, sql_capitalize(RAW_NAME))} as "user", coalesce(nullif(action_name, ''), '—') as action,
  coalesce(nullif(prelim_priority, ''), 'LOW') as prelim_priority, coalesce(alert_score, 0.0) as alert_score,
  coalesce(src_ip, '—') as src_ip

@@ -15,37 +15,49 @@ EVENT = (
 STRICT = {"allowSingleQuotes": "false"}
 
 
-def _once(value: Column, use) -> Column:
-    """`use(value)` with the value computed once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+def _read(text: Column, kind: str) -> Column:
+    return F.from_json(text, kind, STRICT)
 
 
-def _only(documents: Column) -> Column:
-    """The one document of an array; null if there is none or another follows."""
-    return _once(documents, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+def _with_events(requests: DataFrame, keep_raw: bool, unwrap_records: bool) -> DataFrame:
+    """Add `events`, the array of a payload's elements, null for malformed text.
 
-
-def _parsed(payload: Column, is_array: Column, unwrap_records: bool) -> Column:
-    """Array of events in one pass over the text; null if any element is not an object.
-
-    The text is read inside brackets, so anything after the document makes it malformed.
+    A payload of objects only is read in one typed pass. The rest is read as
+    variant, its non-objects are blanked, and what remains is read again. The text
+    is put in brackets, so that a second document after the first is noticed.
     """
-    def read(kind: str) -> Column:
-        return _only(F.from_json(F.concat(F.lit("["), payload, F.lit("]")), f"array<{kind}>", STRICT))
-
-    single = _once(read(EVENT), lambda event: F.when(event.isNotNull(), F.array(event)))
+    bracketed = F.concat(F.lit("["), F.col("payload"), F.lit("]"))
+    many, one = F.col("_many"), F.col("_one")
+    rows = (
+        requests.select("request_id", "payload")
+        .withColumn("_array", F.ltrim(F.col("payload"), F.lit(fv.JSON_WHITESPACE)).startswith("["))
+        .withColumn("_many", F.when(F.col("_array"), _read(bracketed, f"array<array<{EVENT}>>")))
+        .withColumn("_one", F.when(~F.col("_array"), _read(bracketed, f"array<{EVENT}>")))
+    )
+    typed = F.when(F.size(many) == 1, F.get(many, F.lit(0))).when(
+        (F.size(one) == 1) & F.get(one, F.lit(0)).isNotNull(), one)
     if unwrap_records:
-        single = F.coalesce(read(f"struct<Records: array<{EVENT}>>")["Records"], single)
-    return F.when(is_array, read(f"array<{EVENT}>")).otherwise(single)
+        rows = rows.withColumn("_wrapper", F.when(
+            ~F.col("_array"), _read(bracketed, f"array<struct<Records: array<{EVENT}>>>")))
+        inside = F.when(F.size("_wrapper") == 1, F.get("_wrapper", F.lit(0))["Records"])
+        typed = F.coalesce(inside, typed)
+
+    needed = F.lit(True) if keep_raw else F.col("_typed").isNull()
+    document = F.get("_documents", F.lit(0))
+    parts = F.when(F.col("_array"), document.cast("array<variant>")).otherwise(F.col("_documents"))
+    if unwrap_records:
+        parts = F.coalesce(F.try_variant_get(document, "$.Records", "array<variant>"), parts)
 
+    def object_or_null(part):
+        return F.when(F.try_variant_get(part, "$", "struct<eventName: variant>").isNotNull(), part)
 
-def _salvaged(document: Column, is_array: Column) -> Column:
-    """Array of events element by element; what is not an object becomes null."""
-    parts = F.when(is_array, document.cast("array<variant>")).otherwise(F.array(document))
-    events = F.transform(parts, lambda part: F.from_json(F.to_json(part), EVENT, STRICT))
-    objects = F.transform(parts, lambda part: F.to_json(part).startswith("{"))
-    kept = F.transform(F.arrays_zip(events.alias("e"), objects.alias("o")), lambda z: F.when(z["o"], z["e"]))
-    return F.when(document.isNotNull(), kept)
+    return (
+        rows.withColumn("_typed", typed)
+        .withColumn("_documents", F.when(needed, F.try_parse_json(bracketed)).cast("array<variant>"))
+        .withColumn("_parts", F.when(F.size("_documents") == 1, parts))
+        .withColumn("events", F.coalesce(
+            "_typed", _read(F.to_json(F.transform("_parts", object_or_null)), f"array<{EVENT}>")))
+    )
 
 
 def scan_elements(requests: DataFrame, keep_raw: bool = True, keep_empty: bool = False,
@@ -58,31 +70,25 @@ def scan_elements(requests: DataFrame, keep_raw: bool = True, keep_empty: bool =
     with an empty array as a row with null pos; `unwrap_records` accepts the
     {"Records": [...]} wrapper.
     """
-    payload = F.col("payload")
-    is_array = F.ltrim(payload, F.lit(fv.JSON_WHITESPACE)).startswith("[")
-    document = _only(F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))).cast("array<variant>"))
-    events = F.coalesce(_parsed(payload, is_array, unwrap_records), _salvaged(document, is_array))
-    rows = requests.select("request_id", "payload", events.alias("events"))
+    rows = _with_events(requests, keep_raw, unwrap_records)
+    malformed = F.col("events").isNull().alias("_malformed")
     if keep_raw:
-        records = F.try_variant_get(document, "$.Records", "array<variant>") if unwrap_records else F.lit(None)
-        raws = F.when(is_array, document.cast("array<variant>")).otherwise(F.coalesce(records, F.array(document)))
-        texts = F.transform(raws, lambda part: F.to_json(part))
-        rows = rows.withColumn("events", F.when(
-            F.col("events").isNotNull(), F.arrays_zip(F.col("events").alias("event"), F.coalesce(texts, F.array()).alias("raw"))))
+        element = F.arrays_zip(F.col("events").alias("event"), F.coalesce("_parts", F.array()).alias("raw"))
+        element = F.when(F.col("events").isNotNull(), element)
     else:
-        rows = rows.withColumn("events", F.transform("events", lambda event: F.struct(event.alias("event"))))
-    rows = rows.withColumn("_malformed", F.col("events").isNull()).select(
-        "request_id", "payload", "_malformed", F.posexplode_outer("events").alias("pos", "element"))
+        element = F.transform("events", lambda event: F.struct(event.alias("event")))
+    rows = rows.select("request_id", "payload", malformed, F.posexplode_outer(element).alias("pos", "element"))
     if not keep_empty:
         rows = rows.where(F.col("pos").isNotNull() | F.col("_malformed"))
     rejected = (
         F.when(F.col("_malformed"), MALFORMED)
         .when(F.col("pos").isNotNull() & F.col("element.event").isNull(), NOT_AN_EVENT)
     )
-    raw = [F.when(F.col("_malformed"), F.col("payload")).otherwise(F.col("element.raw")).alias("raw_event")] if keep_raw else []
+    raw = F.when(F.col("_malformed"), F.col("payload")).otherwise(F.to_json("element.raw")) if keep_raw else None
     return rows.select(
         "request_id", F.when(F.col("_malformed"), 0).otherwise(F.col("pos")).alias("pos"),
-        F.col("element.event").alias("event"), rejected.alias("rejected"), *raw,
+        F.col("element.event").alias("event"), rejected.alias("rejected"),
+        *([raw.alias("raw_event")] if keep_raw else []),
     )
 
 
