@@ -8,13 +8,12 @@ vocabulary on the driver.
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from idsignal.functions.numeric import number_or_zero
 from idsignal.operators.lookup import lookup
 from idsignal.operators.scaling import normalize
-from idsignal.workspace import stage
+from idsignal.workspace import load_or_write, stage
 
 # -- fixed values: model defaults -----------------------------------------------
 TREES = 100
@@ -51,6 +50,11 @@ def action_vocabulary(featured: DataFrame) -> DataFrame:
     return featured.select("action_top").distinct()
 
 
+def load_or_fit_vocabulary(path: str, featured: DataFrame) -> DataFrame:
+    """The vocabulary saved at `path`, collected and saved first if there is none."""
+    return load_or_write(featured.sparkSession, path, "action_top string", lambda: action_vocabulary(featured))
+
+
 def one_hot(featured: DataFrame, vocabulary: DataFrame, row_id: str) -> DataFrame:
     """Sparse one-hot: `hot_feature` names the single flag that is 1, null for an unseen action."""
     flags = vocabulary.select("action_top", F.concat(F.lit("action_"), "action_top").alias("hot_feature"))
@@ -142,14 +146,7 @@ def train_forest(featured: DataFrame, row_id: str, trees: int = TREES, sample: i
 
 def load_or_train(path: str, featured: DataFrame, row_id: str, **settings) -> DataFrame:
     """The forest saved at `path`, trained and saved first if there is none."""
-    spark = featured.sparkSession
-    try:
-        return spark.read.schema(NODE_SCHEMA).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    train_forest(featured, row_id, **settings).write.mode("errorifexists").parquet(path)
-    return spark.read.schema(NODE_SCHEMA).parquet(path)
+    return load_or_write(featured.sparkSession, path, NODE_SCHEMA, lambda: train_forest(featured, row_id, **settings))
 
 
 # -- scoring --------------------------------------------------------------------

@@ -103,7 +103,7 @@ def sql_names(key: str, names: dict[str, str], otherwise: str) -> str:
 
 
 PARSED = f"""
-select *, row_number() over (partition by request_id order by event_id) - 1 as pos,
+select *, cast(row_number() over (partition by request_id order by event_id) - 1 as integer) as pos,
  coalesce(user_name, arn, 'unknown') as "user", coalesce(event_name, 'unknown') as action,
  {sql_ip('source_ip_address')} as src_ip, coalesce(aws_region, 'unknown') as region,
  case when length(error_code) > 0 then 'FAILED' else 'SUCCESS' end as result,
@@ -226,8 +226,8 @@ def request_summary(spark, sf):
 
 @query("kpi_cards", fx.oracle(**CT) + """
 select event_id as request_id,
- case when event_id % 7 in (0, 1) then 1 when event_id % 7 in (3, 6) then 2 else 0 end as total_logs,
- case when event_id % 7 in (0, 1) then 1 when event_id % 7 in (3, 6) then 2 else 0 end as total_alerts,
+ cast(case when event_id % 7 in (0, 1) then 1 when event_id % 7 in (3, 6) then 2 else 0 end as bigint) as total_logs,
+ cast(case when event_id % 7 in (0, 1) then 1 when event_id % 7 in (3, 6) then 2 else 0 end as bigint) as total_alerts,
  case when event_id % 7 in (0, 1, 3) then risk_score when event_id % 7 = 6 then 100 else 0 end as highest_risk,
  case when event_id % 7 in (0, 1, 3) then priority when event_id % 7 = 6 then 'CRITICAL' else 'SAFE' end as top_priority
 from scored""")
@@ -711,8 +711,8 @@ def featured_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("anomaly_features", fx.oracle(**FLAT) + """
-select id, final_risk_score, cast(coalesce(ti_score, 0) as double) as ti_score, coalesce(hour(event_ts), 0) as hour,
- coalesce(isodow(event_ts) - 1, 0) as weekday, case when contains(lower(action), 'consolelogin') then 1 else 0 end as is_console,
+select id, final_risk_score, cast(coalesce(ti_score, 0) as double) as ti_score, cast(coalesce(hour(event_ts), 0) as integer) as hour,
+ cast(coalesce(isodow(event_ts) - 1, 0) as integer) as weekday, case when contains(lower(action), 'consolelogin') then 1 else 0 end as is_console,
  'action_' || coalesce(action, 'OTHER') as hot_feature from flat""")
 def anomaly_features(spark, sf):
     featured = featured_logs(spark, sf)

@@ -1,10 +1,10 @@
 """Result files and the star-schema load."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from idsignal import schemas
 from idsignal.operators import warehouse
+from idsignal.workspace import read_existing
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -25,12 +25,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, page: int = 1000, **options)
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    saved = read_existing(spark, path, schema)
+    return spark.createDataFrame([], schema) if saved is None else saved
 
 
 def read_ip_details(spark: SparkSession, base: str) -> DataFrame:

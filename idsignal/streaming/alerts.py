@@ -26,9 +26,17 @@ def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
 
 
 def number_lines(batch: DataFrame, batch_id: int) -> DataFrame:
-    """Ids for lines that have none, unique over all batches of a checkpoint."""
-    width = F.lit(1 << 44)
-    return batch.withColumn("event_id", F.lit(batch_id).cast("bigint") * width + F.monotonically_increasing_id() % width)
+    """Ids for lines that have none, unique over all batches of a checkpoint.
+
+    An id holds 20 bits of batch, 16 of partition and 27 of row; a batch beyond
+    that fails instead of repeating ids.
+    """
+    place = F.monotonically_increasing_id()
+    numbered = batch.withColumn("_partition", F.shiftright(place, 33)).withColumn("_row", place % F.lit(1 << 33))
+    fits = (F.col("_partition") < (1 << 16)) & (F.col("_row") < (1 << 27)) & F.lit(batch_id < 1 << 20)
+    event_id = F.lit(batch_id << 43) + F.col("_partition") * F.lit(1 << 27) + F.col("_row")
+    checked = F.when(fits, event_id).otherwise(F.raise_error(F.lit("too many lines for 63-bit ids")).cast("bigint"))
+    return numbered.withColumn("event_id", checked).drop("_partition", "_row")
 
 
 def start_alert_stream(lines: DataFrame, store: str, feed: str, checkpoint: str, trigger: dict,

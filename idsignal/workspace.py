@@ -6,18 +6,21 @@ folder all machines share (`spark.checkpoint.dir`).
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only a local session may fall back to a temp folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="idsignal-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="idsignal-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -32,3 +35,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def read_existing(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The Parquet table at `path`, None if there is no such path; other errors raise."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def load_or_write(spark: SparkSession, path: str, schema, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table saved at `path`, built and saved first if there is none."""
+    saved = read_existing(spark, path, schema)
+    if saved is None:
+        build().write.mode("errorifexists").parquet(path)
+        saved = spark.read.schema(schema).parquet(path)
+    return saved

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from idsignal.operators import anomaly, lookup, metrics, numbering, scaling, warehouse
+from idsignal.operators import anomaly, enrich, lookup, metrics, numbering, scaling, warehouse
 from idsignal.sources import files, sinks
 from idsignal import schemas
 
@@ -161,3 +161,24 @@ def test_one_hot_of_unseen_action_has_no_flag(spark):
     rows = spark.createDataFrame([(1, "A"), (2, "B"), (3, "OTHER")], "id bigint, action_top string")
     out = anomaly.one_hot(rows, anomaly.action_vocabulary(train), "id").orderBy("id").collect()
     assert [r.hot_feature for r in out] == ["action_A", None, "action_OTHER"]
+
+
+def test_vocabulary_is_kept_once_saved(spark, tmp_path):
+    path = str(tmp_path / "vocabulary")
+    first = spark.createDataFrame([("A",), ("A",)], "action_top string")
+    later = spark.createDataFrame([("B",)], "action_top string")
+    assert [r.action_top for r in anomaly.load_or_fit_vocabulary(path, first).collect()] == ["A"]
+    assert [r.action_top for r in anomaly.load_or_fit_vocabulary(path, later).collect()] == ["A"]
+
+
+def test_reputation_and_alert_tables(spark, tmp_path):
+    ips, alerts = str(tmp_path / "ips"), str(tmp_path / "alerts")
+    sinks.write_parquet(spark.createDataFrame([("1.1.1.1", 90, "US", "AS1")], schemas.REPUTATION), ips)
+    rows = spark.createDataFrame([(1, "1.1.1.1"), (2, None), (3, "9.9")], "id bigint, src_ip string")
+    out = enrich.enrich(rows, files.read_reputation(spark, ips), "id").orderBy("id").collect()
+    assert [(r.src_ip, r.ti_score, r.ti_country, r.ti_asn) for r in out] == [
+        ("1.1.1.1", 10, "US", "AS1"), (None, 1, "NA", "NA"), ("9.9.0.0", 1, "NA", "NA")]
+    alert = (7, None, "1.1.1.1", "u", "UNKNOWN", "LOW", 15, None, "OPEN")
+    for _ in range(2):
+        sinks.append_parquet(spark.createDataFrame([alert], schemas.ALERTS), alerts)
+    assert [tuple(r) for r in files.alert_store(spark, alerts).collect()] == [alert, alert]
