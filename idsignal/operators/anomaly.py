@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from idsignal.functions.numeric import number_or_zero
 from idsignal.operators.lookup import lookup
 from idsignal.operators.scaling import normalize
-from idsignal.workspace import load_or_write, stage
+from idsignal.workspace import load_or_write, spread, stage
 
 # -- fixed values: model defaults -----------------------------------------------
 TREES = 100
@@ -213,7 +213,7 @@ def anomaly_scores(featured: DataFrame, forest: DataFrame) -> DataFrame:
     Raw scores are staged so that the Python scoring runs once although the
     normalisation reads the result twice.
     """
-    scored = stage(raw_scores(featured, forest), "raw_scores")
+    scored = stage(raw_scores(spread(featured), forest), "raw_scores")
     return (
         normalize(scored, "raw_score", "ml_score")
         .withColumn("ml_flag", (F.col("ml_score") > FLAG_ABOVE).cast("int"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from idsignal.functions.numeric import number_or_zero, round_half_up
 from idsignal.functions.scores import fusion_bucket, priority_code
 from idsignal.operators.scaling import scale_columns
+from idsignal.workspace import spread
 
 # -- fixed values: model settings -----------------------------------------------
 INPUTS = ["alert_score", "ti_score", "ip_score", "result_flag"]
@@ -38,7 +39,7 @@ def train(featured: DataFrame, row_id: str, trees: int = TREES, depth: int = 5)
         RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=1024),
     ]
     part = featured.where(~is_held_out(row_id)).select(*SCALED, F.col("label").cast("double").alias("label"))
-    return Pipeline(stages=stages).fit(part)
+    return Pipeline(stages=stages).fit(spread(part))
 
 
 def load_or_train(path: str, featured: DataFrame, row_id: str, **settings) -> PipelineModel:

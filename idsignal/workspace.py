@@ -37,6 +37,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one task per core for a costly step; larger inputs have more already.
+
+    Meant for scans and narrow steps on them, whose task count is known without a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_existing(spark: SparkSession, path: str, schema) -> DataFrame | None:
     """The Parquet table at `path`, None if there is no such path; other errors raise."""
     try:

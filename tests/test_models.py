@@ -92,6 +92,17 @@ def test_fusion(spark, sf, tmp_path):
     assert {r.id: r.final_score for r in fusion.final_scores(featured, loaded).collect()} == {r.id: r.final_score for r in rows}
 
 
+def test_fusion_repeats_and_reports_the_largest_probability(spark, sf):
+    featured = stage(fusion.fusion_features(catalog.flat_logs(spark, sf)), "features")
+    runs = []
+    for _ in range(2):
+        model = fusion.train(featured, "id", trees=5)
+        runs.append({r.id: r.final_score for r in fusion.final_scores(featured, model).collect()})
+    assert runs[0] == runs[1]
+    for row in model.transform(featured).select("id", "probability").collect():
+        assert abs(runs[0][row.id] - 100 * max(row.probability)) <= 0.005001
+
+
 def test_split_is_four_to_one(spark):
     held = spark.range(20000).where(fusion.is_held_out("id")).count()
     assert 3700 < held < 4300
