@@ -9,9 +9,14 @@ def number_or_zero(value: Column) -> Column:
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
 
+def known(value: Column) -> Column:
+    """The number, null where it is NaN."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+
+
 def exact_sum(value: Column) -> Column:
     """Sum at six decimals: a decimal sum is the same in every order, a double sum is not."""
-    return F.sum(value.cast("decimal(18,6)"))
+    return F.sum(known(value).cast("decimal(18,6)"))
 
 
 def ratio(total: Column, count: Column) -> Column:
@@ -20,7 +25,7 @@ def ratio(total: Column, count: Column) -> Column:
 
 
 def exact_mean(value: Column) -> Column:
-    return ratio(exact_sum(value), F.count(value))
+    return ratio(exact_sum(value), F.count(known(value)))
 
 
 def round_half_up(value: Column, places: int) -> Column:

@@ -23,6 +23,8 @@ def parse_events(events: DataFrame) -> DataFrame:
         else F.col("user_name").isNotNull() | F.col("arn").isNotNull()
     )
     unknown = F.lit(fv.UNKNOWN)
+    if "event_time" in columns:
+        events = events.withColumn("timestamp", F.coalesce("event_time", unknown)).drop("event_time")
     return (
         events
         .withColumn("user", F.coalesce("user_name", "arn", unknown))

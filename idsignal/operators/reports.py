@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from idsignal import fixed_values as fv
 from idsignal.functions.explain import entity_message, insight_advice
-from idsignal.functions.numeric import exact_mean, exact_sum, ratio, round_half_up, two_decimals
+from idsignal.functions.numeric import exact_mean, exact_sum, known, ratio, round_half_up, two_decimals
 from idsignal.functions.text import capitalize, feed_name, insight_name, or_default
 from idsignal.functions.times import printed_time
 from idsignal.operators.numbering import group_ordinals
@@ -104,7 +104,7 @@ def stats_by_username(fact: DataFrame, users: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"),
         F.count_if(F.upper("prelim_priority") == "HIGH").alias("_high"),
         exact_sum(F.col("alert_score")).alias("_sum"),
-        F.count("alert_score").alias("_scored"),
+        F.count(known(F.col("alert_score"))).alias("_scored"),
     )
     return (
         per_user.join(users.select("user_id", "username"), "user_id", "left")
@@ -166,7 +166,8 @@ def daily_trend(logs: DataFrame) -> DataFrame:
 
 
 def _day_totals(logs: DataFrame, extra: list[str]) -> DataFrame:
-    scored = F.when(F.col("alert_score") != 0, F.col("alert_score"))
+    score = known(F.col("alert_score"))
+    scored = F.when(score != 0, score)
     return logs.groupBy(*extra, F.date_format("event_ts", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("_n"), exact_sum(scored).alias("_sum"), F.count(scored).alias("_scored"))
 
@@ -222,7 +223,7 @@ def top_high_users(logs: DataFrame, limit: int = 5) -> DataFrame:
     """Users with most HIGH alerts (rows without a score do not count)."""
     return (
         logs.where((F.upper("prelim_priority") == "HIGH") & F.col("user").isNotNull())
-        .groupBy("user").agg(F.count("alert_score").alias("high_alerts"))
+        .groupBy("user").agg(F.count(known(F.col("alert_score"))).alias("high_alerts"))
         .orderBy(F.desc("high_alerts"), "user").limit(limit)
     )
 
@@ -272,8 +273,9 @@ def finding_recommendations(findings: DataFrame) -> DataFrame:
 def entity_insights(logs: DataFrame) -> DataFrame:
     """Mean score per user with a message, riskiest first."""
     return (
-        logs.where(F.col("user").isNotNull() & F.col("alert_score").isNotNull())
+        logs.where(F.col("user").isNotNull())
         .groupBy("user").agg(exact_mean(F.col("alert_score")).alias("_mean"))
+        .where(F.col("_mean").isNotNull())
         .select(
             capitalize(F.col("user")).alias("entity"),
             round_half_up(F.col("_mean"), 2).alias("risk_score"),

@@ -128,6 +128,12 @@ select *, {LEVEL} as priority from (select *, least(100, 50 * cast(sensitive as
 """
 
 CT = {"ct_events": fx.CT_EVENTS, "parsed": PARSED, "rules": RULES, "scored": SCORED}
+REASONS = f"""concat_ws(' | ', case when sensitive then '{fv.SENSITIVE_REASON}' || action end,
+ case when elevated then '{fv.ELEVATED_REASON}' || action end, case when failed then '{fv.FAILURE_REASON}' end,
+ case when outside then '{fv.EXTERNAL_REASON}' || src_ip end, case when tampering then '{fv.TAMPERING_REASON}' end)"""
+SUMMARY = """priority || ' alert detected for user ' || "user" || '. Action: ' || action || '. Source IP: ' || src_ip || '.'"""
+ADVICE = f"""case priority when 'CRITICAL' then '{" | ".join(fv.RECOMMENDATIONS["CRITICAL"])}'
+ when 'HIGH' then '{" | ".join(fv.RECOMMENDATIONS["HIGH"])}' else '{" | ".join(fv.DEFAULT_RECOMMENDATIONS)}' end"""
 STORE = """
 select event_id as id, event_ts as "timestamp", src_ip, "user", log_type as event_type, priority as severity, risk_score,
  cast(null as varchar) as ai_reasoning, 'OPEN' as status from scored
@@ -149,10 +155,10 @@ def ct_payload_scan(spark, sf):
 
 
 @query("payload_quarantine", fx.oracle(ct_events=fx.CT_EVENTS) + f"""
-select event_id as request_id, 0 as pos, '{payloads.MALFORMED}' as rejected from ct_events where event_id % 7 = 2
-union all select event_id, p, '{payloads.NOT_AN_EVENT}' from ct_events join (values (1), (2), (3)) as v(p)
- on event_id % 7 = 3
-union all select event_id, 0, '{payloads.NOT_AN_EVENT}' from ct_events where event_id % 7 = 5""")
+select event_id as request_id, v.pos, v.rejected
+from ct_events join (values ('cut off', 0, '{payloads.MALFORMED}'), ('null', 0, '{payloads.NOT_AN_EVENT}'),
+ ('mixed', 1, '{payloads.NOT_AN_EVENT}'), ('mixed', 2, '{payloads.NOT_AN_EVENT}'), ('mixed', 3, '{payloads.NOT_AN_EVENT}'))
+ as v(shape, pos, rejected) on v.shape = ct_events.shape""")
 def payload_quarantine(spark, sf):
     return payloads.quarantined(payloads.scan_elements(fx.payload_cases(ct_events(spark, sf)), keep_raw=False))
 
@@ -195,9 +201,7 @@ def risk_scored(spark, sf):
 
 
 @query("risk_reasons", fx.oracle(**CT) + f"""
-select event_id, concat_ws(' | ', case when sensitive then '{fv.SENSITIVE_REASON}' || action end,
- case when elevated then '{fv.ELEVATED_REASON}' || action end, case when failed then '{fv.FAILURE_REASON}' end,
- case when outside then '{fv.EXTERNAL_REASON}' || src_ip end, case when tampering then '{fv.TAMPERING_REASON}' end) as reasons,
+select event_id, {REASONS} as reasons,
  cast(sensitive as int) + cast(elevated as int) + cast(failed as int) + cast(outside as int) + cast(tampering as int) as fired
 from rules""")
 def risk_reasons(spark, sf):
@@ -205,11 +209,7 @@ def risk_reasons(spark, sf):
         "event_id", F.array_join("reasons", " | ").alias("reasons"), F.size("reasons").alias("fired"))
 
 
-@query("alert_explained", fx.oracle(**CT) + f"""
-select event_id, priority || ' alert detected for user ' || "user" || '. Action: ' || action || '. Source IP: ' || src_ip
- || '.' as summary, case priority when 'CRITICAL' then '{" | ".join(fv.RECOMMENDATIONS["CRITICAL"])}'
- when 'HIGH' then '{" | ".join(fv.RECOMMENDATIONS["HIGH"])}' else '{" | ".join(fv.DEFAULT_RECOMMENDATIONS)}' end as recommendations
-from scored""")
+@query("alert_explained", fx.oracle(**CT) + f"select event_id, {SUMMARY} as summary, {ADVICE} as recommendations from scored")
 def alert_explained(spark, sf):
     return scored_events(spark, sf).select(
         "event_id", "explanation.summary", F.array_join("explanation.recommendations", " | ").alias("recommendations"))
@@ -224,13 +224,22 @@ def request_summary(spark, sf):
     return reports.request_summary(analysis.analyze_payloads(fx.payload_requests(ct_events(spark, sf)), keep_raw=False))
 
 
+@query("payload_analysis", fx.oracle(**CT) + f"""
+select request_id, pos, strftime(event_ts, '%Y-%m-%dT%H:%M:%SZ') as "timestamp", "user", action, src_ip, region, result, error_code,
+ log_type, risk_score, priority, {REASONS} as reasons, {SUMMARY} as summary, {ADVICE} as recommendations from scored""")
+def payload_analysis(spark, sf):
+    alerts = analysis.analyze_payloads(fx.payload_requests(ct_events(spark, sf)), keep_raw=False)
+    return alerts.select(
+        "request_id", "pos", "timestamp", "user", "action", "src_ip", "region", "result", "error_code", "log_type",
+        "risk_score", "priority", F.array_join("reasons", " | ").alias("reasons"), "explanation.summary",
+        F.array_join("explanation.recommendations", " | ").alias("recommendations"))
+
+
 @query("kpi_cards", fx.oracle(**CT) + """
-select event_id as request_id,
- cast(case when event_id % 7 in (0, 1) then 1 when event_id % 7 in (3, 6) then 2 else 0 end as bigint) as total_logs,
- cast(case when event_id % 7 in (0, 1) then 1 when event_id % 7 in (3, 6) then 2 else 0 end as bigint) as total_alerts,
- case when event_id % 7 in (0, 1, 3) then risk_score when event_id % 7 = 6 then 100 else 0 end as highest_risk,
- case when event_id % 7 in (0, 1, 3) then priority when event_id % 7 = 6 then 'CRITICAL' else 'SAFE' end as top_priority
-from scored""")
+select event_id as request_id, cast(n as bigint) as total_logs, cast(n as bigint) as total_alerts,
+ case when n = 0 then 0 when shape = 'two events' then 100 else risk_score end as highest_risk,
+ case when n = 0 then 'SAFE' when shape = 'two events' then 'CRITICAL' else priority end as top_priority
+from (select *, case when shape in ('array', 'object') then 1 when shape in ('mixed', 'two events') then 2 else 0 end as n from scored)""")
 def kpi_cards(spark, sf):
     elements = payloads.scan_elements(fx.payload_cases(ct_events(spark, sf)), keep_raw=False, keep_empty=True)
     return reports.kpi_cards(with_risk(events.parse_events(payloads.event_fields(elements, keep_empty=True))))

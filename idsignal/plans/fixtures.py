@@ -22,7 +22,9 @@ select event_id, cast(floor(event_id / 100) as bigint) as request_id, ts as even
   when 9 then null else concat('203.0.113.', cast(user_id % 7 as string)) end as source_ip_address,
  case event_id % 3 when 0 then 'us-east-1' when 1 then 'ap-south-1' else null end as aws_region,
  case event_id % 5 when 0 then 'iam.amazonaws.com' when 1 then 's3.amazonaws.com' else null end as event_source,
- case event_type when 'error' then 'AccessDenied' when 'signup' then '' else null end as error_code
+ case event_type when 'error' then 'AccessDenied' when 'signup' then '' else null end as error_code,
+ case event_id % 7 when 0 then 'array' when 1 then 'object' when 2 then 'cut off' when 3 then 'mixed'
+  when 4 then 'empty' when 5 then 'null' else 'two events' end as shape
 from {events}
 """
 
@@ -197,17 +199,16 @@ def payload_requests(events: DataFrame) -> DataFrame:
 
 
 def payload_cases(events: DataFrame) -> DataFrame:
-    """One payload per event in seven shapes, good and bad."""
-    event = F.to_json(_event_json())
-    shape = F.col("event_id") % 7
+    """One payload per event, in the good or bad shape its row names."""
+    event, shape = F.to_json(_event_json()), F.col("shape")
     return events.select(
         F.col("event_id").alias("request_id"),
-        F.when(shape == 0, F.concat(F.lit("["), event, F.lit("]")))
-        .when(shape == 1, event)
-        .when(shape == 2, F.concat(F.lit("["), event))
-        .when(shape == 3, F.concat(F.lit("["), event, F.lit(', 5, "text", null, '), event, F.lit("]")))
-        .when(shape == 4, F.lit("[]"))
-        .when(shape == 5, F.lit("null"))
+        F.when(shape == "array", F.concat(F.lit("["), event, F.lit("]")))
+        .when(shape == "object", event)
+        .when(shape == "cut off", F.concat(F.lit("["), event))
+        .when(shape == "mixed", F.concat(F.lit("["), event, F.lit(', 5, "text", null, '), event, F.lit("]")))
+        .when(shape == "empty", F.lit("[]"))
+        .when(shape == "null", F.lit("null"))
         .otherwise(F.lit('[{"eventName":"ListUsers","errorCode":0}, {"eventName":"DeleteTrail","errorCode":["x"]}]'))
         .alias("payload"),
     )

@@ -41,6 +41,7 @@ def test_sample_request(spark):
         "HIGH alert detected for user admin. Action: CreateAccessKey. Source IP: 45.67.89.10.")
     assert rows[2].explanation.recommendations == ["Continue monitoring"]
     assert json.loads(rows[0].raw_event) == SAMPLE[0]
+    assert rows[0].timestamp == "2026-05-26T10:20:00Z"
 
 
 def test_sample_envelope_and_order(spark):
@@ -103,7 +104,7 @@ def test_error_code_truth_and_missing_keys(spark):
     events_in = [{"eventName": "A", "errorCode": c} for c in codes] + [{"userIdentity": {"arn": "arn:x"}, "eventName": None}]
     rows = events.parse_events(payloads.event_fields(payloads.scan_elements(requests(spark, events_in)))).orderBy("pos").collect()
     assert [r.result == "FAILED" for r in rows] == [bool(c) for c in codes] + [False]
-    assert rows[2].error_code is None
+    assert rows[2].error_code is None and rows[2].timestamp == "unknown"
     assert (rows[-1].user, rows[-1].action, rows[-1].src_ip, rows[-1].region) == ("arn:x", "unknown", "unknown", "unknown")
 
 
@@ -153,6 +154,12 @@ def test_times(spark):
     assert shown == ["2024-03-01 10:20:30", "2024-03-01 00:00:00", "2000-01-01 00:00:00", "2000-01-01 00:00:00", "2024-03-01 01:02:03"]
 
 
+def test_means_skip_nan_and_null(spark):
+    df = spark.createDataFrame([("u", 1.0), ("u", 0.5), ("u", float("nan")), ("u", None), ("v", None)], "user string, alert_score double")
+    assert df.agg(numeric.exact_mean(F.col("alert_score"))).first()[0] == 0.75
+    assert [(r.entity, r.risk_score) for r in reports.entity_insights(df).collect()] == [("U", 0.75)]
+
+
 def test_numbers(spark):
     assert applied(spark, numeric.number_or_zero, ["1.5", "x", None, "NaN"]) == [1.5, 0.0, 0.0, 0.0]
     assert applied(spark, numeric.two_decimals, [0.5, 0.126, 12.0], "double") == ["0.50", "0.13", "12.00"]
