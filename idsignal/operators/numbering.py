@@ -13,7 +13,8 @@ def dense_ids(keys: DataFrame, key: str, id_name: str, start: Column | int = 0)
     """Add ids start+1, start+2, ... to rows with a unique text `key`.
 
     Keys are numbered inside 4096 hash buckets in parallel; only the 4096 bucket
-    sizes meet in one task to give each bucket its offset.
+    sizes meet in one task to give each bucket its offset. The join with offsets is
+    a left one so that both uses of `keys` stay the same plan and share its shuffle.
     """
     bucketed = keys.withColumn("_bucket", bucket_of(key))
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -22,7 +23,7 @@ def dense_ids(keys: DataFrame, key: str, id_name: str, start: Column | int = 0)
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     base = start if isinstance(start, Column) else F.lit(start)
     return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
+        bucketed.join(F.broadcast(offsets), "_bucket", "left")
         .withColumn(id_name, (base + F.col("_offset") + within).cast("bigint"))
         .select(id_name, *keys.columns)
     )

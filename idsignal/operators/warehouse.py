@@ -107,15 +107,16 @@ def flat_projection(logs: DataFrame) -> DataFrame:
     return logs.select("src_ip", "ti_score", "ti_country", "ti_asn", "alert_score", "prelim_priority")
 
 
-def _repeated(table: DataFrame, name: str, column: str) -> DataFrame:
-    counts = table.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.count_if(F.col("_n") > 1).alias("violations")).select(
-        F.lit(f"{name}.{column}").alias("target"), F.lit("unique").alias("rule"), "violations")
-
-
-def _nulls(table: DataFrame, name: str, column: str) -> DataFrame:
-    return table.agg(F.count_if(F.col(column).isNull()).alias("violations")).select(
-        F.lit(f"{name}.{column}").alias("target"), F.lit("not null").alias("rule"), "violations")
+def _key_rules(table: DataFrame, name: str, column: str) -> DataFrame:
+    """Repeated keys and null rows of a key column, from one count per key."""
+    counts = table.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    null = F.col(column).isNull()
+    found = counts.agg(
+        F.count_if((F.col("_n") > 1) & ~null).alias("unique"),
+        F.coalesce(F.sum(F.when(null, F.col("_n"))), F.lit(0)).alias("not null"),
+    )
+    return found.unpivot([], ["unique", "not null"], "rule", "violations").select(
+        F.lit(f"{name}.{column}").alias("target"), "rule", "violations")
 
 
 def _orphans(fact: DataFrame, column: str, dim: DataFrame) -> DataFrame:
@@ -133,11 +134,7 @@ def constraint_report(fact: DataFrame, users: DataFrame, actions: DataFrame, ips
         ("actions", actions, "action_id", "action_name"),
         ("ip_details", ips, "ip_id", "src_ip"),
     ]
-    checks = [_repeated(fact, "enriched_logs", "id"), _nulls(fact, "enriched_logs", "id")]
+    checks = [_key_rules(fact, "enriched_logs", "id")]
     for name, dim, id_name, key in dims:
-        checks += [
-            _repeated(dim, name, id_name), _nulls(dim, name, id_name),
-            _repeated(dim, name, key), _nulls(dim, name, key),
-            _orphans(fact, id_name, dim),
-        ]
+        checks += [_key_rules(dim, name, id_name), _key_rules(dim, name, key), _orphans(fact, id_name, dim)]
     return reduce(DataFrame.unionByName, checks)
