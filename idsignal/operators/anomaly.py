@@ -207,13 +207,14 @@ def raw_scores(featured: DataFrame, forest: DataFrame, name: str = "raw_score")
     return featured.withColumn(name, isolation(F.struct(*NUMERIC), F.col("action_top")))
 
 
-def anomaly_scores(featured: DataFrame, forest: DataFrame) -> DataFrame:
-    """Add ml_score (0-1), ml_flag and adjusted_risk_score.
+def anomaly_scores(featured: DataFrame, forest: DataFrame, keep: list[str]) -> DataFrame:
+    """The `keep` columns with ml_score (0-1), ml_flag and adjusted_risk_score.
 
     Raw scores are staged so that the Python scoring runs once although the
     normalisation reads the result twice.
     """
-    scored = stage(raw_scores(spread(featured), forest), "raw_scores")
+    columns = dict.fromkeys([*keep, "final_risk_score", "raw_score"])
+    scored = stage(raw_scores(spread(featured), forest).select(*columns), "raw_scores")
     return (
         normalize(scored, "raw_score", "ml_score")
         .withColumn("ml_flag", (F.col("ml_score") > FLAG_ABOVE).cast("int"))

@@ -733,8 +733,7 @@ def anomaly_features(spark, sf):
 def anomaly_scored(spark, sf):
     featured = featured_logs(spark, sf)
     forest = stage(anomaly.train_forest(featured, "id"), "forest")
-    return anomaly.anomaly_scores(featured, forest).select(
-        "id", "action", "final_risk_score", "ml_score", "ml_flag", "adjusted_risk_score")
+    return anomaly.anomaly_scores(featured, forest, keep=["id", "action"])
 
 
 SCALED = ", ".join(

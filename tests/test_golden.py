@@ -86,6 +86,12 @@ def test_quarantine_keeps_good_elements(spark):
     assert [(r.request_id, r.pos) for r in good] == [(0, 0), (0, 4), (4, 0)]
 
 
+def test_null_payload_is_malformed(spark):
+    rows = spark.createDataFrame([(1, None)], "request_id bigint, payload string")
+    for keep_raw in (True, False):
+        assert [r.rejected for r in payloads.scan_elements(rows, keep_raw).collect()] == [payloads.MALFORMED]
+
+
 def test_payload_may_start_with_whitespace(spark):
     rows = requests(spark, "\n\t [" + json.dumps(SAMPLE[0]) + "]", "\r\n" + json.dumps(SAMPLE[1]))
     assert payloads.event_fields(payloads.scan_elements(rows)).count() == 2

@@ -27,7 +27,7 @@ def test_outliers_score_highest_and_runs_repeat(spark, logs):
     runs = []
     for _ in range(2):
         forest = stage(anomaly.train_forest(featured, "id", trees=40), "forest")
-        scored = anomaly.anomaly_scores(featured, forest)
+        scored = anomaly.anomaly_scores(featured, forest, keep=["id"])
         runs.append({r.id: r.ml_score for r in scored.collect()})
     assert runs[0] == runs[1]
     top = sorted(runs[0], key=runs[0].get, reverse=True)[:5]
