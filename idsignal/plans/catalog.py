@@ -2,17 +2,19 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from idsignal import fixed_values as fv
+from idsignal import schemas
 from idsignal.functions import checks, scores
 from idsignal.functions.ip import extract_ip, repair_ip
 from idsignal.functions.numeric import round_half_up
 from idsignal.functions.risk import with_risk
 from idsignal.functions.times import iso_text
 from idsignal.operators import anomaly, enrich, events, fusion, metrics, reports, scaling, warehouse
+from idsignal.operators.lookup import lookup
 from idsignal.plans import analysis, fixtures as fx
-from idsignal.sources import lines, payloads
+from idsignal.sources import files, lines, payloads, sinks
 from idsignal.streaming import alerts as streams
 from idsignal.workspace import fresh_path, stage
 
@@ -312,6 +314,15 @@ def preprocess(spark, sf):
     return clean.withColumn("timestamp", iso_text(F.col("timestamp")))
 
 
+@query("csv_extract_scan", ORACLES["preprocess"])
+def csv_extract_scan(spark, sf):
+    path = fresh_path(spark, "extract")
+    sinks.write_csv(fx.derive(spark, sf, fx.CSV_EXTRACT).drop("event_id"), path)
+    extract = files.read_csv(spark, path, T.StructType([*schemas.CSV_EXTRACT.fields, T.StructField("result", T.StringType())]))
+    clean = events.preprocess(extract.where(F.col(files.CORRUPT).isNull()))
+    return clean.withColumn("timestamp", iso_text(F.col("timestamp")))
+
+
 CLEAN = "case when {0} is null or lower(trim({0})) in ('nan', 'none', '', 'null') then 'Unknown' else trim({0}) end"
 INGEST = "2024-02-01 00:00:00"
 ADAPTED = f"""
@@ -503,6 +514,25 @@ def dim_upsert(spark, sf):
     return warehouse.upsert(existing, warehouse.first_per_ip(later, "id"), "src_ip", "ip_id")
 
 
+@query("star_load", fx.oracle(**LOADS) + """
+select id, event_ts, user_name as username, action as action_name, l.src_ip, case when t.src_ip is null then i.country else t.country end as country,
+ case when t.src_ip is null then i.ti_score else t.ti_score end as ti_score, result, result_flag, alert_score, prelim_priority, ti_country
+from sightings l left join ips i on i.src_ip = l.src_ip left join later t on t.src_ip = l.src_ip
+where user_name is not null and action is not null""")
+def star_load(spark, sf):
+    """Two loads into one star schema, the second sent twice, read back by name."""
+    base = fresh_path(spark, "star")
+    earlier, later = two_loads(spark, sf)
+    for logs in (earlier, later, later):
+        sinks.load_star(logs, base, ti_country="ti_country")
+    fact = files.read_table(spark, f"{base}/enriched_logs").drop("dt")
+    users, actions = (files.read_table(spark, f"{base}/{name}") for name in ("users", "actions"))
+    ips = sinks.read_ip_details(spark, base).drop("version")
+    for dim, key in [(users, "user_id"), (actions, "action_id"), (ips, "ip_id")]:
+        fact = lookup(fact, dim, key, "id", "inner").drop(key)
+    return fact
+
+
 @query("flat_projection", fx.oracle(**FLAT) + "select src_ip, ti_score, ti_country, ti_asn, alert_score, prelim_priority from flat")
 def flat_projection(spark, sf):
     return warehouse.flat_projection(flat_logs(spark, sf))

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from idsignal.operators import lookup
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -18,6 +19,19 @@ def test_query_equals_sql(spark, sf, con, name):
     assert difference(QUERIES[name](spark, sf), con, ORACLES[name]) is None
 
 
+@pytest.mark.parametrize("name", ["star_fact", "star_fact_strict", "ti_enrich", "anomaly_features", "risk_trend", "star_load"])
+def test_query_without_any_broadcast(spark, sf, con, name, monkeypatch):
+    """The plans for dimensions too large to broadcast give the same rows."""
+    monkeypatch.setattr(lookup, "fits_broadcast", lambda table: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert difference(QUERIES[name](spark, sf), con, ORACLES[name]) is None
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_entry_gives_the_hundred_riskiest(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 100
