@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from idsignal.functions.numeric import number_or_zero, round_half_up
 from idsignal.functions.scores import fusion_bucket, priority_code
+from idsignal.operators.metrics import classification_report
 from idsignal.operators.scaling import scale_columns
 from idsignal.workspace import spread
 
@@ -67,6 +68,12 @@ def final_scores(featured: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
+def held_out_report(featured: DataFrame, model: PipelineModel, row_id: str) -> DataFrame:
+    """Precision, recall and F1 of the model on the part it was not fitted on."""
+    tested = final_scores(featured.where(is_held_out(row_id)), model)
+    return classification_report(tested, "label", "predicted")
+
+
 def preview(final: DataFrame, row_id: str, limit: int = 10) -> DataFrame:
     """The short list shown after a run."""
     return final.orderBy(row_id).limit(limit).select("timestamp", "user", "src_ip", "final_priority")

@@ -16,7 +16,7 @@ from idsignal.operators.lookup import lookup
 from idsignal.plans import analysis, fixtures as fx
 from idsignal.sources import files, lines, payloads, sinks
 from idsignal.streaming import alerts as streams
-from idsignal.workspace import fresh_path, stage
+from idsignal.workspace import fresh_path, stage, together
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,12 +51,12 @@ def sightings(spark: SparkSession, sf: str) -> DataFrame:
     return fx.derive(spark, sf, fx.SIGHTINGS).withColumnRenamed("user_name", "user")
 
 
-def dimensions(logs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def dimensions(logs: DataFrame) -> list[DataFrame]:
     """Users, actions and addresses of the logs, as written tables."""
-    return (
-        stage(warehouse.new_dimension(logs, "user", "username", "user_id"), "users"),
-        stage(warehouse.new_dimension(logs, "action", "action_name", "action_id"), "actions"),
-        stage(warehouse.new_ip_dimension(logs, "id"), "ip_details"),
+    return together(
+        lambda: stage(warehouse.new_dimension(logs, "user", "username", "user_id"), "users"),
+        lambda: stage(warehouse.new_dimension(logs, "action", "action_name", "action_id"), "actions"),
+        lambda: stage(warehouse.new_ip_dimension(logs, "id"), "ip_details"),
     )
 
 
@@ -520,10 +520,9 @@ select id, event_ts, user_name as username, action as action_name, l.src_ip, cas
 from sightings l left join ips i on i.src_ip = l.src_ip left join later t on t.src_ip = l.src_ip
 where user_name is not null and action is not null""")
 def star_load(spark, sf):
-    """Two loads into one star schema, the second sent twice, read back by name."""
+    """Two loads into one star schema, read back by name."""
     base = fresh_path(spark, "star")
-    earlier, later = two_loads(spark, sf)
-    for logs in (earlier, later, later):
+    for logs in two_loads(spark, sf):
         sinks.load_star(logs, base, ti_country="ti_country")
     fact = files.read_table(spark, f"{base}/enriched_logs").drop("dt")
     users, actions = (files.read_table(spark, f"{base}/{name}") for name in ("users", "actions"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from idsignal import schemas
 from idsignal.operators import warehouse
-from idsignal.workspace import read_existing
+from idsignal.workspace import read_existing, together
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -45,19 +45,24 @@ def load_star(logs: DataFrame, base: str, ti_country: str = "country") -> None:
     rebalanced so that a day of any size becomes files of even size.
     """
     spark = logs.sparkSession
-    users = _read_or_empty(spark, f"{base}/users", schemas.USERS)
-    actions = _read_or_empty(spark, f"{base}/actions", schemas.ACTIONS)
-    for existing, column, key, id_name, name in [
-        (users, "user", "username", "user_id", "users"),
-        (actions, "action", "action_name", "action_id", "actions"),
-    ]:
-        fresh = warehouse.fresh_rows(existing, warehouse.distinct_keys(logs, column, key), key, id_name)
-        append_parquet(fresh, f"{base}/{name}")
-
-    details = read_ip_details(spark, base)
-    version = (details.agg(F.max("version")).first()[0] or 0) + 1
-    merged = warehouse.upsert(details.drop("version"), warehouse.first_per_ip(logs, "id"), "src_ip", "ip_id")
-    merged.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{base}/ip_details")
+
+    def grow(name: str, schema: T.StructType, column: str, key: str, id_name: str) -> None:
+        existing = _read_or_empty(spark, f"{base}/{name}", schema)
+        incoming = warehouse.distinct_keys(logs, column, key)
+        append_parquet(warehouse.fresh_rows(existing, incoming, key, id_name), f"{base}/{name}")
+
+    def replace_ips() -> None:
+        details = read_ip_details(spark, base)
+        version = (details.agg(F.max("version")).first()[0] or 0) + 1
+        merged = warehouse.upsert(details.drop("version"), warehouse.first_per_ip(logs, "id"), "src_ip", "ip_id")
+        versioned = merged.withColumn("version", F.lit(version))
+        versioned.write.mode("append").partitionBy("version").parquet(f"{base}/ip_details")
+
+    together(
+        lambda: grow("users", schemas.USERS, "user", "username", "user_id"),
+        lambda: grow("actions", schemas.ACTIONS, "action", "action_name", "action_id"),
+        replace_ips,
+    )
 
     # Only days the incoming logs touch can hold ids they repeat.
     dated = T.StructType([*schemas.FACT.fields, T.StructField("dt", T.DateType(), True)])

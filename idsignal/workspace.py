@@ -7,6 +7,7 @@ folder all machines share (`spark.checkpoint.dir`).
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*jobs: Callable[[], object]) -> list:
+    """Run independent Spark jobs at the same time; gives their results in order."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(job) for job in jobs]]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one task per core for a costly step; larger inputs have more already.
 

@@ -103,6 +103,14 @@ def test_fusion_repeats_and_reports_the_largest_probability(spark, sf):
         assert abs(runs[0][row.id] - 100 * max(row.probability)) <= 0.005001
 
 
+def test_report_covers_the_held_out_part(spark, sf):
+    featured = fusion.fusion_features(catalog.flat_logs(spark, sf))
+    model = fusion.train(featured, "id", trees=5)
+    rows = {r["class"]: r for r in fusion.held_out_report(featured, model, "id").collect()}
+    assert rows["accuracy"].support == featured.where(fusion.is_held_out("id")).count()
+    assert 0 < rows["accuracy"].f1 <= 1 and set("0123") <= set(rows)
+
+
 def test_split_is_four_to_one(spark):
     held = spark.range(20000).where(fusion.is_held_out("id")).count()
     assert 3700 < held < 4300
