@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from idsignal.llm import mixing, packing, pii, quality, simhash
+from idsignal.llm import language, licenses, mixing, packing, pii, quality, simhash, substrings, topk, toxicity
+from idsignal.llm.common import fold
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +24,39 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, fold() != 0, fold() == language.CALIBRATION, ["doc_id"])
+    return found.select("doc.doc_id", (fold("doc.doc_id") == 0).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "entropy", "rejected")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold() != 0, ["doc_id"])
+    return found.select("doc.doc_id", (fold("doc.doc_id") == 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc.doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("row_id").alias("vec_id"), "score")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source: 16 to a directory, 256 to its parent; each 16th is a LICENSE file."""
+    docs = table(spark, sf_dir, "documents")
+    step = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    file = F.when(F.col("doc_id") % 256 == 0, F.concat_ws("/", "source", step(256), F.lit("LICENSE"))).when(
+        F.col("doc_id") % 16 == 0, F.concat_ws("/", "source", step(256), step(16), F.lit("LICENSE"))).otherwise(
+        F.concat_ws("/", "source", step(256), step(16), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    found = licenses.scan(docs.select("doc_id", "text", file.alias("path")), ["doc_id"])
+    return found.select("doc.doc_id", "path", "own", "cosine", "licence", "declared_in")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return judged.select("doc.doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
@@ -51,10 +85,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_top_k": op5_top_k,
     "op6_simhash_groups": op6_simhash_groups,
+    "op7_license_scan": op7_license_scan,
     "op8_mix_sources": op8_mix_sources,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_top_k": """
+with v as (
+  select vec_id, [cast(floor(1024 * cast(x as double)) as double) for x in embedding] as e from embeddings
+  where embedding is not null and vec_id is not null
+    and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 10""",
+}
