@@ -3,9 +3,10 @@
 * Folding (`fold_text`) keeps one character per character: lower case, look-alike letters of other
   alphabets and digits that stand for letters become one letter of their class (i, l, 1 and | are
   one class), `@` and `$` inside words too; all that is no letter then becomes a space.
-* Lexicon: words of documents labelled toxic with at least `SUPPORT` such documents, at most
-  `CANDIDATES`, are counted in all labelled documents; the log odds of toxic against clean is the
-  weight of those that reach `MIN_SHARE` of the highest odds there can be and are sure enough, at most `LEXICON`.
+* Lexicon: stems (beginnings of words, `STEM` characters and more) and whole words, which end in a
+  space. Those in at least `SUPPORT` documents labelled toxic, at most `CANDIDATES`, are counted in
+  all labelled documents; the log odds of toxic against clean is the weight of those that are high
+  (`MIN_WEIGHT`) and sure (`MIN_Z`) enough, at most `LEXICON`, less those a shorter one stands for.
 * Exceptions: a neighbour with a lexicon word, in whose company the word is no sign of toxicity in
   the labelled documents, takes its match away; at most `LEXICON` phrases.
 * Score: matched weight and matched weight per word, through a logistic curve fitted on at most
@@ -13,8 +14,8 @@
 
 Defined cases: null or empty text matches nothing and gets the score of a clean text; rows are scored
 one by one, so repeated rows agree; a document with several labels counts as toxic if one is; null
-labels are left out; without toxic or without clean labelled rows every score is 0. Matches are whole
-words, in texts of any length.
+labels are left out; without toxic or without clean labelled rows every score is 0. Matches begin
+where a word begins, the best one counts per word, in texts of any length.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ from idsignal.workspace import stage
 
 SUPPORT = 5
 SUPPORT_SHARE = 0.004
-CANDIDATES = 20_000
-LEXICON = 2000
-MIN_SHARE = 0.6
-MIN_Z = 4.0
+CANDIDATES = 100_000
+LEXICON = 4000
+MIN_WEIGHT = 1.5
+MIN_Z = 3.0
+STEM = (4, 10)
+FLUSH = 300_000
 FIT_ROWS = 50_000
 #: Letters of other alphabets, digits and signs that look like a Latin letter.
 LOOK_ALIKES = {
@@ -86,54 +89,70 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, learn: Column, text: str,
     return stage(rows.join(marks, rows["id"] == marks["labelled"]).select((F.col("toxic") != 0).alias("toxic"), "text"), f"{name}-labelled")
 
 
-def _tokens(rows: DataFrame, tokens) -> DataFrame:
-    """(toxic, token) for each distinct token of each text."""
+def stems(word: str) -> list[str]:
+    """The beginnings of a word and, with a space after it, the word."""
+    return [word[:n] for n in range(STEM[0], min(len(word), STEM[1]) + 1)] + [word + " "]
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks, found = [], []
-        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            some = tokens(fold_text(text).split())
-            marks += [toxic] * len(some)
-            found += some
-        return pa.RecordBatch.from_arrays([pa.array(marks, pa.bool_()), pa.array(found, pa.string())], ["toxic", "token"])
 
-    return map_batches(rows, work, "toxic boolean, token string")
+def count_tokens(rows: DataFrame, tokens) -> DataFrame:
+    """(token, t, c): the toxic and the clean texts that hold a token, summed per task before the shuffle."""
+
+    def run(batches):
+        counts: dict[str, list[int]] = {}
+
+        def flush():
+            columns = [list(counts), [v[1] for v in counts.values()], [v[0] for v in counts.values()]]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(x, pa.int64()) for x in columns[1:]]], ["token", "t", "c"])
+
+        for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                for token in tokens(fold_text(text).split()):
+                    counts.setdefault(token, [0, 0])[toxic] += 1
+                if len(counts) > FLUSH:
+                    yield flush()
+        yield flush()
+
+    return (rows.mapInArrow(run, "token string, t long, c long").groupBy("token")
+            .agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
 
 
-def odds(rows: DataFrame, totals: tuple[int, int]) -> DataFrame:
-    """(token, t, c, weight, z) from (toxic, token): log odds of toxic against clean, and how sure."""
+def odds(counts: DataFrame, totals: tuple[int, int]) -> DataFrame:
+    """`counts` with weight, the log odds of toxic against clean, and z, how sure it is."""
     toxic, clean = totals
-    counts = rows.groupBy("token").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     return counts.withColumn("weight", weight).withColumn(
         "z", F.col("weight") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
 
 
 def learn_lexicon(rows: DataFrame, totals: tuple[int, int]) -> dict[str, float]:
-    """Folded word to weight."""
+    """Folded stem or word to weight."""
     support = max(SUPPORT, math.ceil(SUPPORT_SHARE * totals[0]))
-    words = _tokens(rows.where("toxic"), lambda w: list({x for x in w if len(x) > 2}))
-    counts = words.groupBy("token").count().where(F.col("count") >= support)
-    common = {r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(CANDIDATES).collect()}
-    found = odds(_tokens(rows, lambda w: list(common.intersection(w))), totals)
-    highest = math.log((totals[0] + 0.5) / (totals[0] + 1) * 2 * (totals[1] + 1))
-    sure = found.where((F.col("weight") >= MIN_SHARE * highest) & (F.col("z") >= MIN_Z))
-    return {r["token"]: r["weight"] for r in sure.orderBy(F.desc("z"), "token").limit(LEXICON).collect()}
+    counts = count_tokens(rows.where("toxic"), lambda words: {s for w in set(words) if len(w) > 2 for s in stems(w)})
+    common = {r["token"] for r in counts.where(F.col("t") >= support).orderBy(F.desc("t"), "token").limit(CANDIDATES).collect()}
+    found = odds(count_tokens(rows, lambda words: common.intersection([s for w in set(words) for s in stems(w)])), totals)
+    sure = found.where((F.col("weight") >= MIN_WEIGHT) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
+    lexicon: dict[str, float] = {}
+    for r in sorted(sure, key=lambda r: (len(r["token"]), r["token"])):
+        shorter = max((lexicon.get(r["token"][:n], 0.0) for n in range(STEM[0], len(r["token"]))), default=0.0)
+        if r["weight"] > 1.2 * shorter:
+            lexicon[r["token"]] = r["weight"]
+    return lexicon
 
 
 def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], totals: tuple[int, int]) -> list[str]:
-    """Two-word phrases with a lexicon word that are no sign of toxicity."""
+    """Two-word phrases with a lexicon word that are no sign of toxicity, a space after them."""
 
-    def phrases(words: list[str]) -> list[str]:
-        hits = [i for i, w in enumerate(words) if w in lexicon]
-        return list({f"{words[j]} {words[j + 1]}" for i in hits for j in (i - 1, i) if j >= 0 and j + 1 < len(words)})
+    def phrases(words: list[str]) -> set[str]:
+        hits = [i for i, w in enumerate(words) if any(s in lexicon for s in stems(w))]
+        return {f"{words[j]} {words[j + 1]} " for i in hits for j in (i - 1, i) if j >= 0 and j + 1 < len(words)}
 
-    found = odds(_tokens(rows, phrases), totals).where((F.col("c") >= SUPPORT) & (F.col("weight") <= 0))
+    found = odds(count_tokens(rows, phrases), totals).where((F.col("c") >= SUPPORT) & (F.col("weight") <= 0))
     return [r["token"] for r in found.orderBy(F.desc("c"), "token").limit(LEXICON).collect()]
 
 
 class Matcher:
-    """Whole lexicon words in a folded text, less those inside an exception phrase."""
+    """Lexicon entries at the beginnings of words of a folded text, less words inside an exception phrase."""
 
     def __init__(self, lexicon: dict[str, float], exceptions: list[str]):
         self.automaton = ahocorasick.Automaton()
@@ -146,24 +165,30 @@ class Matcher:
         self.empty = not lexicon
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of each match."""
+        """(start, end, weight) of the best match of each word; `text` has one space between words and at its end."""
         if self.empty or not text:
             return []
-        words, shields = [], []
-        last = len(text) - 1
+        words: dict[int, tuple[int, int, float]] = {}
+        shields = []
         for end, (size, weight) in self.automaton.iter(text):
             start = end - size + 1
-            if (start and text[start - 1] != " ") or (end < last and text[end + 1] != " "):
+            if start and text[start - 1] != " ":
                 continue
-            (shields if weight is None else words).append((start, end + 1, weight))
-        return [w for w in words if not any(a <= w[0] and w[1] <= b for a, b, _ in shields)] if shields else words
+            if weight is None:
+                shields.append((start, end + 1))
+            elif start not in words or words[start][2] < weight:
+                words[start] = (start, end + 1, weight)
+        if shields:
+            return [w for w in words.values() if not any(a <= w[0] < b for a, b in shields)]
+        return list(words.values())
 
 
 def measure(matcher: Matcher, text: bytes | None) -> tuple[int, int, float]:
-    """Words, matches, matched weight of a text."""
-    plain = fold_text(text)
-    found = matcher.hits(plain)
-    return len(plain.split()), len(found), sum(w for _, _, w in found)
+    """Words, different matches, and their weight, of a text: saying one thing often proves no more."""
+    words = fold_text(text).split()
+    plain = " ".join([*words, ""])
+    found = {plain[a:b]: w for a, b, w in matcher.hits(plain)}
+    return len(words), len(found), sum(found.values())
 
 
 def signals(words: np.ndarray, hits: np.ndarray, weight: np.ndarray) -> np.ndarray:
