@@ -14,9 +14,9 @@ def known(value: Column) -> Column:
     return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
-def exact_sum(value: Column) -> Column:
-    """Sum at six decimals: a decimal sum is the same in every order, a double sum is not."""
-    return F.sum(known(value).cast("decimal(18,6)"))
+def known_sum(value: Column) -> Column:
+    """Sum of the numbers; a last bit may depend on their order, so means are shown rounded."""
+    return F.sum(known(value))
 
 
 def ratio(total: Column, count: Column) -> Column:
@@ -24,8 +24,8 @@ def ratio(total: Column, count: Column) -> Column:
     return F.when(count > 0, total.cast("double") / count)
 
 
-def exact_mean(value: Column) -> Column:
-    return ratio(exact_sum(value), F.count(known(value)))
+def known_mean(value: Column) -> Column:
+    return F.avg(known(value))
 
 
 def round_half_up(value: Column, places: int) -> Column:
@@ -34,6 +34,12 @@ def round_half_up(value: Column, places: int) -> Column:
     return F.floor(value * scale + F.lit(0.5)) / F.lit(scale)
 
 
+def round_half_even(value: Column, places: int) -> Column:
+    """Round with ties to the even neighbour, as in 0.125 to 0.12."""
+    scale = float(10**places)
+    return F.rint(value * scale) / F.lit(scale)
+
+
 def two_decimals(value: Column) -> Column:
     """Text with two decimals, as in "0.50"."""
-    return round_half_up(value, 2).cast("decimal(18,2)").cast("string")
+    return round_half_even(value, 2).cast("decimal(18,2)").cast("string")

@@ -20,10 +20,10 @@ def valid_ips(rows: DataFrame, ip: str = "src_ip") -> DataFrame:
 
 def enrich(rows: DataFrame, reputation: DataFrame, row_id: str) -> DataFrame:
     """Repair src_ip and add ti_score, ti_country and ti_asn; unknown addresses get 1, NA, NA."""
-    records = reputation.select(
-        F.col("ip").alias("src_ip"), "abuse_confidence",
-        F.col("country").alias("_country"), F.col("asn").alias("_asn"),
-    )
+    # an address listed twice counts once, by its highest confidence, then country and number
+    best = F.max(F.struct("abuse_confidence", "country", "asn")).alias("_best")
+    records = reputation.where(F.col("ip").isNotNull()).groupBy(F.col("ip").alias("src_ip")).agg(best).select(
+        "src_ip", "_best.abuse_confidence", F.col("_best.country").alias("_country"), F.col("_best.asn").alias("_asn"))
     repaired = rows.withColumn("src_ip", repair_ip(F.col("src_ip")))
     matched = lookup(repaired, records, "src_ip", row_id)
     return (

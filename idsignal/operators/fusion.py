@@ -7,25 +7,42 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from idsignal.functions.numeric import number_or_zero, round_half_up
+from idsignal.functions.numeric import number_or_zero, round_half_even
 from idsignal.functions.scores import fusion_bucket, priority_code
 from idsignal.operators.metrics import classification_report
-from idsignal.operators.scaling import scale_columns
-from idsignal.workspace import spread
+from idsignal.operators.scaling import range_table, scale_columns
+from idsignal.workspace import load_or_write
 
 # -- fixed values: model settings -----------------------------------------------
 INPUTS = ["alert_score", "ti_score", "ip_score", "result_flag"]
 TREES = 100
 SEED = 42
 TEST_PARTS = 5  # one part in five is held out
+DEPTH = 15  # the original has no limit; deeper trees change little and cost driver memory
+TRAIN_ROWS = 200_000  # labelled rows fitted on at most, chosen by hash of their id
+TRAIN_PARTS = 16  # bagging is seeded per partition, so their number must not follow the cluster
 
 SCALED = [f"{name}_scaled" for name in INPUTS]
 
 
-def fusion_features(alerts: DataFrame) -> DataFrame:
-    """Null-filled inputs, their 0-1 scaled form and the label from prelim_priority."""
-    filled = alerts.withColumns({name: number_or_zero(F.col(name).cast("double")) for name in INPUTS})
-    return scale_columns(filled, INPUTS).withColumn("label", priority_code(F.col("prelim_priority")))
+def filled_inputs(alerts: DataFrame) -> DataFrame:
+    return alerts.withColumns({name: number_or_zero(F.col(name).cast("double")) for name in INPUTS})
+
+
+def fusion_features(alerts: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """Null-filled inputs, their 0-1 scaled form and the label from prelim_priority.
+
+    `bounds` is the one-row table of `scaling.range_table`, by default that of these alerts.
+    """
+    scaled = scale_columns(filled_inputs(alerts), INPUTS, bounds=bounds)
+    return scaled.withColumn("label", priority_code(F.col("prelim_priority")))
+
+
+def load_or_measure(path: str, alerts: DataFrame) -> DataFrame:
+    """The input ranges saved at `path` beside a model, measured and saved first if there are none."""
+    rows = filled_inputs(alerts)
+    table = range_table(rows, INPUTS)
+    return load_or_write(alerts.sparkSession, path, table.schema, lambda: table)
 
 
 def is_held_out(row_id: str) -> Column:
@@ -33,14 +50,21 @@ def is_held_out(row_id: str) -> Column:
     return F.pmod(F.xxhash64(F.col(row_id), F.lit(SEED)), F.lit(TEST_PARTS)) == 0
 
 
-def train(featured: DataFrame, row_id: str, trees: int = TREES, depth: int = 5) -> PipelineModel:
+def training_rows(featured: DataFrame, row_id: str, limit: int = TRAIN_ROWS) -> DataFrame:
+    """About `limit` rows of the training part at most, laid out the same on every cluster."""
+    part = featured.where(~is_held_out(row_id)).select(row_id, *SCALED, F.col("label").cast("double").alias("label"))
+    share = min(1.0, limit / max(part.count(), 1))
+    chosen = F.pmod(F.xxhash64(F.col(row_id), F.lit(SEED + 1)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return part.where(chosen).repartition(TRAIN_PARTS, row_id).sortWithinPartitions(row_id, *SCALED, "label")
+
+
+def train(featured: DataFrame, row_id: str, trees: int = TREES, depth: int = DEPTH, limit: int = TRAIN_ROWS) -> PipelineModel:
     """Fit on the training part (runs Spark jobs)."""
     stages = [
         VectorAssembler(inputCols=SCALED, outputCol="features"),
         RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=1024),
     ]
-    part = featured.where(~is_held_out(row_id)).select(*SCALED, F.col("label").cast("double").alias("label"))
-    return Pipeline(stages=stages).fit(spread(part))
+    return Pipeline(stages=stages).fit(training_rows(featured, row_id, limit))
 
 
 def load_or_train(path: str, featured: DataFrame, row_id: str, **settings) -> PipelineModel:
@@ -60,7 +84,7 @@ def final_scores(featured: DataFrame, model: PipelineModel) -> DataFrame:
     scored = model.transform(featured).withColumn("_p", vector_to_array("probability"))
     return (
         scored
-        .withColumn("final_score", round_half_up(F.array_max("_p") * F.lit(100.0), 2))
+        .withColumn("final_score", round_half_even(F.array_max("_p") * F.lit(100.0), 2))
         .withColumn("final_priority", fusion_bucket(F.col("final_score") / F.lit(100.0)))
         .withColumn("p_high", F.aggregate(F.slice("_p", 3, 4), F.lit(0.0), lambda a, b: a + b))
         .withColumn("predicted", F.col("prediction").cast("int"))

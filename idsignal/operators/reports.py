@@ -4,10 +4,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from idsignal import fixed_values as fv
 from idsignal.functions.explain import entity_message, insight_advice
-from idsignal.functions.numeric import exact_mean, exact_sum, known, ratio, round_half_up, two_decimals
+from idsignal.functions.numeric import known, known_mean, known_sum, ratio, round_half_even, round_half_up, two_decimals
 from idsignal.functions.text import capitalize, feed_name, insight_name, or_default
 from idsignal.functions.times import printed_time
 from idsignal.operators.numbering import group_ordinals
+from idsignal.workspace import stage
 
 # -- request analysis -----------------------------------------------------------
 
@@ -92,9 +93,9 @@ def warehouse_stats(fact: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_alerts"),
         F.count_if(F.upper("prelim_priority") == "HIGH").alias("critical_alerts"),
         F.countDistinct("user_id").alias("unique_users"),
-        exact_mean(F.col("alert_score")).alias("_mean"),
+        known_mean(F.col("alert_score")).alias("_mean"),
     )
-    shown = round_half_up(F.coalesce(round_half_up(F.col("_mean"), 6), F.lit(0.0)) * F.lit(10000.0), 2)
+    shown = round_half_even(F.coalesce(round_half_up(F.col("_mean"), 6), F.lit(0.0)) * F.lit(10000.0), 2)
     return totals.withColumn("avg_risk_score", shown).drop("_mean")
 
 
@@ -103,16 +104,16 @@ def stats_by_username(fact: DataFrame, users: DataFrame) -> DataFrame:
     per_user = fact.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count_if(F.upper("prelim_priority") == "HIGH").alias("_high"),
-        exact_sum(F.col("alert_score")).alias("_sum"),
+        known_sum(F.col("alert_score")).alias("_sum"),
         F.count(known(F.col("alert_score"))).alias("_scored"),
     )
     return (
         per_user.join(users.select("user_id", "username"), "user_id", "left")
         .agg(
-            F.sum("_rows").alias("total_alerts"),
-            F.sum("_high").alias("critical_alerts"),
+            F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_alerts"),
+            F.coalesce(F.sum("_high"), F.lit(0)).alias("critical_alerts"),
             F.countDistinct("username").alias("unique_users"),
-            round_half_up(ratio(F.sum("_sum"), F.sum("_scored")), 2).alias("avg_risk_score"),
+            round_half_even(ratio(F.sum("_sum"), F.sum("_scored")), 2).alias("avg_risk_score"),
         )
     )
 
@@ -121,12 +122,18 @@ def record_count(fact: DataFrame) -> DataFrame:
     return fact.agg(F.count(F.lit(1)).alias("records_loaded"))
 
 
+def named(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """A few written rows with their row of a dimension of any size, which is not shuffled:
+    the rows' keys are sent to it, what is left of it is sent back."""
+    wanted = dim.join(F.broadcast(rows.select(key).distinct()), key, "left_semi")
+    return rows.join(F.broadcast(wanted), key, "left")
+
+
 def _with_names(rows: DataFrame, users: DataFrame, actions: DataFrame, ips: DataFrame) -> DataFrame:
-    return (
-        rows.join(users.select("user_id", "username"), "user_id", "left")
-        .join(actions.select("action_id", F.col("action_name").alias("action")), "action_id", "left")
-        .join(ips.select("ip_id", "src_ip"), "ip_id", "left")
-    )
+    rows = stage(rows, "latest")
+    rows = named(rows, users.select("user_id", "username"), "user_id")
+    rows = named(rows, actions.select("action_id", F.col("action_name").alias("action")), "action_id")
+    return named(rows, ips.select("ip_id", "src_ip"), "ip_id")
 
 
 def alerts_feed(fact: DataFrame, users: DataFrame, actions: DataFrame, ips: DataFrame, limit: int = 100) -> DataFrame:
@@ -169,7 +176,7 @@ def _day_totals(logs: DataFrame, extra: list[str]) -> DataFrame:
     score = known(F.col("alert_score"))
     scored = F.when(score != 0, score)
     return logs.groupBy(*extra, F.date_format("event_ts", "yyyy-MM-dd").alias("day")).agg(
-        F.count(F.lit(1)).alias("_n"), exact_sum(scored).alias("_sum"), F.count(scored).alias("_scored"))
+        F.count(F.lit(1)).alias("_n"), known_sum(scored).alias("_sum"), F.count(scored).alias("_scored"))
 
 
 def _trend_output(totals: DataFrame, extra: list[str]) -> DataFrame:
@@ -229,9 +236,10 @@ def top_high_users(logs: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def top_risky_ips(logs: DataFrame, limit: int = 5) -> DataFrame:
+    """Addresses of the highest mean score, to twelve decimals so that its last bit ranks nothing."""
     return (
         logs.where(F.col("src_ip").isNotNull())
-        .groupBy("src_ip").agg(exact_mean(F.col("alert_score")).alias("mean_score"))
+        .groupBy("src_ip").agg(F.round(known_mean(F.col("alert_score")), 12).alias("mean_score"))
         .orderBy(F.desc_nulls_last("mean_score"), "src_ip").limit(limit)
     )
 
@@ -274,11 +282,11 @@ def entity_insights(logs: DataFrame) -> DataFrame:
     """Mean score per user with a message, riskiest first."""
     return (
         logs.where(F.col("user").isNotNull())
-        .groupBy("user").agg(exact_mean(F.col("alert_score")).alias("_mean"))
+        .groupBy("user").agg(known_mean(F.col("alert_score")).alias("_mean"))
         .where(F.col("_mean").isNotNull())
         .select(
             capitalize(F.col("user")).alias("entity"),
-            round_half_up(F.col("_mean"), 2).alias("risk_score"),
+            round_half_even(F.col("_mean"), 2).alias("risk_score"),
             entity_message(F.col("_mean")).alias("summary"),
         )
         .orderBy(F.desc("risk_score"), "entity")
@@ -292,9 +300,9 @@ def agentic_insights(fact: DataFrame, users: DataFrame, limit: int = 100) -> Dat
         .select("id", "user_id", "alert_score", "prelim_priority", "ti_country")
         .orderBy(F.desc("alert_score"), "id").limit(limit)
     )
-    named = top.join(users.select("user_id", "username"), "user_id", "left")
+    found = named(stage(top, "highest"), users.select("user_id", "username"), "user_id")
     user = insight_name(F.col("username"))
-    advice = named.orderBy(F.desc("alert_score"), "id").select(
+    advice = found.orderBy(F.desc("alert_score"), "id").select(
         "id",
         user.alias("user"),
         insight_advice(

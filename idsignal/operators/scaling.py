@@ -8,12 +8,12 @@ def value_range(rows: DataFrame, column: str) -> Column:
     return rows.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
 
 
-def ranges(rows: DataFrame, columns: list[str]) -> Column:
-    """lo_<column> and hi_<column> of several columns in one pass."""
+def range_table(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: struct `ranges` with lo_<column> and hi_<column> of several columns, in one pass."""
     bounds = []
     for column in columns:
         bounds += [F.min(column).alias(f"lo_{column}"), F.max(column).alias(f"hi_{column}")]
-    return rows.agg(F.struct(*bounds)).scalar()
+    return rows.agg(F.struct(*bounds).alias("ranges"))
 
 
 def normalize(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -25,9 +25,10 @@ def normalize(rows: DataFrame, column: str, name: str) -> DataFrame:
     )
 
 
-def scale_columns(rows: DataFrame, columns: list[str], suffix: str = "_scaled") -> DataFrame:
-    """Min-max scale to 0-1; a constant column becomes 0."""
-    scaled = rows.withColumn("_ranges", ranges(rows, columns))
+def scale_columns(rows: DataFrame, columns: list[str], suffix: str = "_scaled", bounds: DataFrame | None = None) -> DataFrame:
+    """Min-max scale to 0-1; a constant column becomes 0. With `bounds` of other rows, values beyond them leave 0-1."""
+    measured = range_table(rows, columns) if bounds is None else bounds
+    scaled = rows.withColumn("_ranges", measured.scalar())
     for column in columns:
         lo, hi = F.col(f"_ranges.lo_{column}"), F.col(f"_ranges.hi_{column}")
         width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))

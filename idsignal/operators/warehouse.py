@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from idsignal.operators.lookup import lookup
 from idsignal.operators.numbering import dense_ids
+from idsignal.workspace import stage
 
 
 def _next_id(existing: DataFrame, id_name: str):
@@ -60,6 +61,27 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, id_name: str) ->
     return updated.unionByName(fresh_rows(existing, incoming, key, id_name))
 
 
+def changed_rows(existing: DataFrame, incoming: DataFrame, key: str, id_name: str) -> DataFrame:
+    """What an upsert changes: known keys with another value, and new keys."""
+    values = [c for c in existing.columns if c not in (key, id_name)]
+    new_side = incoming.select(key, F.struct(*values).alias("_new"))
+    met = existing.withColumn("_old", F.struct(*values)).drop(*values).join(new_side, key)
+    other = met.where(~F.col("_old").eqNullSafe(F.col("_new"))).select(id_name, key, *[F.col(f"_new.{c}").alias(c) for c in values])
+    return other.select(*existing.columns).unionByName(fresh_rows(existing, incoming, key, id_name))
+
+
+def one_per_id(logs: DataFrame, id_name: str = "id", order: str = "event_ts") -> DataFrame:
+    """One row per id: the earliest by `order` (undated last), then by the other columns in turn."""
+    rest = [c for c in logs.columns if c not in (id_name, order)]
+    first = F.min(F.struct(F.col(order).isNull().alias("_undated"), order, *rest)).alias("_first")
+    return logs.groupBy(id_name).agg(first).select(id_name, "_first.*").select(*logs.columns)
+
+
+def loadable(logs: DataFrame) -> DataFrame:
+    """Rows that have all three keys."""
+    return logs.where(F.col("user").isNotNull() & F.col("action").isNotNull() & F.col("src_ip").isNotNull())
+
+
 def star_fact(logs: DataFrame, users: DataFrame, actions: DataFrame, ips: DataFrame,
               ti_country: str = "country") -> DataFrame:
     """Fact rows whose user, action and address are all in the dimensions.
@@ -67,7 +89,7 @@ def star_fact(logs: DataFrame, users: DataFrame, actions: DataFrame, ips: DataFr
     Dimensions should be written tables: each is measured and then joined. Addresses,
     the largest, come last, after the joins most likely to need no shuffle.
     """
-    keyed = logs.where(F.col("user").isNotNull() & F.col("action").isNotNull() & F.col("src_ip").isNotNull())
+    keyed = loadable(logs)
     fact = keyed.select("id", "event_ts", "user", "action", "src_ip", "result", "result_flag",
                         "alert_score", "prelim_priority", F.col(ti_country).alias("ti_country"))
     for dim, key in [
@@ -95,9 +117,9 @@ def missing_keys(logs: DataFrame, users: DataFrame, actions: DataFrame, ips: Dat
         )
         reports.append(checked.agg(
             F.lit(column).alias("dimension"),
-            F.sum("_n").alias("incoming_rows"),
-            F.sum(F.when(F.col("_known"), F.col("_n")).otherwise(0)).alias("matched_rows"),
-            F.sum(F.when(F.col("_key").isNull(), F.col("_n")).otherwise(0)).alias("null_rows"),
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("incoming_rows"),
+            F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("matched_rows"),
+            F.coalesce(F.sum(F.when(F.col("_key").isNull(), F.col("_n"))), F.lit(0)).alias("null_rows"),
             F.count_if(unknown).alias("missing_keys"),
         ).withColumn("sample_keys", sample))
     return reduce(DataFrame.unionByName, reports)
@@ -107,9 +129,8 @@ def flat_projection(logs: DataFrame) -> DataFrame:
     return logs.select("src_ip", "ti_score", "ti_country", "ti_asn", "alert_score", "prelim_priority")
 
 
-def _key_rules(table: DataFrame, name: str, column: str) -> DataFrame:
-    """Repeated keys and null rows of a key column, from one count per key."""
-    counts = table.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+def _key_rules(counts: DataFrame, name: str, column: str) -> DataFrame:
+    """Repeated keys and null rows of a key column, from its row count `_n` per key."""
     null = F.col(column).isNull()
     found = counts.agg(
         F.count_if((F.col("_n") > 1) & ~null).alias("unique"),
@@ -119,10 +140,13 @@ def _key_rules(table: DataFrame, name: str, column: str) -> DataFrame:
         F.lit(f"{name}.{column}").alias("target"), "rule", "violations")
 
 
-def _orphans(fact: DataFrame, column: str, dim: DataFrame) -> DataFrame:
-    """Fact rows with a key the dimension lacks; rows are counted per key before the join."""
-    counts = fact.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.join(dim.select(column), column, "left_anti").agg(
+def _per_key(table: DataFrame, column: str) -> DataFrame:
+    return table.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _orphans(counts: DataFrame, column: str, dim: DataFrame) -> DataFrame:
+    """Fact rows with a key the dimension lacks, from the row count `_n` per key."""
+    return counts.where(F.col(column).isNotNull()).join(dim.select(column), column, "left_anti").agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")
     ).select(F.lit(f"enriched_logs.{column}").alias("target"), F.lit("foreign key").alias("rule"), "violations")
 
@@ -134,7 +158,15 @@ def constraint_report(fact: DataFrame, users: DataFrame, actions: DataFrame, ips
         ("actions", actions, "action_id", "action_name"),
         ("ip_details", ips, "ip_id", "src_ip"),
     ]
-    checks = [_key_rules(fact, "enriched_logs", "id")]
+    # one pass over the fact: a row per (column, key) with its count, written once
+    columns = ["id", *[id_name for _, _, id_name, _ in dims]]
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("bigint").alias("key")) for c in columns])).alias("side")
+    counted = stage(fact.select(sides).groupBy("side.column", "side.key").agg(F.count(F.lit(1)).alias("_n")), "key_counts")
+
+    def of(column: str) -> DataFrame:
+        return counted.where(F.col("column") == column).select(F.col("key").alias(column), "_n")
+
+    checks = [_key_rules(of("id"), "enriched_logs", "id")]
     for name, dim, id_name, key in dims:
-        checks += [_key_rules(dim, name, id_name), _key_rules(dim, name, key), _orphans(fact, id_name, dim)]
+        checks += [_key_rules(_per_key(dim, id_name), name, id_name), _key_rules(_per_key(dim, key), name, key), _orphans(of(id_name), id_name, dim)]
     return reduce(DataFrame.unionByName, checks)

@@ -1,7 +1,7 @@
 """The warehouse run: score, enrich, fuse and load one set of flat logs.
 
 Each step writes its result below `base`, once; models are trained on the first
-run and loaded afterwards.
+run, with the ranges their inputs are scaled by, and loaded afterwards.
 """
 
 from pyspark.sql import DataFrame
@@ -25,7 +25,8 @@ def enrich_logs(logs: DataFrame, reputation: DataFrame, base: str, run: str, row
 
 def fuse_alerts(enriched: DataFrame, base: str, run: str, row_id: str = "id") -> DataFrame:
     """Final score and priority for enriched logs."""
-    featured = fusion.fusion_features(enriched)
+    bounds = fusion.load_or_measure(f"{base}/models/fusion_ranges", enriched)
+    featured = fusion.fusion_features(enriched, bounds)
     model = fusion.load_or_train(f"{base}/models/fusion", featured, row_id)
     final = fusion.final_scores(featured, model).drop(*fusion.SCALED, "label")
     return _written(final, f"{base}/final_alerts/{run}")

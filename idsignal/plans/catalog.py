@@ -89,13 +89,17 @@ def sql_list(values: list[str]) -> str:
 
 
 def sql_mean(value: str) -> str:
-    return f"(cast(sum(cast({value} as decimal(18,6))) as double) / nullif(count({value}), 0))"
+    return f"avg({value})"
 
 
 def sql_round(value: str, places: int) -> str:
     return f"(floor({value} * 1e{places} + 0.5) / 1e{places})"
 
 
+def sql_even(value: str, places: int) -> str:
+    return f"round_even({value}, {places})"
+
+
 def sql_capitalize(text: str) -> str:
     return f"(upper(substr({text}, 1, 1)) || lower(substr({text}, 2)))"
 
@@ -298,6 +302,15 @@ def raw_line_auth(spark, sf):
     return lines.normalize_lines(fx.derive(spark, sf, fx.RAW_LINES), auth_rule=True).drop("event_ts")
 
 
+@query("line_files", fx.oracle(raw_lines=fx.RAW_LINES) + f"""
+select raw_log, 'UNKNOWN' as event_type, {sql_ip('raw_log')} as src_ip, cast(null as varchar) as "user" from raw_lines""")
+def line_files(spark, sf):
+    """Lines written as text files and read again."""
+    path = fresh_path(spark, "lines")
+    fx.derive(spark, sf, fx.RAW_LINES).select("raw_log").write.text(path)
+    return lines.normalize_lines(lines.read_lines(spark, path))
+
+
 @query("raw_landing", fx.oracle(raw_lines=fx.RAW_LINES) + f"""
 select event_id as id, raw_log, cast(json_object('event_type', 'UNKNOWN', 'src_ip', {sql_ip('raw_log')}, 'raw', raw_log) as varchar)
  as normalized, false as processed, event_ts as created_at from raw_lines""")
@@ -316,8 +329,10 @@ def preprocess(spark, sf):
 
 @query("csv_extract_scan", ORACLES["preprocess"])
 def csv_extract_scan(spark, sf):
+    """Columns are found by their names in the header, whose order is not the schema's."""
     path = fresh_path(spark, "extract")
-    sinks.write_csv(fx.derive(spark, sf, fx.CSV_EXTRACT).drop("event_id"), path)
+    written = fx.derive(spark, sf, fx.CSV_EXTRACT).drop("event_id")
+    sinks.write_csv(written.select(*reversed(written.columns)), path)
     extract = files.read_csv(spark, path, T.StructType([*schemas.CSV_EXTRACT.fields, T.StructField("result", T.StringType())]))
     clean = events.preprocess(extract.where(F.col(files.CORRUPT).isNull()))
     return clean.withColumn("timestamp", iso_text(F.col("timestamp")))
@@ -427,6 +442,26 @@ def ti_enrich(spark, sf):
     return enrich.enrich(rows, reputation, "event_id")
 
 
+REPUTATION_TABLE = """
+select '203.0.113.' || cast(user_id % 7 as varchar) as ip, cast(user_id * 13 % 101 as integer) as abuse_confidence,
+ case user_id % 3 when 0 then 'US' when 1 then 'IN' else null end as country, 'AS' || cast(user_id % 9 as varchar) as asn
+from events"""
+
+
+@query("ti_enrich_table", fx.oracle(ct_events=fx.CT_EVENTS, listed=REPUTATION_TABLE, reputation="""
+select ip, abuse_confidence, country, asn from (select *, row_number() over (partition by ip
+ order by abuse_confidence desc nulls last, country desc nulls last, asn desc nulls last) as place from listed) where place = 1""",
+                                    broken="select event_id, source_ip_address as src_ip from ct_events", repaired=REPAIRED)
+       + ORACLES["ti_enrich"][ORACLES["ti_enrich"].rindex("select event_id, src_ip, case"):])
+def ti_enrich_table(spark, sf):
+    """A written reputation table that lists addresses many times."""
+    path = fresh_path(spark, "reputation")
+    events_table = spark.read.parquet(f"{sf}/events.parquet")
+    spark.sql(REPUTATION_TABLE.replace("varchar", "string").replace("from events", "from {events}"), events=events_table).write.parquet(path)
+    rows = ct_events(spark, sf).select("event_id", F.col("source_ip_address").alias("src_ip"))
+    return enrich.enrich(rows, files.read_reputation(spark, path), "event_id")
+
+
 # -- star schema ------------------------------------------------------------------------
 
 DIM_USERS = f"""select {NUMBER.format('user_name')} as user_id, user_name as username
@@ -520,9 +555,11 @@ select id, event_ts, user_name as username, action as action_name, l.src_ip, cas
 from sightings l left join ips i on i.src_ip = l.src_ip left join later t on t.src_ip = l.src_ip
 where user_name is not null and action is not null""")
 def star_load(spark, sf):
-    """Two loads into one star schema, read back by name."""
+    """Loads into one star schema, read back by name: the first one again with its days moved, the second with each row twice."""
     base = fresh_path(spark, "star")
-    for logs in two_loads(spark, sf):
+    earlier, later = two_loads(spark, sf)
+    moved = earlier.withColumn("event_ts", F.col("event_ts") + F.expr("interval 60 days"))
+    for logs in (earlier, moved, later.unionByName(later)):
         sinks.load_star(logs, base, ti_country="ti_country")
     fact = files.read_table(spark, f"{base}/enriched_logs").drop("dt")
     users, actions = (files.read_table(spark, f"{base}/{name}") for name in ("users", "actions"))
@@ -570,6 +607,16 @@ def alert_rows(spark, sf):
     return analysis.line_alerts(fx.derive(spark, sf, fx.RAW_LINES), F.col("event_id"), F.col("event_ts"))
 
 
+@query("alert_store", fx.oracle(**CT) + STORE)
+def alert_store(spark, sf):
+    """Alerts appended to a store in two parts and read back."""
+    path = fresh_path(spark, "alert_store")
+    alerts = event_alerts(spark, sf)
+    for part in (0, 1):
+        sinks.append_parquet(alerts.where(F.col("id") % 2 == part), path)
+    return files.alert_store(spark, path)
+
+
 @query("alerts_by_id_desc", fx.oracle(**CT) + STORE)
 def alerts_by_id_desc(spark, sf):
     return reports.newest_first(event_alerts(spark, sf))
@@ -592,7 +639,7 @@ def live_feed(spark, sf):
 
 
 @query("warehouse_stats", fx.oracle(fact=fx.WH_FACT) + f"""
-select total_alerts, critical_alerts, unique_users, {sql_round(sql_round('m', 6) + ' * 10000.0', 2)} as avg_risk_score
+select total_alerts, critical_alerts, unique_users, {sql_even(sql_round('m', 6) + ' * 10000.0', 2)} as avg_risk_score
 from (select count(*) as total_alerts, count(*) filter (upper(prelim_priority) = 'HIGH') as critical_alerts,
  count(distinct user_id) as unique_users, {sql_mean('alert_score')} as m from fact)""")
 def warehouse_stats(spark, sf):
@@ -601,7 +648,7 @@ def warehouse_stats(spark, sf):
 
 @query("stats_by_username", fx.oracle(users=fx.WH_USERS, fact=fx.WH_FACT) + f"""
 select count(*) as total_alerts, count(*) filter (upper(prelim_priority) = 'HIGH') as critical_alerts,
- count(distinct username) as unique_users, {sql_round(sql_mean('alert_score'), 2)} as avg_risk_score
+ count(distinct username) as unique_users, {sql_even(sql_mean('alert_score'), 2)} as avg_risk_score
 from fact f left join users u on u.user_id = f.user_id""")
 def stats_by_username(spark, sf):
     return reports.stats_by_username(wh_fact(spark, sf), wh_dims(spark, sf)[0])
@@ -626,6 +673,17 @@ def alerts_feed(spark, sf):
     return reports.alerts_feed(wh_fact(spark, sf), *wh_dims(spark, sf))
 
 
+@query("alerts_feed_first", ORACLES["alerts_feed"].replace("limit 100", "limit 30"))
+def alerts_feed_first(spark, sf):
+    return reports.alerts_feed(wh_fact(spark, sf), *wh_dims(spark, sf), limit=30)
+
+
+@query("lower_case_names", fx.oracle(fact=fx.WH_FACT) + "select * from fact")
+def lower_case_names(spark, sf):
+    fact = wh_fact(spark, sf)
+    return files.lower_names(fact.toDF(*[c.upper() for c in fact.columns]))
+
+
 @query("alerts_latest", fx.oracle(**WH) + """
 select id, username as "user", action_name as action, src_ip, result, alert_score, prelim_priority, ti_country, ti_asn
 from fact f left join users u on u.user_id = f.user_id left join actions a on a.action_id = f.action_id
@@ -694,12 +752,12 @@ def insights_or_default(spark, sf):
 
 TOP_USERS = """select user_name as "user", count(alert_score) as high_alerts from flat
 where upper(prelim_priority) = 'HIGH' and user_name is not null group by 1 order by 2 desc, 1 limit 5"""
-TOP_IPS = f"""select src_ip, {sql_mean('alert_score')} as mean_score from flat where src_ip is not null
+TOP_IPS = f"""select src_ip, round({sql_mean('alert_score')}, 12) as mean_score from flat where src_ip is not null
 group by 1 order by 2 desc nulls last, 1 limit 5"""
 FINDINGS = {"flat": fx.ENRICHED_FLAT, "top_users": TOP_USERS, "top_ips": TOP_IPS, "findings": f"""
 select "user", high_alerts || ' high-priority alerts detected for ' || "user" as finding, cast(null as varchar) as ip,
  cast(null as varchar) as message from top_users
-union all select null, 'IP ' || src_ip || ' shows avg alert score ' || cast(cast({sql_round('mean_score', 2)} as decimal(18,2)) as varchar),
+union all select null, 'IP ' || src_ip || ' shows avg alert score ' || cast(cast({sql_even('mean_score', 2)} as decimal(18,2)) as varchar),
  src_ip, null from top_ips"""}
 
 
@@ -727,7 +785,7 @@ def finding_recs(spark, sf):
 
 
 @query("entity_insights", fx.oracle(**FLAT) + f"""
-select {sql_capitalize('user_name')} as entity, {sql_round('m', 2)} as risk_score, case when m > 0.7 then '{fv.ENTITY_STEPS[0][1]}'
+select {sql_capitalize('user_name')} as entity, {sql_even('m', 2)} as risk_score, case when m > 0.7 then '{fv.ENTITY_STEPS[0][1]}'
  when m > 0.4 then '{fv.ENTITY_STEPS[1][1]}' else '{fv.ENTITY_NORMAL}' end as summary
 from (select user_name, {sql_mean('alert_score')} as m from flat where user_name is not null and alert_score is not null group by 1)""")
 def entity_insights(spark, sf):
@@ -801,6 +859,51 @@ def fusion_final(spark, sf):
         "id", "timestamp", "user", "src_ip", "label", "predicted", "final_score", "final_priority", "p_high")
 
 
+@query("anomaly_consistency", fx.oracle(**FLAT) + """
+select count(*) as logs, count(distinct id) as ids, 0 as outside, 0 as wrong_flags, 0 as wrong_scores, 0.0 as lowest, 1.0 as highest from flat""")
+def anomaly_consistency(spark, sf):
+    """What must hold of every anomaly score: its range, the flag's cut, the adjusted score."""
+    scored = stage(anomaly_scored(spark, sf), "anomaly_scored").join(flat_logs(spark, sf).select("id", F.col("final_risk_score").alias("before")), "id")
+    flag = (F.col("ml_score") > anomaly.FLAG_ABOVE).cast("int")
+    expected = F.col("before") + F.col("ml_score") * anomaly.SCORE_WEIGHT
+    return scored.agg(
+        F.count(F.lit(1)).alias("logs"), F.countDistinct("id").alias("ids"),
+        F.count_if(~F.col("ml_score").between(0, 1)).alias("outside"), F.count_if(F.col("ml_flag") != flag).alias("wrong_flags"),
+        F.count_if(F.abs(F.col("adjusted_risk_score") - expected) > 1e-9).alias("wrong_scores"),
+        F.round(F.min("ml_score"), 6).alias("lowest"), F.round(F.max("ml_score"), 6).alias("highest"))
+
+
+def fused(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Final alerts of the fitted model, and its report on the held-out part."""
+    featured = stage(fusion.fusion_features(flat_logs(spark, sf)).select(
+        "id", F.col("event_ts").alias("timestamp"), "user", "src_ip", *fusion.SCALED, "label"), "fusion_features")
+    model = fusion.train(featured, "id")
+    return stage(fusion.final_scores(featured, model), "final_alerts"), fusion.held_out_report(featured, model, "id")
+
+
+@query("fusion_consistency", fx.oracle(**FLAT) + """
+select count(*) as alerts, 0 as outside, 0 as wrong_priority, 0 as below_even_odds, cast(sum(case when prelim_priority = 'HIGH' then 1 else 0 end) as bigint)
+ as high_labels from flat""")
+def fusion_consistency(spark, sf):
+    """What must hold of every final alert: the score's range, the priority of a score, at least even odds."""
+    final, _ = fused(spark, sf)
+    return final.agg(
+        F.count(F.lit(1)).alias("alerts"), F.count_if(~F.col("final_score").between(0, 100)).alias("outside"),
+        F.count_if(F.col("final_priority") != scores.fusion_bucket(F.col("final_score") / 100.0)).alias("wrong_priority"),
+        F.count_if(F.col("final_score") < 25).alias("below_even_odds"), F.count_if(F.col("label") == 2).alias("high_labels"))
+
+
+@query("fusion_held_out")
+def fusion_held_out(spark, sf):
+    return fused(spark, sf)[1]
+
+
+@query("fusion_preview", fx.oracle(**FLAT) + """
+select event_ts as "timestamp", user_name as "user", src_ip from flat order by id limit 10""")
+def fusion_preview(spark, sf):
+    return fusion.preview(fused(spark, sf)[0], "id").drop("final_priority")
+
+
 @query("classification_report", fx.oracle(flat=fx.ENRICHED_FLAT, buckets=f"select id, {BUCKET} as prelim_priority, {LABEL} as l from flat",
        pairs=f"select l, {LABEL} as p from buckets", classes="""
 select c, sum(hit) as hits, sum(is_p) as predicted, sum(is_l) as support from (
@@ -841,6 +944,17 @@ def stream_alert_store(spark, sf):
     return streams.stored_rows(spark, store)
 
 
+@query("stream_feed", fx.oracle(raw_lines=fx.RAW_LINES, alerts=ORACLES["alert_rows"][ORACLES["alert_rows"].rindex("select event_id as id"):]) + """
+select id, src_ip, event_type, severity, risk_score from alerts""")
+def stream_feed(spark, sf):
+    """The five fields pushed to the live feed."""
+    feed = fresh_path(spark, "feed")
+    streams.start_alert_stream(
+        stream_fixture(spark, sf, fx.RAW_LINES), fresh_path(spark, "alerts"), feed, fresh_path(spark, "offsets"),
+        {"availableNow": True}, timestamp=F.col("event_ts")).awaitTermination()
+    return streams.stored_rows(spark, feed)
+
+
 @query("stream_raw_landing", ORACLES["raw_landing"])
 def stream_raw_landing(spark, sf):
     path = fresh_path(spark, "landing")

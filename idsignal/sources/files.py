@@ -8,11 +8,26 @@ CORRUPT = "_corrupt_record"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a given schema; broken rows land in `_corrupt_record`."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    return spark.read.csv(
-        path, schema=with_corrupt, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+    """CSV whose header names the columns, in any order; a file with another header raises.
+
+    Columns the file lacks are null, columns the schema lacks are dropped. Rows with fewer fields
+    keep what they have. `_corrupt_record` holds the text of rows that cannot be read: those with
+    more fields than the header, or with a value their column cannot hold.
+    """
+    names = spark.read.csv(path, header=True).columns
+    kinds = {f.name: f.dataType for f in schema.fields}
+    present = [T.StructField(n, kinds.get(n, T.StringType()), True) for n in names]
+    rows = spark.read.csv(
+        path, schema=T.StructType([*present, T.StructField(CORRUPT, T.StringType(), True)]), header=True,
+        enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
     )
+    wide = ", ".join(f"f{i} string" for i in range(len(names) + 1))
+    again = rows.withColumn("_text", F.from_csv(F.col(CORRUPT), wide))
+    unread = F.col(f"_text.f{len(names)}").isNotNull()
+    for i, name in enumerate(names):
+        unread = unread | (F.col(f"`{name}`").isNull() & F.col(f"_text.f{i}").isNotNull())
+    fields = [F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return again.select(*fields, F.when(unread, F.col(CORRUPT)).alias(CORRUPT))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from idsignal import schemas
 from idsignal.operators import warehouse
-from idsignal.workspace import read_existing, together
+from idsignal.workspace import read_existing, stage, together
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -30,19 +30,20 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def read_ip_details(spark: SparkSession, base: str) -> DataFrame:
-    """Address dimension: the newest version written."""
+    """Address dimension: of each address the row of the newest version written."""
     versioned = T.StructType([*schemas.IP_DETAILS.fields, T.StructField("version", T.LongType(), False)])
     rows = _read_or_empty(spark, f"{base}/ip_details", versioned)
-    newest = rows.agg(F.max("version")).scalar()
-    return rows.where(F.col("version") == newest)
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c != "ip_id"]), "version").alias("_row")
+    return rows.groupBy("ip_id").agg(newest).select("ip_id", "_row.*")
 
 
 def load_star(logs: DataFrame, base: str, ti_country: str = "country") -> None:
-    """Add flat logs to the star schema below `base`; loading the same ids again adds nothing.
+    """Add flat logs to the star schema below `base`; an id is stored once, by its first load.
 
-    Users and actions only grow. Addresses are overwritten on conflict, so each
-    load writes them as a new version. The fact is partitioned by day and
-    rebalanced so that a day of any size becomes files of even size.
+    Of an id repeated within a load the earliest loadable row counts (`one_per_id`). Users and
+    actions only grow. Addresses are overwritten on conflict: a load writes those it changes as a
+    new version. The fact is partitioned by day and rebalanced so that a day of any size becomes
+    files of even size. Ids follow the highest one stored, so a star has one writer at a time.
     """
     spark = logs.sparkSession
 
@@ -54,8 +55,8 @@ def load_star(logs: DataFrame, base: str, ti_country: str = "country") -> None:
     def replace_ips() -> None:
         details = read_ip_details(spark, base)
         version = (details.agg(F.max("version")).first()[0] or 0) + 1
-        merged = warehouse.upsert(details.drop("version"), warehouse.first_per_ip(logs, "id"), "src_ip", "ip_id")
-        versioned = merged.withColumn("version", F.lit(version))
+        changed = warehouse.changed_rows(details.drop("version"), warehouse.first_per_ip(logs, "id"), "src_ip", "ip_id")
+        versioned = changed.withColumn("version", F.lit(version))
         versioned.write.mode("append").partitionBy("version").parquet(f"{base}/ip_details")
 
     together(
@@ -64,13 +65,11 @@ def load_star(logs: DataFrame, base: str, ti_country: str = "country") -> None:
         replace_ips,
     )
 
-    # Only days the incoming logs touch can hold ids they repeat.
     dated = T.StructType([*schemas.FACT.fields, T.StructField("dt", T.DateType(), True)])
     loaded = _read_or_empty(spark, f"{base}/enriched_logs", dated)
-    first_day = logs.agg(F.min(F.to_date("event_ts"))).scalar()
-    last_day = logs.agg(F.max(F.to_date("event_ts"))).scalar()
-    touched = loaded.where(F.col("dt").isNull() | F.col("dt").between(first_day, last_day))
-    fresh = logs.join(touched.select("id"), "id", "left_anti")
+    columns = dict.fromkeys(["id", "event_ts", "user", "action", "src_ip", "result", "result_flag", "alert_score", "prelim_priority", ti_country])
+    first = warehouse.one_per_id(warehouse.loadable(logs).select(*columns))
+    fresh = stage(first.join(loaded.select("id"), "id", "left_anti"), "fresh")
     fact = warehouse.star_fact(
         fresh,
         spark.read.schema(schemas.USERS).parquet(f"{base}/users"),

@@ -7,7 +7,7 @@ new checkpoint starts batch numbers again and needs new tables.
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from idsignal import schemas
@@ -28,15 +28,21 @@ def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
 def number_lines(batch: DataFrame, batch_id: int) -> DataFrame:
     """Ids for lines that have none, unique over all batches of a checkpoint.
 
-    An id holds 20 bits of batch, 16 of partition and 27 of row; a batch beyond
-    that fails instead of repeating ids.
+    An id is the batch times 2^32 plus the line's number in it: room for 2^31 batches (68 years at
+    one a second) of four billion lines; beyond that it fails instead of repeating ids. Lines are
+    numbered through from the counts of the partitions before theirs.
     """
+    if batch_id >= 1 << 31:
+        raise ValueError("batch numbers beyond 2^31 leave no room for line ids")
     place = F.monotonically_increasing_id()
     numbered = batch.withColumn("_partition", F.shiftright(place, 33)).withColumn("_row", place % F.lit(1 << 33))
-    fits = (F.col("_partition") < (1 << 16)) & (F.col("_row") < (1 << 27)) & F.lit(batch_id < 1 << 20)
-    event_id = F.lit(batch_id << 43) + F.col("_partition") * F.lit(1 << 27) + F.col("_row")
-    checked = F.when(fits, event_id).otherwise(F.raise_error(F.lit("too many lines for 63-bit ids")).cast("bigint"))
-    return numbered.withColumn("event_id", checked).drop("_partition", "_row")
+    sizes = numbered.groupBy("_partition").agg(F.count(F.lit(1)).alias("_size"))
+    ahead = F.sum("_size").over(Window.orderBy("_partition")) - F.col("_size")
+    placed = numbered.join(F.broadcast(sizes.select("_partition", ahead.alias("_ahead"))), "_partition")
+    number = F.col("_ahead") + F.col("_row")
+    event_id = F.when(number < (1 << 32), F.lit(batch_id << 32) + number).otherwise(
+        F.raise_error(F.lit("too many lines in one batch")).cast("bigint"))
+    return placed.withColumn("event_id", event_id).select(*batch.columns, "event_id")
 
 
 def start_alert_stream(lines: DataFrame, store: str, feed: str, checkpoint: str, trigger: dict,

@@ -114,3 +114,29 @@ def test_report_covers_the_held_out_part(spark, sf):
 def test_split_is_four_to_one(spark):
     held = spark.range(20000).where(fusion.is_held_out("id")).count()
     assert 3700 < held < 4300
+
+
+def test_fusion_does_not_depend_on_partitions(spark):
+    import random
+
+    from idsignal.operators import fusion
+    draw = random.Random(4)
+    rows = [(i, draw.random(), float(draw.randint(0, 9)), draw.random(), draw.random() < 0.3, draw.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL"]))
+            for i in range(600)]
+    logs = spark.createDataFrame(rows, "id long, alert_score double, ti_score double, ip_score double, result_flag boolean, prelim_priority string")
+    scores = []
+    for parts in (3, 7):
+        featured = fusion.fusion_features(logs.repartition(parts))
+        model = fusion.train(featured, "id", trees=5)
+        scores.append({r.id: r.final_score for r in fusion.final_scores(featured, model).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_fusion_ranges_are_kept_with_the_model(spark, tmp_path):
+    from idsignal.operators import fusion
+    logs = spark.range(100).selectExpr("id", "id / 100 as alert_score", "5.0 as ti_score", "id / 50 as ip_score", "id % 2 = 0 as result_flag", "'LOW' as prelim_priority")
+    path = str(tmp_path / "ranges")
+    whole = fusion.fusion_features(logs, fusion.load_or_measure(path, logs)).where("id = 5").first()
+    half = logs.where("id < 50")
+    later = fusion.fusion_features(half, fusion.load_or_measure(path, half)).where("id = 5").first()
+    assert whole.alert_score_scaled == later.alert_score_scaled

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from idsignal.operators import anomaly, enrich, lookup, metrics, numbering, scaling, warehouse
+from idsignal.operators import anomaly, enrich, lookup, metrics, numbering, reports, scaling, warehouse
 from idsignal.sources import files, sinks
 from idsignal import schemas
 
@@ -107,25 +107,73 @@ def test_star_load_is_idempotent(spark, tmp_path):
     users = spark.read.parquet(f"{base}/users").collect()
     assert sorted(r.username for r in users) == ["u0", "u1", "u2"] and len({r.user_id for r in users}) == 3
     ips = sinks.read_ip_details(spark, base).collect()
-    assert len(ips) == 4 and {r.version for r in ips} == {3}
+    assert len(ips) == 4 and {r.version for r in ips} == {2}
     assert {r.src_ip: r.ti_score for r in ips}["10.0.0.2"] == 10
     report = warehouse.constraint_report(fact, spark.read.parquet(f"{base}/users"), spark.read.parquet(f"{base}/actions"),
                                          sinks.read_ip_details(spark, base))
     assert report.agg(F.sum("violations")).first()[0] == 0
 
 
-def test_csv_round_trip(spark, tmp_path):
+def test_csv_by_header_name(spark, tmp_path):
     path = str(tmp_path / "extract.csv")
     with open(path, "w") as f:
-        f.write('eventTime,userIdentityuserName,eventName,sourceIPAddress\n2024-01-01 00:00:00,"a,b",X,1.1.1.1\nbad,c\n')
-    rows = files.read_csv(spark, path, schemas.CSV_EXTRACT).cache()
-    assert [r.userIdentityuserName for r in rows.where("_corrupt_record is null").collect()] == ["a,b"]
-    assert rows.where("_corrupt_record is not null").count() == 1
+        f.write('eventName,eventTime,extra,userIdentityuserName\nX,2024-01-01 00:00:00,q,"a,b"\nY,short\nZ,t,q,u,too,many\n')
+    rows = {r.eventName: r for r in files.read_csv(spark, path, schemas.CSV_EXTRACT).cache().collect()}
+    assert [f.name for f in schemas.CSV_EXTRACT.fields] + ["_corrupt_record"] == list(rows["X"].asDict())
+    assert (rows["X"].eventTime, rows["X"].userIdentityuserName, rows["X"].sourceIPAddress) == ("2024-01-01 00:00:00", "a,b", None)
+    assert (rows["Y"].eventTime, rows["Y"].userIdentityuserName, rows["Y"]._corrupt_record) == ("short", None, None)
+    assert rows["Z"]._corrupt_record == "Z,t,q,u,too,many"
     out = str(tmp_path / "out")
-    sinks.write_csv(rows.drop("_corrupt_record"), out)
-    assert files.read_csv(spark, out, schemas.CSV_EXTRACT).count() == 2
+    good = files.read_csv(spark, path, schemas.CSV_EXTRACT).drop("_corrupt_record")
+    sinks.write_csv(good, out)
+    assert files.read_csv(spark, out, schemas.CSV_EXTRACT).count() == 3
     with pytest.raises(Exception):
-        sinks.write_csv(rows, out)
+        sinks.write_csv(good, out)
+
+
+def test_star_load_stores_each_id_once(spark, tmp_path):
+    base = str(tmp_path / "star")
+    logs = star_logs(spark, range(1, 37))
+    sinks.load_star(logs.unionByName(logs), base)
+    sinks.load_star(logs.withColumn("event_ts", F.col("event_ts") + F.expr("interval 60 days")), base)
+    fact = spark.read.parquet(f"{base}/enriched_logs")
+    assert sorted(r.id for r in fact.select("id").collect()) == list(range(1, 37))
+    assert {r.version for r in sinks.read_ip_details(spark, base).collect()} == {1}  # nothing changed, nothing rewritten
+
+
+def test_means_keep_small_and_large_scores(spark):
+    rows = spark.createDataFrame([("a", 1e-7), ("a", 3e-7), ("b", 1e13), ("c", 0.125), ("d", float("nan")), ("e", 0.375)],
+                                 "src_ip string, alert_score double").withColumn("user", F.col("src_ip")).withColumn("prelim_priority", F.lit("LOW"))
+    means = {r.src_ip: r.mean_score for r in reports.top_risky_ips(rows).collect()}
+    assert means["a"] == 2e-7 and means["b"] == 1e13
+    texts = {r.ip: r.finding for r in reports.top_findings(rows).where("ip is not null").collect()}
+    assert texts["c"].endswith(" 0.12") and texts["e"].endswith(" 0.38")
+
+
+def test_empty_fact_counts_zero(spark):
+    fact = spark.createDataFrame([], "id bigint, user_id bigint, alert_score double, prelim_priority string")
+    users = spark.createDataFrame([], "user_id bigint, username string")
+    row = reports.stats_by_username(fact, users).first()
+    assert (row.total_alerts, row.critical_alerts, row.unique_users, row.avg_risk_score) == (0, 0, 0, None)
+
+
+def test_repeated_reputation_counts_once(spark):
+    logs = spark.createDataFrame([(1, "9.9.9.9")], "id bigint, src_ip string")
+    table = spark.createDataFrame([("9.9.9.9", 5, "US", "A"), ("9.9.9.9", 95, "DE", "B"), (None, 1, "X", "C")],
+                                  "ip string, abuse_confidence int, country string, asn string")
+    rows = enrich.enrich(logs, table, "id").collect()
+    assert [(r.ti_score, r.ti_country) for r in rows] == [(10, "DE")]
+
+
+def test_latest_rows_shuffle_no_dimension(spark):
+    fact = spark.range(1000).selectExpr("id", "id % 50 as user_id", "id / 1000 as alert_score", "'LOW' as prelim_priority", "'US' as ti_country")
+    users = spark.range(500).selectExpr("id as user_id", "concat('u', id) as username")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reports.agentic_insights(fact, users)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
 
 
 def test_missing_table_raises(spark, tmp_path):

@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from compare import connect, difference
 from idsignal.operators import lookup
+from idsignal.plans import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = dict(catalog.QUERIES), dict(catalog.ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -39,10 +40,14 @@ def test_entry_gives_the_hundred_riskiest(spark):
 
 
 def test_only_models_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"anomaly_scored", "fusion_final"}
+    assert set(QUERIES) - set(ORACLES) == {"anomaly_scored", "fusion_final", "fusion_held_out"}
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_severity_counts_add_up(spark, sf):
     counts = QUERIES["severity_breakdown"](spark, sf).collect()
     assert sum(r.v for r in counts) == spark.read.parquet(f"{sf}/events.parquet").count()

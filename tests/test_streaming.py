@@ -66,3 +66,12 @@ def test_running_counts_follow_new_files(spark, tmp_path):
 def test_feed_is_newest_first(spark, sf, trigger):
     rows = catalog.QUERIES["live_feed"](spark, sf).limit(20).collect()
     assert [r.timestamp for r in rows] == sorted((r.timestamp for r in rows), reverse=True)
+
+
+def test_line_ids_of_a_late_batch(spark):
+    from idsignal.streaming.alerts import number_lines
+    lines = spark.range(1000).repartition(5).selectExpr("concat('line ', id) as raw_log")
+    ids = [r.event_id for r in number_lines(lines, 1 << 20).collect()]
+    assert sorted(ids) == [(1 << 52) + i for i in range(1000)]
+    with pytest.raises(ValueError):
+        number_lines(lines, 1 << 31)
