@@ -56,7 +56,7 @@ def test_language_on_held_out_rows(spark, sf, docs):
 
 
 def test_toxicity_on_held_out_rows(spark, docs, labels):
-    big = "/root/testdata/sf0.01"
+    big = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in rows(spark, big, "op2_toxicity")}
     marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
     assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 and r.held_out == held_out(i) for i, r in got.items())
