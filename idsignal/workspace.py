@@ -4,6 +4,7 @@ A staged table cuts lineage and survives lost executors because it lives in the
 folder all machines share (`spark.checkpoint.dir`).
 """
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a local session may fall back to a temp folder."""
+    """The cluster's shared folder; only a session in one process may fall back to a temp folder."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="idsignal-"))
         folder = context.getCheckpointDir()
