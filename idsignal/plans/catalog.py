@@ -1,5 +1,6 @@
 """Registered queries, each with the SQL that checks it where SQL can."""
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -16,7 +17,7 @@ from idsignal.operators.lookup import lookup
 from idsignal.plans import analysis, fixtures as fx
 from idsignal.sources import files, lines, payloads, sinks
 from idsignal.streaming import alerts as streams
-from idsignal.workspace import fresh_path, stage, together
+from idsignal.workspace import fresh_path, shared_dir, stage, together
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -877,7 +878,9 @@ def fused(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Final alerts of the fitted model, and its report on the held-out part."""
     featured = stage(fusion.fusion_features(flat_logs(spark, sf)).select(
         "id", F.col("event_ts").alias("timestamp"), "user", "src_ip", *fusion.SCALED, "label"), "fusion_features")
-    model = fusion.train(featured, "id")
+    # trained once per application and table set, then loaded
+    where = f"{shared_dir(spark)}/idsignal/{spark.sparkContext.applicationId}/fusion-{zlib.crc32(sf.encode())}"
+    model = fusion.load_or_train(where, featured, "id")
     return stage(fusion.final_scores(featured, model), "final_alerts"), fusion.held_out_report(featured, model, "id")
 
 
