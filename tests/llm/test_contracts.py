@@ -316,18 +316,58 @@ def test_base_spans_by_plain_patterns(text):
     assert [(at[a], k, at[b]) for a, k, b in found] == base_spans(text)
 
 
+def targets(total):
+    """Words per source that the weights 1, 2, 3, ... ask for, at most three times what there is."""
+    sources, capped, whole = sorted(total), set(), sum(total.values())
+    weight = {s: n % 3 + 1 for n, s in enumerate(sources)}
+    while True:
+        share = (whole - sum(3 * total[s] for s in capped)) / max(1, sum(weight[s] for s in sources if s not in capped))
+        over = {s for s in sources if s not in capped and share * weight[s] > 3 * total[s]}
+        if not over:
+            return {s: 3 * total[s] if s in capped else share * weight[s] for s in sources}
+        capped |= over
+
+
 def test_pipeline_by_its_stages(spark, sf, docs):
-    """The whole run equals its stages' contracts applied one after the other by brute force."""
-    kept = {r.doc_id for r in rows(spark, sf, "op4_quality_rules") if r.kept}
-    groups = components({i: fingerprint(docs[i].text) for i in kept})
-    chosen = set(groups.values())
-    out = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in out} <= chosen
-    assert chosen - {r.doc_id for r in out} == set() or len({r.doc_id for r in out}) >= 0.5 * len(chosen)
+    """Every stage's output against its contract worked out by brute force from its input."""
+    from tokenizers import Tokenizer
+    frame, outputs = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, apply in corpus_pipeline.STAGES:
+        frame = corpus_pipeline.stage(apply(spark, frame, sf), "test-pipeline")
+        outputs.append(frame.collect())
+    kept, single, redacted, mixed, packed = outputs
+    judged = {r.doc_id for r in rows(spark, sf, "op4_quality_rules") if r.kept}
+    assert sorted(kept) == sorted(docs[i] for i in judged)
+    groups = components({i: fingerprint(docs[i].text) for i in judged})
+    assert sorted(single) == sorted(docs[i] for i in set(groups.values()))
+    assert sorted(r.doc_id for r in redacted) == sorted(r.doc_id for r in single)
+    for r in redacted:
+        before = docs[r.doc_id]
+        assert not base_spans(r.text) and r.n_chars == len(r.text) and (r.lang, r.source) == (before.lang, before.source)
+        assert r.text == before.text or base_spans(before.text) or "[" in r.text
+    total, size = Counter(), {}
+    for r in redacted:
+        size[r.doc_id] = len(WORD.findall(r.text))
+        total[r.source] += size[r.doc_id]
+    taken, whole = Counter(), {r.doc_id: r.text for r in redacted}
+    for r in mixed:
+        taken[r.source] += len(WORD.findall(r.text))
+        assert whole[r.doc_id] == r.text or whole[r.doc_id].startswith(r.text)
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets(total).items())
+    assert max(Counter(r.doc_id for r in mixed).values()) <= 3
+    assert sum(whole[r.doc_id] != r.text for r in mixed) <= len(total)  # one cut a source at most
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    want = Counter((r.doc_id, len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1) for r in mixed)
+    assert Counter((r.doc_id, r.doc_tokens) for r in packed if r.start == 0) == want
     sequences = defaultdict(list)
-    for r in out:
+    for r in packed:
         sequences[r.sequence_id].append(r)
     for parts in sequences.values():
         parts.sort(key=lambda r: r.offset)
         assert [r.offset for r in parts] == list(np.cumsum([0] + [r.length for r in parts[:-1]]))
         assert parts[-1].offset + parts[-1].length <= 2048
+
+
+def test_run_applies_all_stages(spark, sf):
+    assert corpus_pipeline.run(spark, sf).columns == [
+        "doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded"]
