@@ -39,6 +39,7 @@ CELLS = 1 << 16
 COMMON = 8
 BUCKET_WORDS = 1 << 19
 PIECE = 1 << 18
+LEVEL = 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 
@@ -112,7 +113,7 @@ Place = tuple  # (id is null, id, text hash, start)
 def _pack(strings: list[bytes], places: list[Place], sizes: list[int]) -> bytes:
     n = len(strings)
     numbers = np.array([[p[0], p[1], p[2], p[3], s] for p, s in zip(places, sizes)], np.int64).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", n) + numbers + b" ".join(strings))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack("<q", n) + numbers + b" ".join(strings))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
