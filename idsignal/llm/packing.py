@@ -34,7 +34,7 @@ GRID = 8
 GAP = 1e-3
 ROUNDS = 3000
 BUCKETS = 1024
-WORD_ROOM = 400_000
+WORD_ROOM = 700_000
 LONG_WORD = 64
 END = 1
 MARKS = b".,!?;:%&#*$|\"()"
