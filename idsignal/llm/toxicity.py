@@ -86,7 +86,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, learn: Column, text: str,
     marks = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
              .groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic")))
     rows = docs.where(learn).select(F.col(f"`{id_column}`").alias("id"), text_bytes(text).alias("text"))
-    return stage(rows.join(marks, rows["id"] == marks["labelled"]).select((F.col("toxic") != 0).alias("toxic"), "text"), f"{name}-labelled")
+    # always a merge join: a plan that changes with the size of the labels makes costs hard to foresee
+    return stage(rows.join(marks.hint("merge"), rows["id"] == marks["labelled"]).select((F.col("toxic") != 0).alias("toxic"), "text"), f"{name}-labelled")
 
 
 def stems(word: str) -> list[str]:
