@@ -5,8 +5,8 @@
 2. Units are the lines of a file, and the whole text of a licence file (by its name). A unit whose
    cosine to a template reaches `SIMILAR` has that licence; the best one is the file's own.
    Tokens outside all templates weigh as tokens no file has.
-3. Prefix filter, exact: leaving out a template's lightest tokens while their share of its norm stays
-   below `SIMILAR`, a unit needs one of the remaining ones. Only such files and lines are scored.
+3. Filter, exact: a unit's cosine is at most the share of a template's norm that its tokens make up, so
+   only units whose tokens make up `SIMILAR` of some template are scored.
 4. A licence file declares its own licence for its directory. A file without one of its own takes
    that of the nearest ancestor directory that declares one: directories, each once, are joined by
    their path prefixes, and files by their directory.
@@ -63,28 +63,34 @@ def weights(files: DataFrame, bags: dict[str, Counter]) -> tuple[dict[str, float
     return {t: math.log((total + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(total + 1) + 1
 
 
-def needed_tokens(bags: dict[str, Counter], idf: dict[str, float], similar: float = SIMILAR) -> list[str]:
-    """Tokens of which a unit that reaches `similar` to some template holds at least one."""
-    needed = set()
+def share_of(shares: Column):
+    return lambda token: F.coalesce(F.try_element_at(shares, token), F.lit(0.0))
+
+
+def may_reach(found: Column, bags: dict[str, Counter], idf: dict[str, float], similar: float = SIMILAR) -> Column:
+    """Whether a unit that holds the template tokens `found` can reach `similar` to some template.
+
+    By Cauchy and Schwarz its cosine is at most the share of the template's norm that its tokens make up.
+    """
+    reached = F.lit(False)
     for bag in bags.values():
-        parts = sorted(((n * idf[t]) ** 2, t) for t, n in bag.items())
-        whole, light = sum(p for p, _ in parts), 0.0
-        for part, token in parts:
-            light += part
-            if math.sqrt(light / whole) >= similar * (1 - 1e-9):
-                needed.add(token)
-    return sorted(needed)
+        whole = sum((n * idf[t]) ** 2 for t, n in bag.items())
+        shares = F.create_map(*[x for t, n in sorted(bag.items()) for x in (F.lit(t), F.lit((n * idf[t]) ** 2 / whole))])
+        held = F.aggregate(F.transform(found, share_of(shares)), F.lit(0.0), lambda total, x: total + x)
+        reached = reached | (held >= similar * similar * (1 - 1e-9))
+    return reached
 
 
 def own_licences(files: DataFrame, bags: dict[str, Counter], idf: dict[str, float], unseen: float) -> DataFrame:
     """(number, licence, cosine) of the files that state a licence."""
     spark = files.sparkSession
-    needed = needed_tokens(bags, idf)
-    has = lambda c: F.exists(F.array(*[F.lit(t) for t in needed]), lambda t: F.contains(c, t))
-    lines = files.where(has(F.lower("text"))).select("number", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
-    whole = files.where("is_licence").where(has(F.lower("text"))).select("number", F.lit(-1).alias("unit"), F.col("text").alias("line"))
-    bag = (lines.where(has(F.lower("line"))).unionAll(whole)
-           .select("number", "unit", F.explode(tokens(F.col("line"))).alias("token")).groupBy("number", "unit", "token").agg(F.count("*").alias("n")))
+    known = F.array(*[F.lit(t) for t in sorted(idf)])
+    lines = files.select("number", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
+    whole = files.where("is_licence and text is not null").select("number", F.lit(-1).alias("unit"), F.col("text").alias("line"))
+    held = F.array_intersect(F.split(F.lower("line"), "[^a-z0-9]+"), known)
+    units = lines.unionAll(whole).withColumn("held", held).where(may_reach(F.col("held"), bags, idf))
+    bag = (units.select("number", "unit", F.explode(tokens(F.col("line"))).alias("token"))
+           .groupBy("number", "unit", "token").agg(F.count("*").alias("n")))
     norms = {name: math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) for name, b in bags.items()}
     idfs = spark.createDataFrame(sorted(idf.items()), "token string, idf double")
     table = spark.createDataFrame([(t, name, n * idf[t] / norms[name]) for name, b in sorted(bags.items()) for t, n in sorted(b.items())],
