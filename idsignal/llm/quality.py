@@ -1,15 +1,18 @@
 """Quality rules: an isolation forest on rule statistics, its threshold calibrated on labelled rows.
 
 1. `rule_statistics`: one pass over whole texts gives counts and ratios per document.
-2. `grow_forest`: random splits on a bounded sample (`FOREST_ROWS` rows chosen by hash of the
+2. `usual_levels`: per ratio a low and a high level, from a histogram of *all* rows of label 1; beyond
+   all levels together lie at most `FALSE_REJECT` of them. The forest sees how far a ratio lies outside.
+3. `grow_forest`: random splits on a bounded sample (`FOREST_ROWS` rows chosen by hash of the
    statistics) of the documents that pass the base rules; `TREES` trees of `TREE_ROWS` rows.
-3. `anomaly`: 2 ** (-mean path length / expected length) for every document.
-4. `calibrate`: a histogram of the scores of *all* labelled rows by label gives the threshold
+4. `anomaly`: 2 ** (-mean path length / expected length) for every document.
+5. `calibrate`: a histogram of the scores of *all* labelled rows by label gives the threshold
    that rejects most rows of label 0 while at most `FALSE_REJECT` of the rows of label 1 go.
 
 Defined cases: a null or empty text has no words and fails the base rules. Rows are judged one
 by one, so repeated rows and ids get equal verdicts. Without labelled rows of label 0 nothing but
-the base rules rejects. Without rows that pass the base rules there is no forest and every score is 0.
+the base rules rejects; without those of label 1 the levels are those of all rows that pass the
+base rules. Without rows that pass the base rules there is no forest and every score is 0.
 Of several labels of one document the lowest counts; null labels are left out.
 """
 
@@ -35,11 +38,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RATIOS = ["symbol_excess", "upper_excess", "mark_excess"]
-#: A rule's statistic is how far its ratio lies above what usual prose shows; below that it is 0.
-TOLERATED = (0.03, 0.12, 0.10)
-#: Few words prove little: each ratio counts as if STEADY words without any excess came before.
-STEADY = 10
+RATIOS = ["symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_word_share", "log_word_chars", "distinct_word_share"]
+LEVEL_BINS = 10_000
 STATISTICS = ", ".join([f"{c} long" for c in COUNTS] + [f"{r} double" for r in RATIOS])
 
 
@@ -76,8 +76,8 @@ def document_statistics(text: bytes | None) -> tuple:
     lowered = plain.lower()
     capitals = sum(map(str.__ne__, plain, lowered)) if len(lowered) == chars else sum(map(str.isupper, plain))
     twice = len(lines) - len(set(lines))
-    ratios = (symbols / chars, capitals / chars, marks / chars)
-    return (n, chars, symbols, twice, repeats, *(max(0.0, r - t) * n / (n + STEADY) for r, t in zip(ratios, TOLERATED)))
+    return (n, chars, symbols, twice, repeats, symbols / chars, capitals / chars, marks / chars, twice / len(lines), repeats / n,
+            math.log(chars / n), len(set(words)) / n)
 
 
 def rule_statistics(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -119,15 +119,46 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
     return (feature, cut, grow_tree(rows[low], rng, depth - 1), grow_tree(rows[~low], rng, depth - 1))
 
 
-def grow_forest(sample: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7) -> dict | None:
+def marked(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): the lowest label of each document."""
+    return (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+            .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+
+
+def usual_levels(statistics: DataFrame, labels: DataFrame, outside: float = FALSE_REJECT) -> tuple[np.ndarray, np.ndarray]:
+    """Per ratio a low and a high level, each with at most its part of `outside` of the rows of label 1 beyond it."""
+    passing = statistics.where(~F.col("base_failed"))
+    clean = passing.join(marked(labels).where("quality != 0").select(F.col("doc_id").alias("marked")), F.col("doc.doc_id") == F.col("marked"))
+    placed = F.explode(F.array(*[F.struct(F.lit(i).alias("ratio"), F.floor(F.col(c) * LEVEL_BINS).alias("bin")) for i, c in enumerate(RATIOS)]))
+    low, high = np.zeros(len(RATIOS)), np.zeros(len(RATIOS))
+    for rows in (clean, passing):
+        found = rows.select(placed.alias("at")).groupBy("at.ratio", "at.bin").count().orderBy("ratio", "bin").collect()
+        if found:
+            break
+    for i in {r["ratio"] for r in found}:
+        bins, counts = np.array([(r["bin"], r["count"]) for r in found if r["ratio"] == i]).T
+        spare = outside / (2 * len(RATIOS)) * counts.sum()
+        low[i] = bins[np.flatnonzero(counts.cumsum() > spare)[0]] / LEVEL_BINS
+        high[i] = (bins[np.flatnonzero(counts[::-1].cumsum()[::-1] > spare)[-1]] + 1) / LEVEL_BINS
+    return low, high
+
+
+def outlying(rows: np.ndarray, levels: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How far each ratio lies above its high level, or (negative) below its low one."""
+    return np.maximum(rows - levels[1], 0) + np.minimum(rows - levels[0], 0)
+
+
+def grow_forest(sample: np.ndarray, levels: tuple[np.ndarray, np.ndarray], trees: int = TREES, tree_rows: int = TREE_ROWS,
+                seed: int = 7) -> dict | None:
     """Trees over random parts of `sample` (rows x RATIOS)."""
     if not len(sample):
         return None
+    sample = outlying(sample, levels)
     rng = np.random.default_rng(seed)
     size = min(tree_rows, len(sample))
     depth = math.ceil(math.log2(max(size, 2)))
     grown = [grow_tree(sample[rng.choice(len(sample), size, replace=False)], rng, depth) for _ in range(trees)]
-    return {"trees": grown, "expected": expected_path(size)}
+    return {"trees": grown, "expected": expected_path(size), "levels": levels}
 
 
 def _paths(tree: tuple, rows: np.ndarray, index: np.ndarray, depth: int, out: np.ndarray) -> None:
@@ -143,6 +174,7 @@ def anomaly(forest: dict | None, rows: np.ndarray) -> np.ndarray:
     """Isolation score of each row, 0 to 1, higher: easier to isolate."""
     if forest is None or not len(rows) or not forest["expected"]:
         return np.zeros(len(rows))
+    rows = outlying(rows, forest["levels"])
     total = np.zeros(len(rows))
     for tree in forest["trees"]:
         _paths(tree, rows, np.arange(len(rows)), 0, total)
@@ -178,11 +210,9 @@ def calibrate(scores: DataFrame, labels: DataFrame, false_reject: float = FALSE_
     Among the cuts that reject at most `false_reject` of the rows of label 1 it takes the one that
     rejects most rows of label 0, the highest such cut on a tie.
     """
-    marked = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
     bins = (scores.where(~F.col("base_failed"))
             .select(F.col("doc.doc_id").alias("doc_id"), F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"))
-            .join(marked, "doc_id").groupBy("bin", "quality").count().collect())
+            .join(marked(labels), "doc_id").groupBy("bin", "quality").count().collect())
     bad, good = np.zeros(BINS + 2), np.zeros(BINS + 2)
     for row in bins:
         (good if row["quality"] else bad)[row["bin"]] += row["count"]
@@ -197,7 +227,7 @@ def calibrate(scores: DataFrame, labels: DataFrame, false_reject: float = FALSE_
 def verdicts(docs: DataFrame, labels: DataFrame, text: str, carry: list[str] | None, name: str) -> tuple[DataFrame, dict | None, float]:
     """Scored statistics of every row, the forest, the threshold."""
     statistics = stage(rule_statistics(docs, text, carry).withColumn("base_failed", base_failed()), f"{name}-statistics")
-    forest = grow_forest(forest_sample(statistics))
+    forest = grow_forest(forest_sample(statistics), usual_levels(statistics, labels))
     scores = scored(statistics, forest)
     return scores, forest, calibrate(scores, labels)
 
