@@ -12,14 +12,17 @@
 
 A sequence is padded to `capacity` unless its ids are a power of two. Defined cases: null text is
 empty and gives the one id `end`; repeated rows are separate documents; an empty table gives no
-pieces; texts of any length are cut into whole sequences first. Words longer than `LONG_WORD` bytes
-are tokenised each time, all others once per worker while its table of words is not full.
+pieces; texts of any length are cut into whole sequences first. A worker tokenises each piece of a
+text once and starts its table anew when that holds more than `ROOM` bytes.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,72 +37,116 @@ GRID = 8
 GAP = 1e-3
 ROUNDS = 3000
 BUCKETS = 1024
-WORD_ROOM = 700_000
-LONG_WORD = 64
+ROOM = 128 << 20  # bytes of a worker's table, by estimate
+KEY_BYTES = 150
 END = 1
-MARKS = b".,!?;:%&#*$|\"()"
+PIECE = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 
 _WORDS: dict[str, "Words"] = {}
 
 
+class Places(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = place = len(self)
+        self.fresh.append(key)
+        return place
+
+
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """`array` with room for `size` entries."""
+    if len(array) >= size:
+        return array
+    wider = np.zeros(max(size, 2 * len(array)), array.dtype)
+    wider[:len(array)] = array
+    return wider
+
+
 class Words:
-    """Ids of words as little-endian bytes, by a tokenizer that never joins what white space parts.
+    """Ids of texts by a tokenizer that lower-cases and never joins letters with marks, digits or white space.
 
-    Trailing ASCII marks of a word of letters are tokens of their own, so they are kept apart from
-    the word; unseen words are tokenised together in one text.
+    `PIECE` cuts as the tokenizer does as long as runs of bytes beyond ASCII are letters; each piece is
+    tokenised once and its ids are kept in one array. Words with other characters (and those that
+    may hold the tokenizer's own marks) are kept whole, under a key that starts with a blank.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.whole: dict[bytes, bytes] = {}
-        self.core: dict[str, bytes] = {}
-
-    def _fill(self, cores: list[str], into: dict[str, bytes]) -> None:
-        for part in range(0, len(cores), 20_000):
-            some = cores[part:part + 20_000]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            starts = np.array([a for a, _ in encoded.offsets], np.int64)
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            cuts = np.searchsorted(starts, ends)
-            data, at = ids.tobytes(), 0
-            for core, cut in zip(some, (cuts * 4).tolist()):
-                into[core], at = data[at:cut], cut
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        lists = [(t or b"").split() for t in texts]
-        missing = set().union(*lists).difference(self.whole) if lists else set()
-        if len(self.whole) + len(missing) > WORD_ROOM:
-            self.whole = {}
-            missing = set().union(*lists)
-        parts: dict[bytes, tuple[str, str]] = {}
-        for word in missing:
-            core = word.rstrip(MARKS)
-            text = core.decode("utf-8", "replace")
-            if len(core) < len(word) and text.isalpha():
-                parts[word] = (text.lower() if text.isascii() else text, word[len(core):].decode())
-            else:
-                text = word.decode("utf-8", "replace")
-                parts[word] = (text.lower() if text.isascii() and text.isalpha() else text, "")
-        needed = {c for both in parts.values() for c in both if c}
-        fresh = [c for c in needed.difference(self.core) if len(c) <= LONG_WORD]
-        if len(self.core) + len(fresh) > WORD_ROOM:
-            self.core = {}
-            fresh = [c for c in needed if len(c) <= LONG_WORD]
-        self._fill(fresh, self.core)
-        long: dict[str, bytes] = {"": b""}
-        for core in needed.difference(self.core):
-            self._fill([core], long)
-        here = {}
-        for word, (core, tail) in parts.items():
-            ids = (self.core.get(core) if core in self.core else long[core]) + (self.core.get(tail, b"") or long.get(tail, b""))
-            (self.whole if len(word) <= LONG_WORD else here)[word] = ids
-        whole = self.whole
-        if here:
-            return [b"".join([whole[w] if w in whole else here[w] for w in words]) for words in lists]
-        return [b"".join([whole[w] for w in words]) for words in lists]
+        from tokenizers import Tokenizer, normalizers
+
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.clear()
+
+    def clear(self) -> None:
+        self.places = Places()
+        self.held = self.used = 0
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def learn(self) -> None:
+        """Tokenise the keys asked for since the last time; a piece that may not stand alone gets no ids."""
+        fresh, self.places.fresh = self.places.fresh, []
+        first = len(self.places) - len(fresh)
+        self.starts, self.sizes = grown(self.starts, len(self.places)), grown(self.sizes, len(self.places))
+        self.held += sum(map(len, fresh)) + KEY_BYTES * len(fresh)
+        words = np.fromiter((key[:1] == b" " for key in fresh), bool, len(fresh))
+        sound = np.fromiter(map(stands_alone, fresh), bool, len(fresh))
+        for kind, tokenizer in ((sound & ~words, self.bare), (words, self.tokenizer)):
+            chosen = np.flatnonzero(kind)
+            for at in range(0, len(chosen), 20_000):
+                some = chosen[at:at + 20_000]
+                texts = [fresh[i].decode("utf-8", "replace").lstrip(" ") for i in some.tolist()]
+                if tokenizer is self.bare:  # normalised together: a call for each costs more than its ids
+                    texts = self.tokenizer.normalizer.normalize_str(" ".join(texts)).split(" ")
+                encoded = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+                sizes = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(texts))
+                self.ids = grown(self.ids, self.used + len(encoded))
+                self.ids[self.used:self.used + len(encoded)] = encoded.ids
+                self.sizes[first + some] = sizes
+                self.starts[first + some] = self.used + np.cumsum(sizes) - sizes
+                self.used += len(encoded)
+
+    def gather(self, keys: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids per list of keys, and which lists hold a key without ids."""
+        counts = np.fromiter(map(len, keys), np.int64, len(keys))
+        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(keys)), np.int64, int(counts.sum()))
+        self.learn()
+        sizes = self.sizes[places].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        spots = np.repeat(self.starts[places] - ends[:-1], sizes) + np.arange(ends[-1])
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        empty = np.concatenate([[0], np.cumsum(sizes == 0)])[bounds]
+        return np.split(self.ids[spots], ends[bounds[1:-1]]), np.diff(empty) > 0
+
+    def by_word(self, text: bytes) -> list[bytes]:
+        """Keys of a text in which some pieces may not stand alone."""
+        keys = []
+        for word in text.split():
+            pieces = PIECE.findall(word.lower())
+            keys += pieces if all(self.sizes[self.places[p]] for p in pieces) else [b" " + word]
+        return keys
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        if self.held > ROOM:
+            self.clear()
+        if not texts:
+            return []
+        found, odd = self.gather([PIECE.findall((t or b"").lower()) for t in texts])
+        again = np.flatnonzero(odd).tolist()
+        if again:
+            for i, ids in zip(again, self.gather([self.by_word(texts[i]) for i in again])[0]):
+                found[i] = ids
+        return found
+
+
+def stands_alone(key: bytes) -> bool:
+    """Whether a key's ids do not depend on what its word holds besides it."""
+    if key.isascii():
+        return key[:1] == b" " or b"<|" not in key
+    return key[:1] == b" " or unicodedata.normalize("NFC", key.decode("utf-8", "replace")).lower().isalpha()
 
 
 def words_of(path: str) -> Words:
@@ -114,7 +161,6 @@ def pieces(docs: DataFrame, carry: list[str], tokenizer: str, text: str = "text"
     """(doc, start, length, doc_tokens, ids_crc32, ids): whole sequences, then the remainder, of every row."""
     rows = docs.select(packed(docs.select(*[f"`{c}`" for c in carry])).alias("doc"), text_bytes(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
-    last = end.to_bytes(4, "little")
 
     def run(batches):
         words = words_of(tokenizer)
@@ -122,10 +168,10 @@ def pieces(docs: DataFrame, carry: list[str], tokenizer: str, text: str = "text"
             for part in slices(batch, "text", 2 << 20):
                 owner, start, length, total, crc, data = [], [], [], [], [], []
                 for i, ids in enumerate(words.encode(part.column("text").to_pylist())):
-                    ids += last
-                    n = len(ids) // 4
+                    ids = np.append(ids, np.uint32(end)).astype("<u4")
+                    n = len(ids)
                     for at in range(0, n, capacity):
-                        some = ids[4 * at:4 * (at + capacity)]
+                        some = ids[at:at + capacity].tobytes()
                         owner.append(i)
                         start.append(at)
                         length.append(len(some) // 4)

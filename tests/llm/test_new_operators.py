@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from idsignal.llm import audit, fingerprints, queries, whitening
+from idsignal.llm import audit, fingerprints, packing, queries, whitening
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -226,3 +226,26 @@ def test_whitening_of_odd_vectors(spark):
     assert {r["doc"]["vec_id"]: r["deviation"] for r in small} == deviation
     assert whitening.whiten(table.where("vec_id = 1"), ["vec_id"]).select("n", F.size("whitened").alias("k")).distinct().collect() == [(1, 0)]
     assert whitening.whiten(table.where("vec_id = 99"), ["vec_id"]).count() == 0
+
+
+def test_random_texts_equal_the_tokenizer():
+    """Mixed scripts, marks, contractions, case changes that add marks, the tokenizer's own marks; the table emptied on the way."""
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(queries.tokenizer_path()), packing.Words(queries.tokenizer_path())
+    parts = ["SEVDİ,", "ABİ.", "İ", "ı", "ß", "Straße!", "it's", "'S", "''ll", "5's", "a.b", "...", "!?", "3.14", "²", "½", "٣", "日本語", "हिन्दी", "é", "≠",
+             "́", "😀", "😀!", " ", "x y", " ", "\x1c", "\x00", "<|endoftext|>", "a<|startoftext|>b", "<|", "|>", "<|ENDOFTEXT|>", "K", "ſ", "Ω", "the",
+             "Quick", "BROWN", "me@example.org", "don't", "O'Reilly", "ΑΣ", "ﬁ", "ǅ", "a_b", "_", "-", "​", "'", "\"'s"]
+    blanks = [" ", "  ", "\n", "\t", "\r\n", "\v", "\f", "", ""]
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(20_000):
+        pick = rng.integers(0, len(parts), rng.integers(0, 8))
+        texts.append("".join(parts[i] + blanks[j] for i, j in zip(pick, rng.integers(0, len(blanks), len(pick)))))
+    for at in range(0, len(texts), 500):
+        if at % 5000 == 0:
+            words.clear()
+        some = texts[at:at + 500]
+        want = [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+        for text, got, ids in zip(some, words.encode([t.encode() for t in some]), want):
+            assert got.tolist() == ids, text
