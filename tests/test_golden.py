@@ -162,7 +162,7 @@ def test_times(spark):
 
 def test_means_skip_nan_and_null(spark):
     df = spark.createDataFrame([("u", 1.0), ("u", 0.5), ("u", float("nan")), ("u", None), ("v", None)], "user string, alert_score double")
-    assert df.agg(numeric.exact_mean(F.col("alert_score"))).first()[0] == 0.75
+    assert df.agg(numeric.known_mean(F.col("alert_score"))).first()[0] == 0.75
     assert [(r.entity, r.risk_score) for r in reports.entity_insights(df).collect()] == [("U", 0.75)]
 
 
