@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,10 +29,9 @@ def fold(name: str = "doc_id") -> Column:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """`batch` cut so that each part holds about `limit` bytes of `column`, one row at least."""
-    sizes = batch.column(column).to_pylist() if batch.num_rows else []
     start = held = 0
-    for i, value in enumerate(sizes):
-        held += len(value or b"")
+    for i, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        held += size or 0
         if held >= limit:
             yield batch.slice(start, i + 1 - start)
             start, held = i + 1, 0

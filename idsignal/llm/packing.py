@@ -37,7 +37,7 @@ GRID = 8
 GAP = 1e-3
 ROUNDS = 3000
 BUCKETS = 1024
-ROOM = 128 << 20  # bytes of a worker's table, by estimate
+ROOM = 96 << 20  # bytes of a worker's table, by estimate
 KEY_BYTES = 150
 END = 1
 PIECE = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
@@ -77,8 +77,8 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.normalizer, self.none = self.tokenizer.normalizer, normalizers.Sequence([])
         self.clear()
 
     def clear(self) -> None:
@@ -94,14 +94,15 @@ class Words:
         self.held += sum(map(len, fresh)) + KEY_BYTES * len(fresh)
         words = np.fromiter((key[:1] == b" " for key in fresh), bool, len(fresh))
         sound = np.fromiter(map(stands_alone, fresh), bool, len(fresh))
-        for kind, tokenizer in ((sound & ~words, self.bare), (words, self.tokenizer)):
+        for kind, own in ((sound & ~words, self.none), (words, self.normalizer)):
             chosen = np.flatnonzero(kind)
             for at in range(0, len(chosen), 20_000):
                 some = chosen[at:at + 20_000]
                 texts = [fresh[i].decode("utf-8", "replace").lstrip(" ") for i in some.tolist()]
-                if tokenizer is self.bare:  # normalised together: a call for each costs more than its ids
-                    texts = self.tokenizer.normalizer.normalize_str(" ".join(texts)).split(" ")
-                encoded = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+                if own is self.none:  # normalised together: a call for each costs more than its ids
+                    texts = self.normalizer.normalize_str(" ".join(texts)).split(" ")
+                self.tokenizer.normalizer = own
+                encoded = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
                 sizes = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(texts))
                 self.ids = grown(self.ids, self.used + len(encoded))
                 self.ids[self.used:self.used + len(encoded)] = encoded.ids
@@ -165,7 +166,8 @@ def pieces(docs: DataFrame, carry: list[str], tokenizer: str, text: str = "text"
     def run(batches):
         words = words_of(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            pa.default_memory_pool().release_unused()  # what earlier work of this Python process has left
+            for part in slices(batch, "text", 1 << 20):
                 owner, start, length, total, crc, data = [], [], [], [], [], []
                 for i, ids in enumerate(words.encode(part.column("text").to_pylist())):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
