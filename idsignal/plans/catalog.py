@@ -16,7 +16,7 @@ from idsignal.operators import anomaly, enrich, events, fusion, metrics, reports
 from idsignal.operators.lookup import lookup
 from idsignal.plans import analysis, fixtures as fx
 from idsignal.sources import files, lines, payloads, sinks
-from idsignal.streaming import alerts as streams
+from idsignal.streaming import alerts as streams, cards
 from idsignal.workspace import fresh_path, shared_dir, stage, together
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -973,3 +973,74 @@ def stream_severity_counts(spark, sf):
     alerts = analysis.alert_rows(scored, F.col("event_id"), F.col("event_ts"), F.col("log_type"))
     streams.start_severity_counts(alerts, path, fresh_path(spark, "offsets"), {"availableNow": True}).awaitTermination()
     return streams.latest_counts(spark, path)
+
+
+def replayed_events(spark: SparkSession, sf: str, text: str, source: str) -> DataFrame:
+    """A fixture over a stream of the event files that come to lie below `source`."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return spark.sql(text, events=spark.readStream.schema(schema).parquet(source))
+
+
+@query("stream_replayed", ORACLES["alert_rows"])
+def stream_replayed(spark, sf):
+    """Every event comes twice, the second time in a later batch after a restart; each is stored once."""
+    source, store, feed, offsets = (fresh_path(spark, n) for n in ("events", "alerts", "feed", "offsets"))
+    for _ in range(2):
+        spark.read.parquet(f"{sf}/events.parquet").write.mode("append").parquet(source)
+        seen = streams.once_per_id(replayed_events(spark, sf, fx.RAW_LINES, source), "event_id", "event_ts", "400 days")
+        streams.start_alert_stream(seen, store, feed, offsets, {"availableNow": True}, F.col("event_ts")).awaitTermination()
+    return streams.stored_rows(spark, store)
+
+
+@query("stream_compacted", ORACLES["raw_landing"])
+def stream_compacted(spark, sf):
+    """Landing of 20 micro-batches, of which 16 have been merged into one part by the end."""
+    source, path = fresh_path(spark, "events"), fresh_path(spark, "landing")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(20).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    given = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.start_landing(spark.sql(fx.RAW_LINES, events=given), path, fresh_path(spark, "offsets"), {"availableNow": True},
+                          F.col("event_ts")).awaitTermination()
+    return streams.stored_rows(spark, path)
+
+
+FACT_COLUMNS = ["id", "event_ts", "user_id", "action_id", "alert_score", "prelim_priority"]
+
+
+def streamed_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Warehouse facts as a stream of three batches."""
+    source = fresh_path(spark, "events")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(source)
+    given = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return spark.sql(fx.WH_FACT, events=given).select(*FACT_COLUMNS)
+
+
+@query("stream_cards", fx.oracle(**WH) + f"""
+, total as (select count(*) as n, count(*) filter (upper(prelim_priority) = 'HIGH') as high, count(distinct user_id) as users,
+  avg(alert_score) as mean from fact),
+days as (select strftime(event_ts, '%Y-%m-%d') as day, count(*) as n, avg(alert_score) filter (alert_score <> 0) as mean
+  from fact where event_ts is not null group by 1),
+people as (select cast(user_id as varchar) as name, count(*) filter (upper(prelim_priority) = 'HIGH') as high
+  from fact where user_id is not null group by 1)
+select 'stats' as card, v.name, cast(null as bigint) as v, v.value from total, lateral (values ('total_alerts', cast(n as double)),
+  ('critical_alerts', cast(high as double)), ('unique_users', cast(users as double)),
+  ('avg_risk_score', {sql_even(sql_round('coalesce(mean, 0.0)', 6) + ' * 10000.0', 2)})) as v(name, value)
+union all select 'trend', day, n, {sql_round('coalesce(mean, 0.0)', 2)} from days
+union all select 'priority', prelim_priority, count(*), max(alert_score) from fact group by prelim_priority
+union all select 'action', cast(action_id as varchar), count(*), max(alert_score) from fact group by action_id
+union all (select 'top_users', name, high, cast(null as double) from people where high > 0 order by high desc, name limit 5)""")
+def stream_cards(spark, sf):
+    path = fresh_path(spark, "cards")
+    cards.start_cards(streamed_facts(spark, sf), path, fresh_path(spark, "offsets"), {"availableNow": True}).awaitTermination()
+    return cards.all_cards(cards.totals_table(spark, path).read())
+
+
+@query("stream_lists", fx.oracle(**WH) + f"""
+, best as (select *, row_number() over (order by alert_score desc, id) as by_score from fact where alert_score is not null),
+newest as (select *, row_number() over (order by event_ts desc, id) as by_time from fact where event_ts is not null)
+select {", ".join(FACT_COLUMNS)}, 'highest' as list from best where by_score <= 100
+union all select {", ".join(FACT_COLUMNS)}, 'newest' from newest where by_time <= 100""")
+def stream_lists(spark, sf):
+    path, facts = fresh_path(spark, "lists"), streamed_facts(spark, sf)
+    cards.start_lists(facts, path, fresh_path(spark, "offsets"), facts.schema, {"availableNow": True}).awaitTermination()
+    return cards.latest_lists(spark, path, facts.schema)

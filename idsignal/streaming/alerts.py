@@ -1,19 +1,25 @@
 """The alert pipeline as a stream: same columns as in batch, replay-safe tables as sinks.
 
-Each micro-batch owns one `batch_id` partition of a table and overwrites it, so a
-batch that runs twice is stored once. Table and checkpoint belong together: a
-new checkpoint starts batch numbers again and needs new tables.
+Sinks are `StreamTable`s: a micro-batch that runs twice is stored once, and small parts
+are merged as batches come. An event that the source gives again in a later batch is
+dropped by its id while the stream remembers it. Table and checkpoint belong
+together: a new checkpoint starts batch numbers again and needs new tables.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from idsignal import schemas
 from idsignal.plans.analysis import line_alerts, raw_landing
+from idsignal.streaming.tables import StreamTable
 
 FEED = ["id", "src_ip", "event_type", "severity", "risk_score"]
+FEED_SCHEMA = T.StructType([schemas.ALERTS[name] for name in FEED])
+LANDING = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("raw_log", T.StringType()), T.StructField("normalized", T.StringType()),
+    T.StructField("processed", T.BooleanType()), T.StructField("created_at", T.TimestampNTZType())])
 REFRESH = {"processingTime": "30 seconds"}
 
 
@@ -45,21 +51,44 @@ def number_lines(batch: DataFrame, batch_id: int) -> DataFrame:
     return placed.withColumn("event_id", event_id).select(*batch.columns, "event_id")
 
 
+def once_per_id(events: DataFrame, id_column: str, ts: str, memory: str) -> DataFrame:
+    """A stream without the events it has already given within `memory` of event time.
+
+    State is one key per id and is dropped once the watermark, `memory` behind the newest event,
+    has passed it. `memory` must be longer than events or replays come late: later ones are dropped,
+    and counted in the query's progress (`rows_too_late`). Events without an id or a time all pass.
+    """
+    alone = F.when(F.col(id_column).isNull() | F.col(ts).isNull(), F.expr("uuid()"))
+    # an event without a time is as new as can be; a watermark wants a timestamp, not one without zone
+    seen = F.coalesce(F.col(ts).cast("timestamp"), F.current_timestamp())
+    keyed = events.withColumn("_seen", seen).withColumn("_alone", alone).withWatermark("_seen", memory)
+    return keyed.dropDuplicatesWithinWatermark([id_column, "_alone"]).drop("_seen", "_alone")
+
+
+def rows_too_late(query: StreamingQuery) -> int:
+    """Rows a query has dropped because they came after the watermark, over the progress it still keeps."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def start_alert_stream(lines: DataFrame, store: str, feed: str, checkpoint: str, trigger: dict,
                        timestamp: Column | None = None, auth_rule: bool = False) -> StreamingQuery:
     """Normalise, score and store lines; push the five feed fields to `feed`.
 
-    `lines` has raw_log and, where the source gives one, event_id. `timestamp` is
-    the column to stamp alerts with, by default the time of the micro-batch.
+    `lines` has raw_log and, where the source gives one, event_id (`once_per_id` drops replayed
+    ones). `timestamp` is the column to stamp alerts with, by default the time of the micro-batch.
     """
     stamp = timestamp if timestamp is not None else F.current_timestamp().cast("timestamp_ntz")
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        alerts_table, feed_table = (StreamTable(batch.sparkSession, path, schema) for path, schema in ((store, schemas.ALERTS), (feed, FEED_SCHEMA)))
         numbered = batch if "event_id" in batch.columns else number_lines(batch, batch_id)
         alerts = line_alerts(numbered, F.col("event_id"), stamp, auth_rule)
-        write_batch(alerts, batch_id, store)
-        stored = alerts.sparkSession.read.schema(schemas.ALERTS).parquet(f"{store}/batch_id={batch_id}")
-        write_batch(stored.select(*FEED), batch_id, feed)
+        alerts_table.append(alerts, batch_id)
+        if not feed_table.has(batch_id):
+            stored = alerts_table.batch(batch_id)
+            feed_table.append((alerts if stored is None else stored).select(*FEED), batch_id)
+        alerts_table.compact()
+        feed_table.compact()
 
     return _start(lines, process, checkpoint, trigger, "append")
 
@@ -71,7 +100,9 @@ def start_landing(lines: DataFrame, path: str, checkpoint: str, trigger: dict,
 
     def process(batch: DataFrame, batch_id: int) -> None:
         numbered = batch if "event_id" in batch.columns else number_lines(batch, batch_id)
-        write_batch(raw_landing(numbered, stamp, F.col("event_id")), batch_id, path)
+        landing = StreamTable(batch.sparkSession, path, LANDING)
+        landing.append(raw_landing(numbered, stamp, F.col("event_id")), batch_id)
+        landing.compact()
 
     return _start(lines, process, checkpoint, trigger, "append")
 
@@ -92,7 +123,7 @@ def _start(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpo
 
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("batch_id")
+    return StreamTable(spark, path).read()
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -26,9 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_name(name: str) -> str:
+    """A name that nothing has used before."""
+    return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/idsignal/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/idsignal/{spark.sparkContext.applicationId}/{fresh_name(name)}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
