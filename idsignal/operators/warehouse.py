@@ -77,6 +77,23 @@ def one_per_id(logs: DataFrame, id_name: str = "id", order: str = "event_ts") ->
     return logs.groupBy(id_name).agg(first).select(id_name, "_first.*").select(*logs.columns)
 
 
+def with_ids(logs: DataFrame, id_name: str = "id") -> DataFrame:
+    """`logs` with an id for every row: one that has none gets a negative id of its own.
+
+    It follows from what the row holds and how many rows like it came before, so equal rows get
+    different ids and a second load of the same rows gives the same ids again. It has 63 bits: two of
+    n such rows share one with a chance of n * n / 2^64 (one in 18 for a thousand million).
+    Equal rows are counted, not shuffled.
+    """
+    values = [c for c in logs.columns if c != id_name]
+    alike = logs.where(F.col(id_name).isNull()).groupBy(*values).agg(F.count(F.lit(1)).alias("_n"))
+    counted = alike.withColumn("_place", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    named = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in values]  # names keep nulls of different columns apart
+    made = F.lit(-1) - F.shiftrightunsigned(F.xxhash64(*named, "_place"), 1)
+    given = logs.where(F.col(id_name).isNotNull())
+    return given.unionByName(counted.withColumn(id_name, made.cast(logs.schema[id_name].dataType)).select(*logs.columns))
+
+
 def loadable(logs: DataFrame) -> DataFrame:
     """Rows that have all three keys."""
     return logs.where(F.col("user").isNotNull() & F.col("action").isNotNull() & F.col("src_ip").isNotNull())

@@ -570,6 +570,19 @@ def star_load(spark, sf):
     return fact
 
 
+@query("star_history", fx.oracle(**LOADS) + """
+select i.src_ip, i.country, i.ti_score, 1 as version, cast(case when l.src_ip is not null and (l.country is distinct from i.country
+  or l.ti_score is distinct from i.ti_score) then 2 end as bigint) as replaced_by from ips i left join later l on l.src_ip = i.src_ip
+union all select l.src_ip, l.country, l.ti_score, 2, null from later l left join ips i on l.src_ip = i.src_ip
+where i.src_ip is null or l.country is distinct from i.country or l.ti_score is distinct from i.ti_score""")
+def star_history(spark, sf):
+    """What was known of each address after each of two loads."""
+    base = fresh_path(spark, "star")
+    for logs in two_loads(spark, sf):
+        sinks.load_star(logs, base, ti_country="ti_country")
+    return sinks.ip_history(spark, base).select("src_ip", "country", "ti_score", F.col("version").cast("int").alias("version"), "replaced_by")
+
+
 @query("flat_projection", fx.oracle(**FLAT) + "select src_ip, ti_score, ti_country, ti_asn, alert_score, prelim_priority from flat")
 def flat_projection(spark, sf):
     return warehouse.flat_projection(flat_logs(spark, sf))

@@ -9,6 +9,8 @@ A batch counts as stored once a list names it, also when its part has since been
 stores nothing twice whatever happened to the files. Batches of a checkpoint come in order; table
 and checkpoint belong together.
 
+Tables that number their own batches (`next_batch`) have one writer at a time.
+
 `FANOUT` neighbouring parts of one level become one of the next: a table of n batches has at most
 about FANOUT parts for each power of FANOUT in n, and each row is rewritten once a level. Keyed tables
 keep the newest row of each key when parts are merged and read.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -92,8 +95,10 @@ class StreamTable:
     `schema` may be left out where a table that has batches is only read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None, key: list[str] | None = None, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None, key: list[str] | None = None, fanout: int = FANOUT,
+                 newest_by: str = "batch_id", partition_by: list[str] | None = None):
         self.spark, self.schema, self.key, self.fanout = spark, schema, key, fanout
+        self.newest_by, self.partition_by = newest_by, partition_by or []
         self.files = Folder(spark, path)
 
     def lists(self) -> list[int]:
@@ -129,7 +134,7 @@ class StreamTable:
             return False
         folder = f"batch_id={batch_id}"
         # a batch that failed before its list was written left files that count for nothing
-        batch.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.files.root}/{folder}")
+        self.write(batch.select(*self.schema.fieldNames()), folder, "overwrite")
         while True:
             number, parts = self.live()
             if parts and batch_id <= parts[-1].last:
@@ -138,6 +143,15 @@ class StreamTable:
             if self.commit(number, made):
                 return True
 
+    def next_batch(self) -> int:
+        """A number for the next batch of a table that numbers its own."""
+        parts = self.live()[1]
+        return parts[-1].last + 1 if parts else 1
+
+    def write(self, rows: DataFrame, folder: str, mode: str) -> None:
+        spread = rows.hint("rebalance", *self.partition_by) if self.partition_by else rows
+        spread.write.mode(mode).partitionBy(*self.partition_by).parquet(f"{self.files.root}/{folder}")
+
     def run(self, parts: list[Part]) -> list[Part]:
         """The first `fanout` neighbours of one level."""
         start = 0
@@ -152,7 +166,7 @@ class StreamTable:
         merges = 0
         while run := self.run(self.live()[1]):
             folder = f"_merged/{run[0].first}-{run[-1].last}-{fresh_name('part')}"
-            self.newest(self.open(run)).write.mode("errorifexists").parquet(f"{self.files.root}/{folder}")
+            self.write(self.newest(self.open(run)), folder, "errorifexists")
             merged = Part(folder, run[0].first, run[-1].last, run[0].level + 1)
             while True:
                 number, parts = self.live()
@@ -168,13 +182,17 @@ class StreamTable:
         folders = [f"{self.files.root}/{p.folder}" for p in parts]
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return (self.spark.read.schema(self.schema) if self.schema else self.spark.read).parquet(*folders)
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        if not self.partition_by:
+            return reader.parquet(*folders)
+        # each part has its own partition folders, so Spark reads them one by one: at most `fanout` a level
+        return reduce(DataFrame.unionByName, [reader.parquet(folder) for folder in folders])
 
     def newest(self, rows: DataFrame) -> DataFrame:
         if not self.key:
             return rows
         others = [f.name for f in self.schema.fields if f.name not in self.key]
-        latest = F.max_by(F.struct(*others), "batch_id").alias("_row")
+        latest = F.max_by(F.struct(*others), self.newest_by).alias("_row")
         return rows.groupBy(*self.key).agg(latest).select(*self.key, "_row.*").select(*self.schema.fieldNames())
 
     def read(self) -> DataFrame:

@@ -230,3 +230,36 @@ def test_reputation_and_alert_tables(spark, tmp_path):
     for _ in range(2):
         sinks.append_parquet(spark.createDataFrame([alert], schemas.ALERTS), alerts)
     assert [tuple(r) for r in files.alert_store(spark, alerts).collect()] == [alert, alert]
+
+
+def test_rows_without_an_id_are_stored_once_each(spark, tmp_path):
+    base = str(tmp_path / "star")
+    given = star_logs(spark, [0, 0, 1, 2, 0]).withColumn("user", F.lit("u")).unionByName(star_logs(spark, [0]).withColumn("user", F.lit("v")))
+    logs = given.withColumn("id", F.when(F.col("id") > 0, F.col("id")))
+    for _ in range(2):
+        sinks.load_star(logs, base)
+    fact = spark.read.parquet(f"{base}/enriched_logs")
+    ids = [r.id for r in fact.collect()]
+    assert len(ids) == len(set(ids)) == 6 and sorted(i for i in ids if i > 0) == [1, 2]
+    assert fact.join(spark.read.parquet(f"{base}/users"), "user_id").groupBy("username").count().orderBy("username").collect() == [("u", 5), ("v", 1)]
+
+
+def test_ids_without_an_id_tell_equal_rows_apart(spark):
+    rows = spark.createDataFrame([(None, "a", None), (None, None, "a"), (None, "a", None), (7, "a", None)], "id bigint, x string, y string")
+    made = warehouse.with_ids(rows).collect()
+    assert len({r.id for r in made}) == 4 and sum(r.id < 0 for r in made) == 3
+    assert sorted(map(str, made)) == sorted(map(str, warehouse.with_ids(rows.repartition(3)).collect()))
+
+
+def test_versions_of_addresses(spark, tmp_path):
+    base = str(tmp_path / "star")
+    for n in range(20):  # each load changes one address more
+        sinks.ip_details(spark, base).append(
+            spark.createDataFrame([(1, "1.1.1.1", "US", n, n + 1), (n + 2, f"2.2.2.{n}", "IN", 0, n + 1)], sinks.VERSIONED_IPS), n + 1)
+        sinks.StreamTable(spark, f"{base}/ip_history", sinks.VERSIONED_IPS).append(
+            spark.createDataFrame([(1, "1.1.1.1", "US", n, n + 1), (n + 2, f"2.2.2.{n}", "IN", 0, n + 1)], sinks.VERSIONED_IPS), n + 1)
+    assert sinks.ip_details(spark, base).compact() == 1 and len(sinks.ip_details(spark, base).live()[1]) == 5
+    now = {r.ip_id: r for r in sinks.read_ip_details(spark, base).collect()}
+    assert len(now) == 21 and (now[1].ti_score, now[1].version) == (19, 20)
+    then = {r.ip_id: r.ti_score for r in sinks.ip_details_at(spark, base, 5).collect()}
+    assert then == {1: 4, **{n: 0 for n in range(2, 7)}}
