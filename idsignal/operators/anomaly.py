@@ -1,11 +1,14 @@
 """Isolation-forest anomaly score of event rows.
 
 Spark samples the rows of every tree, grows the trees as grouped tasks and scores
-all rows in Arrow batches. The action is kept as one text column: splitting on
+all rows in Arrow batches. Every random draw is a piece of the md5 of its key (row and tree,
+or tree and place in it), so that the whole forest can be grown again in SQL. The action is kept as one text column: splitting on
 "action equals x" is the same as splitting on a one-hot flag, and needs no
 vocabulary on the driver.
 """
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -64,9 +67,18 @@ def one_hot(featured: DataFrame, vocabulary: DataFrame, row_id: str) -> DataFram
 # -- training -------------------------------------------------------------------
 
 
+DRAW_DIGITS = 13  # hexadecimal: 52 bits, which a double holds
+
+
 def _unit(*keys) -> Column:
     """A repeatable draw from [0, 1) per key."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    digits = F.substring(F.md5(F.concat_ws("-", *[F.col(k) if isinstance(k, str) else k for k in keys]).cast("binary")), 1, DRAW_DIGITS)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(16 ** DRAW_DIGITS))
+
+
+def draw(*keys: int) -> float:
+    """`_unit` of numbers."""
+    return int(hashlib.md5("-".join(map(str, keys)).encode()).hexdigest()[:DRAW_DIGITS], 16) / 16 ** DRAW_DIGITS
 
 
 def tree_samples(featured: DataFrame, row_id: str, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
@@ -97,18 +109,18 @@ def mean_path(size) -> np.ndarray:
     return np.where(size <= 1, 0.0, np.where(size == 2, 1.0, length))
 
 
-def _split(values: np.ndarray, actions: np.ndarray, rng):
-    """A random split among the features that vary here, or None."""
+def _split(values: np.ndarray, actions: np.ndarray, *place: int):
+    """A random split among the features that vary here, or None; drawn by its place."""
     low, high = values.min(axis=0), values.max(axis=0)
     varying = np.flatnonzero(high - low > 1e-7)
     names = np.unique(actions)
     flags = len(names) if len(names) > 1 else 0
     if len(varying) + flags == 0:
         return None
-    pick = rng.integers(len(varying) + flags)
+    pick = int(draw(*place, 0) * (len(varying) + flags))
     if pick < len(varying):
         feature = int(varying[pick])
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        threshold = float(low[feature] + draw(*place, 1) * (high[feature] - low[feature]))
         return feature, threshold, None, values[:, feature] > threshold
     name = names[pick - len(varying)]
     return ACTION_SPLIT, 0.5, str(name), actions == name
@@ -118,22 +130,22 @@ def grow_tree(rows: pd.DataFrame, row_id: str, seed: int) -> pd.DataFrame:
     """Nodes of one isolation tree over one sample."""
     rows = rows.sort_values(row_id)
     tree_id = int(rows["tree_id"].iloc[0])
-    rng = np.random.default_rng([seed, tree_id])
     values = rows[NUMERIC].to_numpy(dtype=float)
     actions = rows["action_top"].to_numpy(dtype=object).astype(str)
     limit = int(np.ceil(np.log2(max(len(rows), 2))))
-    nodes, waiting = [], [(0, 0, np.arange(len(rows)))]
+    # a place counts the root as 1 and the children of place p as 2p and 2p + 1
+    nodes, waiting = [], [(0, 1, 0, np.arange(len(rows)))]
     issued = 1
     while waiting:
-        node, depth, members = waiting.pop()
-        split = _split(values[members], actions[members], rng) if depth < limit and len(members) > 1 else None
+        node, place, depth, members = waiting.pop()
+        split = _split(values[members], actions[members], seed, tree_id, place) if depth < limit and len(members) > 1 else None
         if split is None:
             nodes.append((tree_id, node, LEAF, 0.0, None, node, node, depth + float(mean_path(len(members))), len(rows)))
             continue
         feature, threshold, name, right = split
         nodes.append((tree_id, node, feature, threshold, name, issued, issued + 1, 0.0, len(rows)))
-        waiting.append((issued, depth + 1, members[~right]))
-        waiting.append((issued + 1, depth + 1, members[right]))
+        waiting.append((issued, 2 * place, depth + 1, members[~right]))
+        waiting.append((issued + 1, 2 * place + 1, depth + 1, members[right]))
         issued += 2
     return pd.DataFrame(nodes, columns=[part.split()[0] for part in NODE_SCHEMA.split(", ")])
 

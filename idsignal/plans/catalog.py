@@ -830,13 +830,83 @@ def anomaly_features(spark, sf):
     return anomaly.one_hot(featured, vocabulary, "id").select("id", *anomaly.NUMERIC, "hot_feature")
 
 
-@query("anomaly_scored")
-def anomaly_scored(spark, sf):
+def sql_draw(*keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('-', {', '.join(keys)})), 1, {anomaly.DRAW_DIGITS}))::bigint / {16 ** anomaly.DRAW_DIGITS}.0::double)"
+
+
+def sql_mean_path(size: str) -> str:
+    return f"case when {size} <= 1 then 0.0 when {size} = 2 then 1.0 else 2 * (ln({size} - 1) + 0.5772156649015329) - 2.0 * ({size} - 1) / {size} end"
+
+
+def forest_sql() -> str:
+    """The isolation forest grown and asked in SQL: samples, then trees and walks level by level."""
+    seed, sample, wanted = anomaly.SEED, anomaly.SAMPLE, 2 * anomaly.TREES * anomaly.SAMPLE
+    places = range(len(anomaly.NUMERIC))
+    xs = ", ".join(f"x{i}" for i in places)
+    ranges = ", ".join(f"min(x{i}) over w as l{i}, max(x{i}) over w as h{i}" for i in places)
+    varying = "list_filter([" + ", ".join(f"case when h{i} - l{i} > 1e-7 then {i} end" for i in places) + "], lambda f: f is not null)"
+    low, high, value = ("[" + ", ".join(f"{side}{i}" for i in places) + "][feature + 1]" for side in "lhx")
+    right = f"case when feature < {len(places)} then {value} > threshold else action_top = name end"
+    return f"""
+with recursive flat as ({fx.ENRICHED_FLAT.replace("{events}", "events")}),
+feats as (
+  select id, action, final_risk_score, final_risk_score::double as x0, coalesce(ti_score, 0)::double as x1, coalesce(hour(event_ts), 0)::double as x2,
+    coalesce(isodow(event_ts) - 1, 0)::double as x3, (case when contains(lower(action), 'consolelogin') then 1 else 0 end)::double as x4,
+    coalesce(action, 'OTHER') as action_top from flat),
+pool as (select * from feats where {sql_draw("id", str(seed))} * (select count(*) from feats) < {wanted}),
+draws as (select p.*, t.tree, {sql_draw("id", str(seed), "tree")} as draw from pool p cross join range(1, {anomaly.TREES + 1}) t(tree)),
+ranked as (
+  select *, row_number() over (partition by tree order by draw, id) as place from draws
+  where draw * least((select count(*) from feats), {wanted}) < {2 * sample}),
+sampled as (select *, count(*) over (partition by tree) as size from ranked where place <= {sample}),
+grown as (
+  select id, tree, {xs}, action_top, size, 1 as spot, 0 as depth, null::int as feature, null::double as threshold, null::varchar as name from sampled
+  union all
+  select id, tree, {xs}, action_top, size, 2 * spot + ({right})::int, depth + 1, feature, threshold, name
+  from (
+    select * exclude (threshold), {low} + {sql_draw(str(seed), "tree", "spot", "1")} * ({high} - {low}) as threshold
+    from (
+      select * exclude (feature, name), case when pick < len(vary) then vary[pick + 1] else {len(places)} end as feature,
+        case when pick >= len(vary) then names[pick - len(vary) + 1] end as name
+      from (
+        select *, floor({sql_draw(str(seed), "tree", "spot", "0")} * (len(vary) + flags))::int as pick
+        from (
+          select *, {varying} as vary, case when len(names) > 1 then len(names) else 0 end as flags
+          from (
+            select *, {ranges}, count(*) over w as n, list_sort(list_distinct(list(action_top) over w)) as names
+            from grown window w as (partition by tree, spot))
+          where n > 1 and depth < ceil(log2(greatest(size, 2))))
+        where len(vary) + flags > 0)))),
+splits as (select distinct tree, spot // 2 as spot, feature, threshold, name from grown where spot > 1),
+leaves as (
+  select g.tree, g.spot, any_value(g.depth) + {sql_mean_path("count(*)")} as length
+  from grown g anti join splits s on s.tree = g.tree and s.spot = g.spot group by g.tree, g.spot),
+walk as (
+  select id, {xs}, action_top, tree, 1 as spot from feats cross join (select distinct tree from sampled)
+  union all
+  select id, {xs}, action_top, w.tree, 2 * w.spot + ({right})::int from walk w join splits s on s.tree = w.tree and s.spot = w.spot),
+paths as (select id, sum(length) / count(*) as length from walk join leaves on leaves.tree = walk.tree and leaves.spot = walk.spot group by id),
+raw as (select id, power(2.0, -length / (select {sql_mean_path("max(size)")} from sampled)) as score from paths),
+scored as (
+  select id, action, final_risk_score, (score - (select min(score) from raw)) / ((select max(score) - min(score) from raw) + 1e-9) as ml_score
+  from raw join feats using (id))
+select id, action, {sql_round("ml_score", 9)} as ml_score, (ml_score > {anomaly.FLAG_ABOVE})::int as ml_flag,
+  {sql_round(f"(final_risk_score + ml_score * {anomaly.SCORE_WEIGHT})", 9)} as adjusted_risk_score from scored"""
+
+
+def scored_logs(spark: SparkSession, sf: str) -> DataFrame:
     featured = featured_logs(spark, sf)
     forest = stage(anomaly.train_forest(featured, "id"), "forest")
     return anomaly.anomaly_scores(featured, forest, keep=["id", "action"])
 
 
+@query("anomaly_scored", forest_sql())
+def anomaly_scored(spark, sf):
+    return scored_logs(spark, sf).select(
+        "id", "action", round_half_up(F.col("ml_score"), 9).alias("ml_score"), "ml_flag",
+        round_half_up(F.col("adjusted_risk_score"), 9).alias("adjusted_risk_score"))
+
+
 SCALED = ", ".join(
     f"({name} - (select min({name}) from filled)) / (select case when max({name}) > min({name}) then max({name}) - min({name})"
     f" else 1.0 end from filled) as {name}_scaled" for name in fusion.INPUTS)
@@ -877,7 +947,7 @@ def fusion_final(spark, sf):
 select count(*) as logs, count(distinct id) as ids, 0 as outside, 0 as wrong_flags, 0 as wrong_scores, 0.0 as lowest, 1.0 as highest from flat""")
 def anomaly_consistency(spark, sf):
     """What must hold of every anomaly score: its range, the flag's cut, the adjusted score."""
-    scored = stage(anomaly_scored(spark, sf), "anomaly_scored").join(flat_logs(spark, sf).select("id", F.col("final_risk_score").alias("before")), "id")
+    scored = stage(scored_logs(spark, sf), "anomaly_scored").join(flat_logs(spark, sf).select("id", F.col("final_risk_score").alias("before")), "id")
     flag = (F.col("ml_score") > anomaly.FLAG_ABOVE).cast("int")
     expected = F.col("before") + F.col("ml_score") * anomaly.SCORE_WEIGHT
     return scored.agg(
