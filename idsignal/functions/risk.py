@@ -1,34 +1,24 @@
 """Rule score, priority and reasons of one event, all in plain columns."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from idsignal import fixed_values as fv
-from idsignal.functions.ip import is_internal
+from idsignal.functions import rules
+from idsignal.functions.rules import BUILT_IN, Rule
 
 
-def _rules(action: Column, result: Column, src_ip: Column, rfc1918: bool):
-    """(condition, points, reason) per rule, in the order reasons are listed."""
-    external = (src_ip != fv.UNKNOWN) & ~is_internal(src_ip, rfc1918)
-    return [
-        (action.isin(fv.SENSITIVE_ACTIONS), fv.SENSITIVE_POINTS, F.concat(F.lit(fv.SENSITIVE_REASON), action)),
-        (action.isin(fv.ELEVATED_ACTIONS), fv.ELEVATED_POINTS, F.concat(F.lit(fv.ELEVATED_REASON), action)),
-        (result == "FAILED", fv.FAILURE_POINTS, F.lit(fv.FAILURE_REASON)),
-        (external, fv.EXTERNAL_POINTS, F.concat(F.lit(fv.EXTERNAL_REASON), src_ip)),
-        (action.isin(fv.TAMPERING_ACTIONS), fv.TAMPERING_POINTS, F.lit(fv.TAMPERING_REASON)),
-    ]
+def _facts(action: Column, result: Column, src_ip: Column):
+    return {"action": action, "result": result, "src_ip": src_ip}.__getitem__
 
 
 def risk_score(action: Column, result: Column, src_ip: Column, rfc1918: bool = False) -> Column:
-    points = [F.when(fires, worth).otherwise(0) for fires, worth, _ in _rules(action, result, src_ip, rfc1918)]
-    total = points[0]
-    for worth in points[1:]:
-        total = total + worth
-    return F.least(total, F.lit(fv.RISK_CAP))
+    return rules.score(BUILT_IN, _facts(action, result, src_ip), rfc1918)
 
 
 def risk_reasons(action: Column, result: Column, src_ip: Column, rfc1918: bool = False) -> Column:
-    fired = [F.when(fires, reason) for fires, _, reason in _rules(action, result, src_ip, rfc1918)]
-    return F.array_compact(F.array(*fired))
+    return rules.reasons(BUILT_IN, _facts(action, result, src_ip), rfc1918)
 
 
 def priority(score: Column) -> Column:
@@ -39,12 +29,12 @@ def priority(score: Column) -> Column:
     return level.otherwise(fv.LOWEST_PRIORITY)
 
 
-def with_risk(events: DataFrame, rfc1918: bool = False) -> DataFrame:
-    """Add risk_score, priority and reasons to rows with action, result and src_ip."""
-    facts = (F.col("action"), F.col("result"), F.col("src_ip"))
+def with_risk(events: DataFrame, rfc1918: bool = False, by: Sequence[Rule] = BUILT_IN) -> DataFrame:
+    """Add risk_score, priority and reasons to rows that have the columns the rules test (action, result and src_ip)."""
+    known = rules.checked(by, events.columns)
     return (
         events
-        .withColumn("risk_score", risk_score(*facts, rfc1918))
+        .withColumn("risk_score", rules.score(known, F.col, rfc1918))
         .withColumn("priority", priority(F.col("risk_score")))
-        .withColumn("reasons", risk_reasons(*facts, rfc1918))
+        .withColumn("reasons", rules.reasons(known, F.col, rfc1918))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from idsignal import fixed_values as fv
 from idsignal import schemas
-from idsignal.functions import checks, scores
+from idsignal.functions import checks, rules, scores
 from idsignal.functions.ip import extract_ip, repair_ip
 from idsignal.functions.numeric import round_half_up
 from idsignal.functions.risk import with_risk
@@ -216,6 +216,31 @@ def risk_reasons(spark, sf):
         "event_id", F.array_join("reasons", " | ").alias("reasons"), F.size("reasons").alias("fired"))
 
 
+# A second version of the built-in rules: failures count more and are told first, tampering is gone, two rules are new.
+OWN_RULES = [
+    rules.Rule("failure", "result", "in", 35, "Failure of ", ("FAILED",), "user"),
+    *[r for r in rules.BUILT_IN if r.name not in ("failure", "tampering")],
+    rules.Rule("foreign region", "region", "not in", 10, "Region not in use: ", ("us-east-1", fv.UNKNOWN), "region"),
+    rules.Rule("listing", "action", "starts with", 5, "Reads only", ("List", "Get")),
+]
+
+
+@query("risk_own_rules", fx.oracle(**CT) + f"""
+, own as (select *, result = 'FAILED' as f, region not in ('us-east-1', 'unknown') as g, action like 'List%' or action like 'Get%' as r from rules),
+own_scored as (select *, least(100, 35 * f::int + 50 * sensitive::int + 25 * elevated::int + 15 * outside::int + 10 * g::int + 5 * r::int) as risk_score from own)
+select event_id, risk_score, {LEVEL} as priority, concat_ws(' | ', case when f then 'Failure of ' || "user" end,
+ case when sensitive then '{fv.SENSITIVE_REASON}' || action end, case when elevated then '{fv.ELEVATED_REASON}' || action end,
+ case when outside then '{fv.EXTERNAL_REASON}' || src_ip end, case when g then 'Region not in use: ' || region end,
+ case when r then 'Reads only' end) as reasons from own_scored""")
+def risk_own_rules(spark, sf):
+    """Events scored by the newest version of a written rule table."""
+    path = fresh_path(spark, "rules")
+    rules.as_table(spark, rules.BUILT_IN, 1).unionByName(rules.as_table(spark, OWN_RULES, 2)).write.parquet(path)
+    by = rules.from_table(spark.read.parquet(path))
+    scored = with_risk(events.parse_events(ct_events(spark, sf)), by=by)
+    return scored.select("event_id", "risk_score", "priority", F.array_join("reasons", " | ").alias("reasons"))
+
+
 @query("alert_explained", fx.oracle(**CT) + f"select event_id, {SUMMARY} as summary, {ADVICE} as recommendations from scored")
 def alert_explained(spark, sf):
     return scored_events(spark, sf).select(
@@ -984,10 +1009,18 @@ def fusion_held_out(spark, sf):
     return fused(spark, sf)[1]
 
 
-@query("fusion_preview", fx.oracle(**FLAT) + """
-select event_ts as "timestamp", user_name as "user", src_ip from flat order by id limit 10""")
+@query("fusion_preview", fx.oracle(**FLAT) + f"""
+select event_ts as "timestamp", user_name as "user", src_ip, {BUCKET} as final_priority from flat order by id limit 10""")
 def fusion_preview(spark, sf):
-    return fusion.preview(fused(spark, sf)[0], "id").drop("final_priority")
+    """The short list, all four columns; priorities by bucket of the rule score, which SQL can follow."""
+    alerts = flat_logs(spark, sf).withColumn("timestamp", F.col("event_ts"))
+    return fusion.preview(alerts.withColumn("final_priority", scores.fusion_bucket(F.col("alert_score"))), "id")
+
+
+@query("fusion_model_preview")
+def fusion_model_preview(spark, sf):
+    """The short list of the fitted model's alerts."""
+    return fusion.preview(fused(spark, sf)[0], "id")
 
 
 @query("classification_report", fx.oracle(flat=fx.ENRICHED_FLAT, buckets=f"select id, {BUCKET} as prelim_priority, {LABEL} as l from flat",
