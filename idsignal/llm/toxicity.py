@@ -4,11 +4,13 @@
   alphabets and digits that stand for letters become one letter of their class (i, l, 1 and | are
   one class), `@` and `$` inside words too; all that is no letter then becomes a space.
 * Lexicon: stems (beginnings of words, `STEM` characters and more) and whole words, which end in a
-  space. Those in at least `SUPPORT` documents labelled toxic, at most `CANDIDATES`, are counted in
-  all labelled documents; the log odds of toxic against clean is the weight of those that are high
-  (`MIN_WEIGHT`) and sure (`MIN_Z`) enough, at most `LEXICON`, less those a shorter one stands for.
+  space, counted in all labelled documents. Those in at least `SUPPORT` toxic ones whose log odds of
+  toxic against clean are high (`MIN_WEIGHT`) and sure (`MIN_Z`, the root of the likelihood ratio, which
+  also judges words that no clean document has) weigh their log odds, less those a shorter one stands
+  for. No bar depends on the size of the table. The automaton is in every worker's memory: beyond
+  `LEXICON` sure words or exceptions the operator raises an error, it drops none.
 * Exceptions: a neighbour with a lexicon word, in whose company the word is no sign of toxicity in
-  the labelled documents, takes its match away; at most `LEXICON` phrases.
+  the labelled documents, takes its match away.
 * Score: matched weight and matched weight per word, through a logistic curve fitted on at most
   `FIT_ROWS` labelled documents chosen by hash.
 
@@ -20,7 +22,6 @@ where a word begins, the best one counts per word, in texts of any length.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from functools import lru_cache
@@ -30,15 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from idsignal.llm.common import map_batches, packed, text_bytes
+from idsignal.llm.common import packed, slices, text_bytes
 from idsignal.workspace import stage
 
 SUPPORT = 5
-SUPPORT_SHARE = 0.004
-CANDIDATES = 100_000
-LEXICON = 4000
+LEXICON = 1_000_000
 MIN_WEIGHT = 1.5
-MIN_Z = 3.0
+MIN_Z = 4.0
 STEM = (4, 10)
 FLUSH = 300_000
 FIT_ROWS = 50_000
@@ -82,12 +81,13 @@ def fold_text(text: bytes | None) -> str:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, learn: Column, text: str, id_column: str, name: str) -> DataFrame:
-    """(toxic, text) of the labelled rows to learn from, written to the shared folder."""
+    """(toxic, pick, text) of the labelled rows to learn from, written to the shared folder; `pick` is a hash of id and text."""
     marks = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
              .groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic")))
     rows = docs.where(learn).select(F.col(f"`{id_column}`").alias("id"), text_bytes(text).alias("text"))
     # always a merge join: a plan that changes with the size of the labels makes costs hard to foresee
-    return stage(rows.join(marks.hint("merge"), rows["id"] == marks["labelled"]).select((F.col("toxic") != 0).alias("toxic"), "text"), f"{name}-labelled")
+    return stage(rows.join(marks.hint("merge"), rows["id"] == marks["labelled"]).select(
+        (F.col("toxic") != 0).alias("toxic"), F.xxhash64(F.lit(9), "id", "text").alias("pick"), "text"), f"{name}-labelled")
 
 
 def stems(word: str) -> list[str]:
@@ -106,8 +106,8 @@ def count_tokens(rows: DataFrame, tokens) -> DataFrame:
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(x, pa.int64()) for x in columns[1:]]], ["token", "t", "c"])
 
-        for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            for toxic, text in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist()):
                 for token in tokens(fold_text(text).split()):
                     counts.setdefault(token, [0, 0])[toxic] += 1
                 if len(counts) > FLUSH:
@@ -119,20 +119,31 @@ def count_tokens(rows: DataFrame, tokens) -> DataFrame:
 
 
 def odds(counts: DataFrame, totals: tuple[int, int]) -> DataFrame:
-    """`counts` with weight, the log odds of toxic against clean, and z, how sure it is."""
+    """`counts` with weight, the log odds of toxic against clean, and z, how sure it is.
+
+    z is the signed root of the likelihood ratio of the observed split against that of all labelled rows.
+    """
     toxic, clean = totals
-    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    return counts.withColumn("weight", weight).withColumn(
-        "z", F.col("weight") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
+    t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    weight = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (n * F.lit(share)))).otherwise(0.0)
+    ratio = 2 * (part(t, toxic / (toxic + clean)) + part(c, clean / (toxic + clean)))
+    return counts.withColumn("weight", weight).withColumn("z", F.signum("weight") * F.sqrt(F.greatest(ratio, F.lit(0.0))))
+
+
+def gathered(found: DataFrame, limit: int) -> list:
+    """The rows of `found`; an error, not a cut, if they are more than every worker may hold."""
+    rows = found.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} words or phrases are sure signs: raise MIN_Z or split the labels by language")
+    return rows
 
 
 def learn_lexicon(rows: DataFrame, totals: tuple[int, int]) -> dict[str, float]:
     """Folded stem or word to weight."""
-    support = max(SUPPORT, math.ceil(SUPPORT_SHARE * totals[0]))
-    counts = count_tokens(rows.where("toxic"), lambda words: {s for w in set(words) if len(w) > 2 for s in stems(w)})
-    common = {r["token"] for r in counts.where(F.col("t") >= support).orderBy(F.desc("t"), "token").limit(CANDIDATES).collect()}
-    found = odds(count_tokens(rows, lambda words: common.intersection([s for w in set(words) for s in stems(w)])), totals)
-    sure = found.where((F.col("weight") >= MIN_WEIGHT) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "token").limit(LEXICON).collect()
+    counts = count_tokens(rows, lambda words: {s for w in set(words) if len(w) > 2 for s in stems(w)})
+    found = odds(counts.where(F.col("t") >= SUPPORT), totals)
+    sure = gathered(found.where((F.col("weight") >= MIN_WEIGHT) & (F.col("z") >= MIN_Z)).select("token", "weight"), LEXICON)
     lexicon: dict[str, float] = {}
     for r in sorted(sure, key=lambda r: (len(r["token"]), r["token"])):
         shorter = max((lexicon.get(r["token"][:n], 0.0) for n in range(STEM[0], len(r["token"]))), default=0.0)
@@ -149,7 +160,7 @@ def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], totals: tuple[i
         return {f"{words[j]} {words[j + 1]} " for i in hits for j in (i - 1, i) if j >= 0 and j + 1 < len(words)}
 
     found = odds(count_tokens(rows, phrases), totals).where((F.col("c") >= SUPPORT) & (F.col("weight") <= 0))
-    return [r["token"] for r in found.orderBy(F.desc("c"), "token").limit(LEXICON).collect()]
+    return sorted(r["token"] for r in gathered(found.select("token"), LEXICON))
 
 
 class Matcher:
@@ -158,9 +169,10 @@ class Matcher:
     def __init__(self, lexicon: dict[str, float], exceptions: list[str]):
         self.automaton = ahocorasick.Automaton()
         for word, weight in lexicon.items():
-            self.automaton.add_word(word, (len(word), weight))
+            self.automaton.add_word(word, (len(word), float(weight)))
         for phrase in exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None))
+            second = phrase.index(" ") + 1
+            self.automaton.add_word(phrase, (len(phrase), second))
         if lexicon:
             self.automaton.make_automaton()
         self.empty = not lexicon
@@ -170,18 +182,16 @@ class Matcher:
         if self.empty or not text:
             return []
         words: dict[int, tuple[int, int, float]] = {}
-        shields = []
+        shielded: set[int] = set()
         for end, (size, weight) in self.automaton.iter(text):
             start = end - size + 1
             if start and text[start - 1] != " ":
                 continue
-            if weight is None:
-                shields.append((start, end + 1))
+            if isinstance(weight, int):  # a phrase: where its second word begins
+                shielded.update((start, start + weight))
             elif start not in words or words[start][2] < weight:
                 words[start] = (start, end + 1, weight)
-        if shields:
-            return [w for w in words.values() if not any(a <= w[0] < b for a, b in shields)]
-        return list(words.values())
+        return [match for start, match in words.items() if start not in shielded]
 
 
 def measure(matcher: Matcher, text: bytes | None) -> tuple[int, int, float]:
@@ -230,10 +240,10 @@ def measured(rows: DataFrame, lexicon: dict[str, float], exceptions: list[str],
 
     def run(batches):
         matcher = Matcher(*shared.value)
-        for batch in batches:
-            found = [measure(matcher, t) for t in batch.column("text").to_pylist()]
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            found = [measure(matcher, t) for t in part.column("text").to_pylist()]
             words, hits, weight = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(carry), pa.array(words, pa.int64()), pa.array(hits, pa.int64()),
+            yield pa.RecordBatch.from_arrays([part.column(carry), pa.array(words, pa.int64()), pa.array(hits, pa.int64()),
                                               pa.array(weight, pa.float64())], [carry, "words", "hits", "weight"])
 
     return rows.select(carry, "text").mapInArrow(run, f"{carry} {kind}, words long, hits long, weight double")
@@ -250,8 +260,9 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, carry: list[str], t
     beta = np.array([0.0, 0.0, 0.0, -50.0])
     if all(totals):
         share = min(1 << 30, int(1.2 * FIT_ROWS / sum(totals) * (1 << 30)) + 1)
-        sample = known.where(F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(1 << 30)) < share).limit(FIT_ROWS)
-        rows = measured(sample, lexicon, exceptions, "toxic", "boolean").toArrow()
+        sample = known.where(F.pmod("pick", F.lit(1 << 30)) < share).select(F.struct("pick", "toxic").alias("mark"), "text")
+        seen = measured(sample, lexicon, exceptions, "mark", "struct<pick:bigint,toxic:boolean>")
+        rows = seen.select("mark.*", "words", "hits", "weight").orderBy("pick", "toxic", "words", "hits", "weight").limit(FIT_ROWS).toArrow()
         columns = [rows.column(c).to_numpy().astype(float) for c in ("words", "hits", "weight", "toxic")]
         beta = fit_curve(signals(*columns[:3]), columns[3])
     rows = docs.select(packed(docs.select(*[f"`{c}`" for c in carry])).alias("doc"), text_bytes(text).alias("text"))
