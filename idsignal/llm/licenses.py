@@ -1,19 +1,26 @@
 """License scans with DataFrame functions only.
 
-1. Templates are bags of tokens `[a-z0-9]+` of lower-cased text. Weights are tf-idf; document
-   frequencies of the templates' tokens are counted over all files.
-2. Units are the lines of a file, and the whole text of a licence file (by its name). A unit whose
-   cosine to a template reaches `SIMILAR` has that licence; the best one is the file's own.
-   Tokens outside all templates weigh as tokens no file has.
-3. Filter, exact: a unit's cosine is at most the share of a template's norm that its tokens make up, so
-   only units whose tokens make up `SIMILAR` of some template are scored.
-4. A licence file declares its own licence for its directory. A file without one of its own takes
-   that of the nearest ancestor directory that declares one: directories, each once, are joined by
-   their path prefixes, and files by their directory.
-
+1. Templates are bags of tokens `[a-z0-9]+` of lower-cased text: short statements, the headers put
+   into source files, and whole licence texts. Weights are tf-idf; document frequencies of the
+   templates' tokens are counted over all files.
+2. A file is a list of sentences (cut at line breaks and after `. ; : ! ?`). Units are its blocks of 1 to
+   64 sentences (`BLOCKS`: size and step), so a statement inside a longer line, a header wrapped over
+   lines and a whole text each meet a block of about their size; and the whole of a licence file (by its
+   name). A unit whose cosine to a template reaches `SIMILAR` has that licence; the best one is the file's
+   own. Tokens outside all templates weigh as tokens no file has.
+3. Filter, exact: by Cauchy and Schwarz a unit's cosine is at most the share of a template's norm that
+   its tokens make up. So it needs one of the template's heaviest tokens, as many as leave the others
+   too little to reach `SIMILAR`. Files without such a token are passed over, and of the others only
+   blocks with one are scored.
+4. A licence file declares its own licence for its directory; that of the root is the empty name. A file
+   without one of its own takes that of the nearest ancestor directory that declares one: directories,
+   each once, are joined by their path prefixes, and files by their directory.
+
+Files are numbered when they are written, so equal paths, texts or hashes cannot be mixed up.
 Templates and their tokens are a bounded table (broadcast, at most `TEMPLATE_TOKENS` rows, checked).
-Defined cases: null text has no units; null path no directory, hence nothing to inherit; equal paths
-are separate files that may declare together (the best cosine wins, ties to the first name).
+Defined cases: null or empty text has no units; null path no directory, hence nothing to inherit; a path
+without `/` lies in the root; equal paths are separate files that may declare together (the best cosine
+wins, ties to the first name).
 """
 
 from __future__ import annotations
@@ -29,6 +36,10 @@ from idsignal.workspace import stage
 
 SIMILAR = 0.6
 TEMPLATE_TOKENS = 100_000
+SENTENCE_END = r"\n|(?<=[.;:!?])[ \t]+"
+#: Sentences of a block and of the way from one block to the next.
+BLOCKS = ((1, 1), (2, 1), (4, 1), (8, 2), (16, 4), (32, 8), (64, 16))
+NEAR = 64
 LICENCE_FILE = r"^(?i:licen[cs]e|copying|notice)([.-].*)?$"
 #: The statements looked for.
 TEMPLATES = {
@@ -42,18 +53,69 @@ TEMPLATES = {
 }
 
 
+#: Headers of source files and whole licence texts.
+TEXTS = [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ "
+                   "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You
+should have received a copy of the GNU General Public License along with this program. If not, see
+https://www.gnu.org/licenses/."""),
+    ("GPL-3.0", """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+]
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def template_tokens(templates: dict[str, str]) -> dict[str, Counter]:
-    bags = {name: Counter(re.findall("[a-z0-9]+", text.lower())) for name, text in templates.items()}
+def template_tokens(templates: list[tuple[str, str]]) -> dict[tuple[str, int], Counter]:
+    """(licence, number of the template) to its bag of tokens."""
+    bags = {(name, i): Counter(re.findall("[a-z0-9]+", text.lower())) for i, (name, text) in enumerate(templates)}
     if sum(map(len, bags.values())) > TEMPLATE_TOKENS:
         raise ValueError(f"templates hold more than {TEMPLATE_TOKENS} tokens")
-    return bags
+    return {key: bag for key, bag in bags.items() if bag}
 
 
-def weights(files: DataFrame, bags: dict[str, Counter]) -> tuple[dict[str, float], float]:
+def weights(files: DataFrame, bags: dict[tuple[str, int], Counter]) -> tuple[dict[str, float], float]:
     """idf of every template token over all files, and that of a token no file has."""
     vocabulary = sorted(set().union(*bags.values()))
     known = F.array(*[F.lit(t) for t in vocabulary])
@@ -63,44 +125,60 @@ def weights(files: DataFrame, bags: dict[str, Counter]) -> tuple[dict[str, float
     return {t: math.log((total + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(total + 1) + 1
 
 
-def share_of(shares: Column):
-    return lambda token: F.coalesce(F.try_element_at(shares, token), F.lit(0.0))
+def needed_tokens(bags: dict[tuple[str, int], Counter], idf: dict[str, float], similar: float = SIMILAR) -> set[str]:
+    """Tokens of which a unit must hold one to reach `similar`: of each template the heaviest, as many as
+    leave the others less than that share of its norm."""
+    needed: set[str] = set()
+    for bag in bags.values():
+        parts = sorted(((n * idf[t]) ** 2, t) for t, n in bag.items())
+        bar, rest = (similar - 1e-6) ** 2 * sum(part for part, _ in parts), 0.0
+        for part, token in parts:
+            rest += part
+            if rest >= bar:
+                needed.add(token)
+    return needed
+
 
+def holds(text: str, wanted: set[str]) -> Column:
+    return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*[F.lit(t) for t in sorted(wanted)]))
 
-def may_reach(found: Column, bags: dict[str, Counter], idf: dict[str, float], similar: float = SIMILAR) -> Column:
-    """Whether a unit that holds the template tokens `found` can reach `similar` to some template.
 
-    By Cauchy and Schwarz its cosine is at most the share of the template's norm that its tokens make up.
-    """
-    reached = F.lit(False)
-    for bag in bags.values():
-        whole = sum((n * idf[t]) ** 2 for t, n in bag.items())
-        shares = F.create_map(*[x for t, n in sorted(bag.items()) for x in (F.lit(t), F.lit((n * idf[t]) ** 2 / whole))])
-        held = F.aggregate(F.transform(found, share_of(shares)), F.lit(0.0), lambda total, x: total + x)
-        reached = reached | (held >= similar * similar * (1 - 1e-9))
-    return reached
+def blocks_with(at: str, size: int, step: int) -> Column:
+    """The blocks of `size` sentences, one every `step`, that hold sentence `at`."""
+    first = F.greatest(F.lit(0), F.ceil((F.col(at) - (size - 1)) / step))
+    return F.transform(F.sequence(first, F.floor(F.col(at) / step)), lambda n: F.struct(F.lit(size).alias("size"), n.alias("block")))
+
+
+def units(files: DataFrame, needed: set[str]) -> DataFrame:
+    """(number, size, block, line): the sentences of every block that holds a needed token, and of whole licence files."""
+    lines = files.select("number", F.posexplode(F.split("text", SENTENCE_END)).alias("at", "line")).withColumn("part", F.floor(F.col("at") / NEAR))
+    marked = lines.where(holds("line", needed))
+    blocks = F.explode(F.concat(*[blocks_with("at", size, step) for size, step in BLOCKS])).alias("b")
+    wanted = marked.select("number", blocks).select("number", "b.size", "b.block").distinct()
+    parts = marked.select("number", F.explode(F.array(*[F.col("part") + i for i in (-1, 0, 1)])).alias("part")).distinct()
+    near = lines.join(parts, ["number", "part"], "left_semi").select("number", "line", blocks).select("number", "b.size", "b.block", "line")
+    whole = files.where("is_licence").select("number", F.lit(0).alias("size"), F.lit(0).cast("long").alias("block"), F.col("text").alias("line"))
+    return near.join(wanted, ["number", "size", "block"], "left_semi").unionByName(whole)
 
 
-def own_licences(files: DataFrame, bags: dict[str, Counter], idf: dict[str, float], unseen: float) -> DataFrame:
-    """(number, licence, cosine) of the files that state a licence."""
+def own_licences(files: DataFrame, bags: dict[tuple[str, int], Counter], idf: dict[str, float], unseen: float) -> DataFrame:
+    """(number, licence, cosine) of the files that state a licence; only files with a needed token have text here."""
     spark = files.sparkSession
-    known = F.array(*[F.lit(t) for t in sorted(idf)])
-    lines = files.select("number", F.posexplode(F.split("text", "\n")).alias("unit", "line"))
-    whole = files.where("is_licence and text is not null").select("number", F.lit(-1).alias("unit"), F.col("text").alias("line"))
-    held = F.array_intersect(F.split(F.lower("line"), "[^a-z0-9]+"), known)
-    units = lines.unionAll(whole).withColumn("held", held).where(may_reach(F.col("held"), bags, idf))
-    bag = (units.select("number", "unit", F.explode(tokens(F.col("line"))).alias("token"))
-           .groupBy("number", "unit", "token").agg(F.count("*").alias("n")))
-    norms = {name: math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) for name, b in bags.items()}
-    idfs = spark.createDataFrame(sorted(idf.items()), "token string, idf double")
-    table = spark.createDataFrame([(t, name, n * idf[t] / norms[name]) for name, b in sorted(bags.items()) for t, n in sorted(b.items())],
-                                  "token string, licence string, share double")
-    weighed = bag.join(F.broadcast(idfs), "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
-    lengths = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    sums = weighed.groupBy("number", "unit").agg(lengths.alias("length"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("token", "w"))).alias("held"))
-    dots = (sums.select("number", "unit", "length", F.explode("held").alias("t")).select("number", "unit", "length", "t.token", "t.w")
-            .join(F.broadcast(table), "token").groupBy("number", "unit", "licence")
-            .agg((F.sum(F.col("w") * F.col("share")) / F.first("length")).alias("cosine")))
+    unit = ["number", "size", "block"]
+    bag = (units(files, needed_tokens(bags, idf)).select(*unit, F.explode(tokens(F.col("line"))).alias("token"))
+           .groupBy(*unit, "token").agg(F.count("*").alias("n")))
+    norms = {key: math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) for key, b in bags.items()}
+    shares: dict[str, list] = {t: [] for t in idf}
+    for (name, i), b in sorted(bags.items()):
+        for t, n in sorted(b.items()):
+            shares[t].append((name, i, n * idf[t] / norms[name, i]))
+    table = spark.createDataFrame([(t, idf[t], held) for t, held in sorted(shares.items())],
+                                  "token string, idf double, held array<struct<licence:string,template:int,share:double>>")
+    weighed = bag.join(F.broadcast(table), "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
+    found = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
+                                       F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("w", "held"))).alias("known"))
+    dots = (found.select(*unit, "length", F.explode("known").alias("k")).select(*unit, "length", "k.w", F.explode("k.held").alias("h"))
+            .groupBy(*unit, "h.licence", "h.template").agg((F.sum(F.col("w") * F.col("h.share")) / F.first("length")).alias("cosine")))
     reached = dots.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= SIMILAR)
     best = reached.groupBy("number").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("best"))
     return best.select("number", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"))
@@ -109,21 +187,24 @@ def own_licences(files: DataFrame, bags: dict[str, Counter], idf: dict[str, floa
 def scan(files: DataFrame, carry: list[str], path: str = "path", text: str = "text", templates: dict[str, str] | None = None,
          name: str = "licenses") -> DataFrame:
     """(doc, path, own, cosine, licence, declared_in) per file; `declared_in` is the directory inherited from."""
-    bags = template_tokens(TEMPLATES if templates is None else templates)
+    bags = template_tokens([*TEMPLATES.items(), *TEXTS] if templates is None else list(templates.items()))
     location = F.col(f"`{path}`").cast("string")
-    # equal path and text give equal results, so their hash may stand for the file
     listed = files.select(packed(files.select(*[f"`{c}`" for c in carry])).alias("doc"), location.alias("path"),
-                          F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(location, F.col(f"`{text}`")).alias("number"))
+                          F.col(f"`{text}`").cast("string").alias("text"))
     listed = listed.withColumn("is_licence", F.coalesce(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False)))
     idf, unseen = weights(listed, bags)
-    own = stage(own_licences(listed, bags, idf, unseen), f"{name}-own")
-    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", ""))
-    known = stage(listed.select("doc", "path", "number", "is_licence", folder.alias("folder")).join(own, "number", "left"), f"{name}-known")
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
+    # texts travel on only if they may state a licence; numbers hold as they are written
+    marked = stage(listed.select(F.monotonically_increasing_id().alias("number"), "doc", "path", "is_licence", folder.alias("folder"),
+                                 F.when(holds("text", needed_tokens(bags, idf)), F.col("text")).alias("text")), f"{name}-marked")
+    own = stage(own_licences(marked.where("text is not null"), bags, idf, unseen), f"{name}-own")
+    known = stage(marked.drop("text").join(own, "number", "left"), f"{name}-known")
     declared = (known.where("is_licence and licence is not null and folder is not null").groupBy("folder")
                 .agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("best"))
                 .select(F.col("folder").alias("above"), F.col("best.licence").alias("given")))
     parts = F.split("folder", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("above")))
+    above = F.transform(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(parts))),
+                        lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("above")))
     folders = stage(known.where("folder is not null and licence is null").select("folder").distinct(), f"{name}-folders")
     nearest = (folders.select("folder", F.explode(above).alias("a")).select("folder", "a.depth", "a.above").join(stage(declared, f"{name}-declared"), "above")
                .groupBy("folder").agg(F.max(F.struct("depth", "given", "above")).alias("near")))
