@@ -9,9 +9,9 @@
    name). A unit whose cosine to a template reaches `SIMILAR` has that licence; the best one is the file's
    own. Tokens outside all templates weigh as tokens no file has.
 3. Filter, exact: by Cauchy and Schwarz a unit's cosine is at most the share of a template's norm that
-   its tokens make up. So it needs one of the template's heaviest tokens, as many as leave the others
-   too little to reach `SIMILAR`. Files without such a token are passed over, and of the others only
-   blocks with one are scored.
+   its tokens make up. So it needs one of the template's heaviest tokens, without which the others are
+   too little to reach `SIMILAR`, and at least as many tokens as the heaviest ones need for it. Files
+   that hold too few are passed over, then chunks of sentences, then blocks; the rest is scored.
 4. A licence file declares its own licence for its directory; that of the root is the empty name. A file
    without one of its own takes that of the nearest ancestor directory that declares one: directories,
    each once, are joined by their path prefixes, and files by their directory.
@@ -26,8 +26,11 @@ wins, ties to the first name).
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,7 +42,8 @@ TEMPLATE_TOKENS = 100_000
 SENTENCE_END = r"\n|(?<=[.;:!?])[ \t]+"
 #: Sentences of a block and of the way from one block to the next.
 BLOCKS = ((1, 1), (2, 1), (4, 1), (8, 2), (16, 4), (32, 8), (64, 16))
-NEAR = 64
+#: Sentences of a chunk, a multiple of every step.
+CHUNK = 64
 LICENCE_FILE = r"^(?i:licen[cs]e|copying|notice)([.-].*)?$"
 #: The statements looked for.
 TEMPLATES = {
@@ -125,47 +129,48 @@ def weights(files: DataFrame, bags: dict[tuple[str, int], Counter]) -> tuple[dic
     return {t: math.log((total + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(total + 1) + 1
 
 
-def needed_tokens(bags: dict[tuple[str, int], Counter], idf: dict[str, float], similar: float = SIMILAR) -> set[str]:
-    """Tokens of which a unit must hold one to reach `similar`: of each template the heaviest, as many as
-    leave the others less than that share of its norm."""
-    needed: set[str] = set()
+def may_reach(text: Column, bags: dict[tuple[str, int], Counter], idf: dict[str, float], similar: float = SIMILAR) -> Column:
+    """Whether `text` holds tokens enough of some template: one of its heaviest, without which the others
+    stay below `similar`, and as many as its heaviest ones need to reach it."""
+    array = lambda found: F.array(*[F.lit(t) for t in sorted(found)])
+    tests = []
     for bag in bags.values():
         parts = sorted(((n * idf[t]) ** 2, t) for t, n in bag.items())
-        bar, rest = (similar - 1e-6) ** 2 * sum(part for part, _ in parts), 0.0
-        for part, token in parts:
-            rest += part
-            if rest >= bar:
-                needed.add(token)
-    return needed
+        bar = (similar - 1e-6) ** 2 * sum(part for part, _ in parts)
+        light = list(accumulate(part for part, _ in parts))
+        heavy = list(accumulate(part for part, _ in reversed(parts)))
+        tests.append(([t for (_, t), rest in zip(parts, light) if rest >= bar], list(bag), 1 + sum(held < bar for held in heavy)))
+    held = F.array_intersect(F.split(F.lower(text), "[^a-z0-9]+"), array(idf))
+    return F.exists(F.array(held), lambda h: reduce(operator.or_, [
+        F.arrays_overlap(h, array(needed)) & (F.size(F.array_intersect(h, array(whole))) >= count) for needed, whole, count in tests]))
 
 
-def holds(text: str, wanted: set[str]) -> Column:
-    return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*[F.lit(t) for t in sorted(wanted)]))
+def units(files: DataFrame, reach) -> DataFrame:
+    """(number, size, block, line): the blocks of sentences that may reach a template, and whole licence files.
 
+    A file's sentences are cut into chunks of `CHUNK`, each with as many of the next as its blocks reach into.
+    """
+    longest = max(size for size, _ in BLOCKS)
+    chunk = lambda lines: F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / CHUNK).cast("int")),
+                                      lambda n: F.struct(n.alias("part"), F.slice(lines, n * CHUNK + 1, CHUNK + longest - 1).alias("lines")))
+    chunks = (files.select("number", F.explode(F.flatten(F.transform(F.array(F.split("text", SENTENCE_END)), chunk))).alias("c"))
+              .select("number", "c.part", "c.lines").where(reach(F.array_join("lines", "\n"))))
 
-def blocks_with(at: str, size: int, step: int) -> Column:
-    """The blocks of `size` sentences, one every `step`, that hold sentence `at`."""
-    first = F.greatest(F.lit(0), F.ceil((F.col(at) - (size - 1)) / step))
-    return F.transform(F.sequence(first, F.floor(F.col(at) / step)), lambda n: F.struct(F.lit(size).alias("size"), n.alias("block")))
+    def blocks(size: int, step: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(CHUNK // step - 1)), lambda n: F.struct(
+            F.lit(size).alias("size"), (F.col("part") * (CHUNK // step) + n).alias("block"),
+            F.array_join(F.slice("lines", n * step + 1, size), "\n").alias("line")))
 
-
-def units(files: DataFrame, needed: set[str]) -> DataFrame:
-    """(number, size, block, line): the sentences of every block that holds a needed token, and of whole licence files."""
-    lines = files.select("number", F.posexplode(F.split("text", SENTENCE_END)).alias("at", "line")).withColumn("part", F.floor(F.col("at") / NEAR))
-    marked = lines.where(holds("line", needed))
-    blocks = F.explode(F.concat(*[blocks_with("at", size, step) for size, step in BLOCKS])).alias("b")
-    wanted = marked.select("number", blocks).select("number", "b.size", "b.block").distinct()
-    parts = marked.select("number", F.explode(F.array(*[F.col("part") + i for i in (-1, 0, 1)])).alias("part")).distinct()
-    near = lines.join(parts, ["number", "part"], "left_semi").select("number", "line", blocks).select("number", "b.size", "b.block", "line")
-    whole = files.where("is_licence").select("number", F.lit(0).alias("size"), F.lit(0).cast("long").alias("block"), F.col("text").alias("line"))
-    return near.join(wanted, ["number", "size", "block"], "left_semi").unionByName(whole)
+    made = chunks.select("number", F.explode(F.concat(*[blocks(*b) for b in BLOCKS])).alias("b")).select("number", "b.*").where(reach(F.col("line")))
+    whole = files.where("is_licence").select("number", F.lit(0).alias("size"), F.lit(0).alias("block"), F.col("text").alias("line"))
+    return made.unionByName(whole)
 
 
 def own_licences(files: DataFrame, bags: dict[tuple[str, int], Counter], idf: dict[str, float], unseen: float) -> DataFrame:
-    """(number, licence, cosine) of the files that state a licence; only files with a needed token have text here."""
+    """(number, licence, cosine) of the files that state a licence; only files that may reach a template have text here."""
     spark = files.sparkSession
     unit = ["number", "size", "block"]
-    bag = (units(files, needed_tokens(bags, idf)).select(*unit, F.explode(tokens(F.col("line"))).alias("token"))
+    bag = (units(files, lambda text: may_reach(text, bags, idf)).select(*unit, F.explode(tokens(F.col("line"))).alias("token"))
            .groupBy(*unit, "token").agg(F.count("*").alias("n")))
     norms = {key: math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) for key, b in bags.items()}
     shares: dict[str, list] = {t: [] for t in idf}
@@ -196,7 +201,7 @@ def scan(files: DataFrame, carry: list[str], path: str = "path", text: str = "te
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     # texts travel on only if they may state a licence; numbers hold as they are written
     marked = stage(listed.select(F.monotonically_increasing_id().alias("number"), "doc", "path", "is_licence", folder.alias("folder"),
-                                 F.when(holds("text", needed_tokens(bags, idf)), F.col("text")).alias("text")), f"{name}-marked")
+                                 F.when(may_reach(F.col("text"), bags, idf), F.col("text")).alias("text")), f"{name}-marked")
     own = stage(own_licences(marked.where("text is not null"), bags, idf, unseen), f"{name}-own")
     known = stage(marked.drop("text").join(own, "number", "left"), f"{name}-known")
     declared = (known.where("is_licence and licence is not null and folder is not null").groupBy("folder")
