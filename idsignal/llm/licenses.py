@@ -6,8 +6,8 @@
 2. A file is a list of sentences (cut at line breaks and after `. ; : ! ?`). Units are its blocks of 1 to
    64 sentences (`BLOCKS`: size and step), so a statement inside a longer line, a header wrapped over
    lines and a whole text each meet a block of about their size; and the whole of a licence file (by its
-   name). A unit whose cosine to a template reaches `SIMILAR` has that licence; the best one is the file's
-   own. Tokens outside all templates weigh as tokens no file has.
+   name). A unit whose cosine to a template of at least a quarter of its words (`TIMES`) reaches `SIMILAR` has
+   that licence; the best one is the file's own. Tokens outside all templates weigh as tokens no file has.
 3. Filter, exact: by Cauchy and Schwarz a unit's cosine is at most the share of a template's norm that
    its tokens make up. So it needs one of the template's heaviest tokens, without which the others are
    too little to reach `SIMILAR`, and at least as many tokens as the heaviest ones need for it. Files
@@ -39,6 +39,8 @@ from idsignal.workspace import stage
 
 SIMILAR = 0.6
 TEMPLATE_TOKENS = 100_000
+#: A unit of more than so many times the words of a template is not held against it.
+TIMES = 4
 SENTENCE_END = r"\n|(?<=[.;:!?])[ \t]+"
 #: Sentences of a block and of the way from one block to the next.
 BLOCKS = ((1, 1), (2, 1), (4, 1), (8, 2), (16, 4), (32, 8), (64, 16))
@@ -129,9 +131,9 @@ def weights(files: DataFrame, bags: dict[tuple[str, int], Counter]) -> tuple[dic
     return {t: math.log((total + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(total + 1) + 1
 
 
-def may_reach(text: Column, bags: dict[tuple[str, int], Counter], idf: dict[str, float], similar: float = SIMILAR) -> Column:
+def may_reach(text: Column, bags: dict[tuple[str, int], Counter], idf: dict[str, float], unit: bool = False, similar: float = SIMILAR) -> Column:
     """Whether `text` holds tokens enough of some template: one of its heaviest, without which the others
-    stay below `similar`, and as many as its heaviest ones need to reach it."""
+    stay below `similar`, and as many as its heaviest ones need to reach it; a `unit` has no more than `TIMES` its words."""
     array = lambda found: F.array(*[F.lit(t) for t in sorted(found)])
     tests = []
     for bag in bags.values():
@@ -139,10 +141,12 @@ def may_reach(text: Column, bags: dict[tuple[str, int], Counter], idf: dict[str,
         bar = (similar - 1e-6) ** 2 * sum(part for part, _ in parts)
         light = list(accumulate(part for part, _ in parts))
         heavy = list(accumulate(part for part, _ in reversed(parts)))
-        tests.append(([t for (_, t), rest in zip(parts, light) if rest >= bar], list(bag), 1 + sum(held < bar for held in heavy)))
-    held = F.array_intersect(F.split(F.lower(text), "[^a-z0-9]+"), array(idf))
+        tests.append(([t for (_, t), rest in zip(parts, light) if rest >= bar], list(bag), 1 + sum(held < bar for held in heavy), sum(bag.values())))
+    words = F.split(F.lower(text), "[^a-z0-9]+")
+    held = F.struct(F.array_intersect(words, array(idf)).alias("known"), F.size(words).alias("n"))
     return F.exists(F.array(held), lambda h: reduce(operator.or_, [
-        F.arrays_overlap(h, array(needed)) & (F.size(F.array_intersect(h, array(whole))) >= count) for needed, whole, count in tests]))
+        ((h["n"] <= TIMES * total + 2) if unit else F.lit(True)) & F.arrays_overlap(h["known"], array(needed))
+        & (F.size(F.array_intersect(h["known"], array(whole))) >= count) for needed, whole, count, total in tests]))
 
 
 def units(files: DataFrame, reach) -> DataFrame:
@@ -161,7 +165,7 @@ def units(files: DataFrame, reach) -> DataFrame:
             F.lit(size).alias("size"), (F.col("part") * (CHUNK // step) + n).alias("block"),
             F.array_join(F.slice("lines", n * step + 1, size), "\n").alias("line")))
 
-    made = chunks.select("number", F.explode(F.concat(*[blocks(*b) for b in BLOCKS])).alias("b")).select("number", "b.*").where(reach(F.col("line")))
+    made = chunks.select("number", F.explode(F.concat(*[blocks(*b) for b in BLOCKS])).alias("b")).select("number", "b.*").where(reach(F.col("line"), True))
     whole = files.where("is_licence").select("number", F.lit(0).alias("size"), F.lit(0).alias("block"), F.col("text").alias("line"))
     return made.unionByName(whole)
 
@@ -170,20 +174,20 @@ def own_licences(files: DataFrame, bags: dict[tuple[str, int], Counter], idf: di
     """(number, licence, cosine) of the files that state a licence; only files that may reach a template have text here."""
     spark = files.sparkSession
     unit = ["number", "size", "block"]
-    bag = (units(files, lambda text: may_reach(text, bags, idf)).select(*unit, F.explode(tokens(F.col("line"))).alias("token"))
+    bag = (units(files, lambda text, unit=False: may_reach(text, bags, idf, unit)).select(*unit, F.explode(tokens(F.col("line"))).alias("token"))
            .groupBy(*unit, "token").agg(F.count("*").alias("n")))
     norms = {key: math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) for key, b in bags.items()}
     shares: dict[str, list] = {t: [] for t in idf}
     for (name, i), b in sorted(bags.items()):
         for t, n in sorted(b.items()):
-            shares[t].append((name, i, n * idf[t] / norms[name, i]))
+            shares[t].append((name, i, n * idf[t] / norms[name, i], TIMES * sum(b.values())))
     table = spark.createDataFrame([(t, idf[t], held) for t, held in sorted(shares.items())],
-                                  "token string, idf double, held array<struct<licence:string,template:int,share:double>>")
+                                  "token string, idf double, held array<struct<licence:string,template:int,share:double,longest:int>>")
     weighed = bag.join(F.broadcast(table), "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
-    found = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
+    found = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.sum("n").alias("words"),
                                        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("w", "held"))).alias("known"))
-    dots = (found.select(*unit, "length", F.explode("known").alias("k")).select(*unit, "length", "k.w", F.explode("k.held").alias("h"))
-            .groupBy(*unit, "h.licence", "h.template").agg((F.sum(F.col("w") * F.col("h.share")) / F.first("length")).alias("cosine")))
+    dots = (found.select(*unit, "length", "words", F.explode("known").alias("k")).select(*unit, "length", "words", "k.w", F.explode("k.held").alias("h"))
+            .where(F.col("words") <= F.col("h.longest")).groupBy(*unit, "h.licence", "h.template").agg((F.sum(F.col("w") * F.col("h.share")) / F.first("length")).alias("cosine")))
     reached = dots.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= SIMILAR)
     best = reached.groupBy("number").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("best"))
     return best.select("number", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"))
