@@ -8,13 +8,17 @@
   orders count in how many different contexts a run occurs (Kneser-Ney), which follows from the
   distinct longer runs.
 * Model: per order one array of hashes of runs, sorted, over all languages, with a row of
-  probabilities per language. Each language keeps its most frequent runs, at most `MAX_GRAMS`
-  per order; what is left out backs off exactly as unseen runs do.
+  probabilities per language. Every run counted is in it. It grows with the corpus, so it is cut by a
+  hash of the two characters before the last one, which a run, its context and their shorter forms
+  share: a piece answers for its runs alone, holds about `CELLS` keys times languages besides the runs
+  of one and two characters, and is broadcast by itself. Texts pass through one piece after the
+  other and carry their sums along; with one piece they are read once.
 * A text's cross-entropy under each language is the mean over its characters of -log2 p, whatever
   its length; the lowest wins.
-* Calibration, on all learning rows of fold `CALIBRATION` (not used for counts): the lead of the best
-  language over the second becomes a score by the share of right predictions at such a lead;
-  `rejected` marks texts whose cross-entropy lies above that of all but `REJECT` of the right ones.
+* Calibration: a first model of the learning rows outside the calibration part scores that part; the
+  lead of the best language over the second becomes a score by the share of right predictions at
+  such a lead; `rejected` marks texts whose cross-entropy lies above that of all but `REJECT` of the
+  right ones. The model that scores the table then learns from both parts.
 
 Defined cases: null text or text without letters: language `und`, score 0, not rejected. Null
 languages are not learned from. Repeated rows count as often as they occur. With one language it is
@@ -23,6 +27,7 @@ always chosen; with none every row is `und` with score 0.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +39,7 @@ from idsignal.workspace import stage
 
 ORDER = 4
 DISCOUNT = 0.75
-MAX_GRAMS = 1 << 18
+CELLS = 1 << 22
 CALIBRATION = 1
 REJECT = 0.001
 BINS = 200
@@ -155,20 +160,17 @@ def with_context(counts: DataFrame, order: int) -> DataFrame:
     context = F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long")
     keyed = counts.withColumn("context", context)
     sums = keyed.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    return frequent(keyed.join(sums, ["lang", "context"])).select("lang", "gram", "n", "total", "kinds")
+    return keyed.join(sums, ["lang", "context"]).select("lang", "gram", "n", "total", "kinds")
 
 
-def frequent(counts: DataFrame, limit: int = MAX_GRAMS) -> DataFrame:
-    """The rows of each language in its highest classes of n (eight per doubling) that hold at most `limit` rows."""
-    classed = counts.withColumn("class", F.floor(F.log2("n") * 8).cast("int"))
-    held: dict[str, int] = {}
-    least: dict[str, int] = {}
-    for r in classed.groupBy("lang", "class").count().orderBy("lang", F.desc("class")).collect():
-        held[r["lang"]] = held.get(r["lang"], 0) + r["count"]
-        if held[r["lang"]] <= limit:
-            least[r["lang"]] = r["class"]
-    kept = counts.sparkSession.createDataFrame(list(least.items()), "lang string, least int")
-    return classed.join(kept, "lang").where(F.col("class") >= F.col("least"))
+def piece_of(grams, pieces: int):
+    """The piece of the model that holds runs (numpy or a column of longs), by the two characters before the last."""
+    if isinstance(grams, Column):
+        last, earlier = (F.shiftrightunsigned(grams, bits).bitwiseAND(F.lit(HIGH)) for bits in (16, 32))
+    else:
+        last, earlier = ((grams >> np.uint64(bits)) & np.uint64(HIGH) for bits in (16, 32))
+        last, earlier = last.astype(np.int64), earlier.astype(np.int64)
+    return (earlier * 31 + last) * 40503 % 65537 % pieces
 
 
 class Model:
@@ -227,9 +229,12 @@ class Model:
         inverse = np.uint64(pow(int(HASH), -1, 1 << 64))
         self.bits = -np.log2(self.probability(keys * inverse, self.order)) if len(keys) else np.zeros((0, len(self.langs)))
 
-    def entropies(self, texts: list[bytes | None]) -> np.ndarray:
-        """Bits per character of each text (row) in each language; nan without letters."""
+    def bits_of(self, texts: list[bytes | None], which: int = 0, pieces: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text (row) in each language and its number of characters, as far as this piece holds their runs."""
         runs, owner = grams(*padded(*folded(texts), self.order), self.order)
+        if pieces > 1:
+            mine = piece_of(runs, pieces) == which
+            runs, owner = runs[mine], owner[mine]
         sums, counts = np.zeros((len(texts), len(self.langs))), np.bincount(owner, minlength=len(texts))
         keys, place = np.unique(runs, return_inverse=True)
         row = self._find(self.hashes[self.order], keys * HASH)
@@ -239,47 +244,74 @@ class Model:
         bits[~known] = -np.log2(self.probability(keys[~known], self.order))
         for j in range(len(self.langs)):
             sums[:, j] = np.bincount(owner, bits[place, j], len(texts))
-        return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], np.nan)
+        return sums, counts
 
 
-def train(rows: DataFrame, name: str = "language", order: int = ORDER) -> Model | None:
-    """A model of the languages of `rows` (lang, text as bytes); None if there are none."""
-    tables, langs = {}, set()
-    counts = stage(count_grams(rows, order), f"{name}-grams")
+@dataclass(frozen=True)
+class Trained:
+    """The written tables of a model, one per order, and how many pieces they make."""
+
+    langs: list[str]
+    tables: dict[int, DataFrame]
+    order: int
+    pieces: int
+
+    def piece(self, which: int) -> Model:
+        tables = {}
+        for n, table in self.tables.items():
+            part = (table.where(piece_of(F.col("gram"), self.pieces) == which) if n > 2 and self.pieces > 1 else table).toArrow()
+            tables[n] = {c: part.column(c).to_numpy() if c != "lang" else part.column(c).to_pylist() for c in part.column_names}
+        return Model(self.langs, tables, self.order)
+
+
+def train(counts: DataFrame, name: str = "language", order: int = ORDER, cells: int | None = None) -> Trained | None:
+    """A model from the counts of runs per language (`count_grams`); None if there are none."""
+    tables = {}
     for n in range(order, 0, -1):
-        part = with_context(counts, n).toArrow()
-        tables[n] = {c: part.column(c).to_numpy() if c != "lang" else part.column(c).to_pylist() for c in part.column_names}
-        langs.update(tables[n]["lang"])
+        tables[n] = stage(with_context(counts, n), f"{name}-order")
         if n > 1:
             counts = stage(shorter(counts, n), f"{name}-grams")
-    return Model(sorted(langs), tables, order) if langs else None
+    langs = sorted(r["lang"] for r in tables[1].select("lang").distinct().collect())
+    held = sum(tables[n].count() for n in range(3, order + 1)) * len(langs)
+    return Trained(langs, tables, order, min(-(-held // (cells or CELLS)) or 1, 65537)) if langs else None
 
 
-def score(docs: DataFrame, model: Model | None, carry: Column, text: str = "text") -> DataFrame:
-    """(doc, lang, entropy, lead) per row; lang is null without letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(carry.alias("doc"), text_bytes(text).alias("text"))
+def add_bits(rows: DataFrame, trained: Trained, which: int) -> DataFrame:
+    """(doc, text, bits, n) with the bits and characters added that one piece of the model answers for; the last drops texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(trained.piece(which))
+    pieces, width, last = trained.pieces, len(trained.langs), which == trained.pieces - 1
+    names = [c for c in rows.columns if c != "text" or not last]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if shared.value is None:
-            none = pa.nulls(batch.num_rows, pa.float64())
-            return pa.RecordBatch.from_arrays([batch.column("doc"), pa.nulls(batch.num_rows, pa.string()), none, none],
-                                              ["doc", "lang", "entropy", "lead"])
-        found = shared.value.entropies(batch.column("text").to_pylist())
-        lost = np.isnan(found).any(1)
-        ranked = np.sort(found, 1)
-        best = np.where(lost, 0, np.nan_to_num(found, nan=np.inf).argmin(1))
-        lead = ranked[:, 1] - ranked[:, 0] if found.shape[1] > 1 else np.full(len(found), 8.0)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc"), pa.array([shared.value.langs[b] for b in best], pa.string(), mask=lost),
-             pa.array(ranked[:, 0], mask=lost), pa.array(lead, mask=lost)], ["doc", "lang", "entropy", "lead"])
-
-    return map_batches(rows, work, f"doc {rows.schema['doc'].dataType.simpleString()}, lang string, entropy double, lead double")
-
-
-def calibrate(scored: DataFrame, truth: Column, use: Column) -> tuple[np.ndarray, float]:
-    """(score per bin of the lead, highest entropy not rejected), from all rows that `use` names."""
-    rows = scored.where(use & F.col("lang").isNotNull() & truth.isNotNull())
+        bits, n = shared.value.bits_of(batch.column("text").to_pylist(), which, pieces)
+        bits += batch.column("bits").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        sums = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, width, dtype=np.int32), pa.array(bits.ravel()))
+        made = {"doc": batch.column("doc"), "text": batch.column("text"), "bits": sums,
+                "n": pa.array(n + batch.column("n").to_numpy(zero_copy_only=False))}
+        return pa.RecordBatch.from_arrays([made[c] for c in names], names)
+
+    return map_batches(rows, work, rows.select(*names).schema)
+
+
+def score(docs: DataFrame, trained: Trained | None, carry: Column, text: str = "text", name: str = "language") -> DataFrame:
+    """(doc, lang, entropy, lead) per row; lang is null without letters."""
+    rows = docs.select(carry.alias("doc"), text_bytes(text).alias("text"))
+    if trained is None:
+        return rows.select("doc", *[F.lit(None).cast(kind).alias(c) for c, kind in (("lang", "string"), ("entropy", "double"), ("lead", "double"))])
+    rows = rows.withColumns({"bits": F.array_repeat(F.lit(0.0), len(trained.langs)), "n": F.lit(0).cast("long")})
+    for which in range(trained.pieces):
+        rows = add_bits(rows if which == 0 else stage(rows, f"{name}-bits"), trained, which)
+    each = F.when(F.col("n") > 0, F.transform("bits", lambda b: b / F.col("n")))
+    ranked = F.sort_array("each")
+    best = F.element_at(F.array(*[F.lit(x) for x in trained.langs]), F.array_position("each", F.array_min("each")).cast("int"))
+    lang = F.when(F.col("n") > 0, best)  # element_at of a null place counts as never null
+    lead = ranked[1] - ranked[0] if len(trained.langs) > 1 else F.when(F.col("n") > 0, 8.0)
+    return rows.select("doc", "n", each.alias("each")).select("doc", lang.alias("lang"), F.array_min("each").alias("entropy"), lead.alias("lead"))
+
+
+def calibrate(scored: DataFrame, truth: Column) -> tuple[np.ndarray, float]:
+    """(score per bin of the lead, highest entropy not rejected), from all rows that have a language."""
+    rows = scored.where(F.col("lang").isNotNull() & truth.isNotNull())
     lead_bin = F.least(F.floor(F.col("lead") * BINS / 4).cast("int"), F.lit(BINS - 1))
     entropy_bin = F.least(F.floor(F.col("entropy") * 100).cast("int"), F.lit(3999))
     table = rows.groupBy(lead_bin.alias("lead"), (F.col("lang") == truth).alias("right")).count().collect()
@@ -307,14 +339,17 @@ def calibrate(scored: DataFrame, truth: Column, use: Column) -> tuple[np.ndarray
 
 def identify(docs: DataFrame, learn: Column, calibration: Column, carry: list[str], text: str = "text", lang: str = "lang",
              name: str = "language") -> DataFrame:
-    """(doc, lang, score, entropy, rejected) per row: learned from rows that `learn` names, calibrated on `calibration`'s."""
-    labelled = F.col(f"`{lang}`").isNotNull()
-    rows = docs.where(learn & ~calibration & labelled).select(F.col(f"`{lang}`").cast("string").alias("lang"), text_bytes(text).alias("text"))
-    model = train(rows, name)
-    held = F.struct(packed(docs.select(*[f"`{c}`" for c in carry])).alias("row"), F.col(f"`{lang}`").cast("string").alias("truth"),
-                    F.coalesce(calibration & learn, F.lit(False)).alias("use"))
-    scored = stage(score(docs, model, held, text), f"{name}-scored")
-    shares, limit = calibrate(scored, F.col("doc.truth"), F.col("doc.use"))
+    """(doc, lang, score, entropy, rejected) per row: learned from all rows that `learn` names, the score calibrated on `calibration`'s."""
+    held = F.coalesce(calibration, F.lit(False))
+    known = docs.where(learn & F.col(f"`{lang}`").isNotNull())
+    truth = F.col(f"`{lang}`").cast("string")
+    labelled = truth.alias("lang"), text_bytes(text).alias("text")
+    first = stage(count_grams(known.where(~held).select(*labelled)), f"{name}-grams")
+    rest = stage(count_grams(known.where(held).select(*labelled)), f"{name}-grams")
+    tried = score(known.where(held), train(first, name), F.struct(truth.alias("truth")), text, name)
+    shares, limit = calibrate(stage(tried, f"{name}-calibration"), F.col("doc.truth"))
+    both = stage(first.unionByName(rest).groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"{name}-grams")
+    scored = score(docs, train(both, name), F.struct(packed(docs.select(*[f"`{c}`" for c in carry])).alias("row")), text, name)
     place = F.least(F.floor(F.col("lead") * BINS / 4).cast("int"), F.lit(BINS - 1))
     sure = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), place + 1)
     return scored.select(F.col("doc.row").alias("doc"), F.coalesce("lang", F.lit("und")).alias("lang"),

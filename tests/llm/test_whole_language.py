@@ -1,5 +1,7 @@
 """Texts too short for a full run of characters."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,3 +23,68 @@ def test_one_letter_texts_have_a_language(found):
 
 def test_only_letterless_texts_have_none(found):
     assert {(found[i].lang, found[i].score) for i in (15, 16, 17)} == {("und", 0.0)}
+
+
+TEXTS = [("en", "a bee and a cow and a dog"), ("en", "A hen, and a fox."), ("de", "der hund und die katze"), ("de", "ein huhn und ein fuchs")]
+
+
+def plain_bits(text, lang):
+    """Interpolated Kneser-Ney from its definition: dictionaries of strings, no hashes, no arrays."""
+    def runs(t, n=4):
+        folded = " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split())
+        full = f"\x01\x01 {folded} "
+        return [full[i:i + n] for i in range(len(full) - n + 1)]
+
+    def levels(of):
+        counts = {4: {}}
+        for t in of:
+            for r in runs(t):
+                counts[4][r] = counts[4].get(r, 0) + 1
+        for n in (3, 2, 1):
+            counts[n] = {}
+            for r in counts[n + 1]:
+                counts[n][r[1:]] = counts[n].get(r[1:], 0) + 1
+        return counts
+
+    alphabet = {r for name in ("en", "de") for r in levels([t for x, t in TEXTS if x == name])[1]}
+    counts = levels([t for x, t in TEXTS if x == lang])
+
+    def p(run):
+        if not run:
+            return 1 / (len(alphabet) + 1)
+        same = [c for r, c in counts[len(run)].items() if r[:-1] == run[:-1]]
+        if not same:
+            return p(run[1:])
+        direct = max(counts[len(run)].get(run, 0) - language.DISCOUNT, 0) / sum(same)
+        return direct + language.DISCOUNT * len(same) / sum(same) * p(run[1:])
+
+    scored = runs(text)
+    return sum(-math.log2(p(r)) for r in scored) / len(scored)
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 40])
+def test_entropies_equal_plain_kneser_ney(spark, monkeypatch, cells):
+    monkeypatch.setattr(language, "CELLS", cells)
+    asked = ["the cat and the dog", "und der hund", "A.", "zzz 123 qqq", "ein bee", TEXTS[0][1]]
+    rows = [(i, x, t, True) for i, (x, t) in enumerate(TEXTS)] + [(10 + i, None, t, False) for i, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, learn boolean")
+    got = language.identify(docs, F.col("learn"), F.lit(False), ["doc_id"]).select("doc.doc_id", "lang", "entropy").collect()
+    for r in got:
+        want = {x: plain_bits(next(t for i, _, t, _ in rows if i == r.doc_id), x) for x in ("en", "de")}
+        assert r.entropy == pytest.approx(min(want.values()), abs=1e-9) and want[r.lang] == min(want.values())
+
+
+def test_pieces_hold_every_run_once(spark):
+    rows = spark.createDataFrame([(x, t.encode()) for x, t in TEXTS], "lang string, text binary")
+    trained = language.train(language.count_grams(rows), cells=40)
+    pieces = [trained.piece(i) for i in range(trained.pieces)]
+    held = [set(p.hashes[4].tolist()) for p in pieces]
+    assert trained.pieces > 3 and sum(map(len, held)) == len(set().union(*held)) == trained.tables[4].select("gram").distinct().count()
+
+
+def test_a_language_of_the_calibration_part_alone_is_learned(spark):
+    rows = [(i, x, t, i % 2 == 0) for i, (x, t) in enumerate(TEXTS)]
+    rows += [(10 + i, "fr", "le chien et la vache sont dans le jardin", True) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, held boolean")
+    got = language.identify(docs, F.lit(True), F.col("held"), ["doc_id"]).where("doc.doc_id >= 10").collect()
+    assert {r.lang for r in got} == {"fr"}
