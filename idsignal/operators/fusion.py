@@ -1,4 +1,7 @@
-"""Score fusion: a random forest over the four scaled scores of an alert."""
+"""Score fusion: a random forest over the four scaled scores of an alert.
+
+The forest of `forest.py` (`grow_forest`, `forest_scores`) repeats in SQL; Spark ML's (`train`, `final_scores`) does not.
+"""
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from idsignal.functions.numeric import number_or_zero, round_half_even
 from idsignal.functions.scores import fusion_bucket, priority_code
+from idsignal.operators import forest
 from idsignal.operators.metrics import classification_report
 from idsignal.operators.scaling import range_table, scale_columns
 from idsignal.workspace import load_or_write
@@ -92,6 +96,33 @@ def final_scores(featured: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
+def in_test_part(row_id: str) -> Column:
+    """Whether `grow_forest` leaves a row out."""
+    return forest.draw(row_id, SEED, F.lit("test")) < 1 / TEST_PARTS
+
+
+def grow_forest(path: str, featured: DataFrame, row_id: str, limit: int = TRAIN_ROWS, **settings) -> DataFrame:
+    """The node table saved at `path`, else grown on about `limit` rows of the training part at most and saved."""
+    part = featured.where(~in_test_part(row_id))
+    total = part.agg(F.count(F.lit(1))).scalar()
+    chosen = part.where(forest.draw(row_id, SEED, F.lit("fit")) * total < limit)
+    return forest.load_or_grow(path, chosen, row_id, SCALED, "label", **settings)
+
+
+def forest_scores(featured: DataFrame, nodes: DataFrame, row_id: str, trees: int = forest.TREES, depth: int = forest.DEPTH) -> DataFrame:
+    """Add final_score (100 x largest class share), final_priority, predicted and p_high."""
+    scored = forest.class_shares(featured, nodes, row_id, SCALED, trees, depth)
+    best, whole = F.array_max("shares"), float(trees * forest.SHARE_UNITS)
+    return (
+        scored
+        .withColumn("final_score", round_half_even(best.cast("double") * F.lit(100.0) / F.lit(whole), 2))
+        .withColumn("final_priority", fusion_bucket(F.col("final_score") / F.lit(100.0)))
+        .withColumn("p_high", (F.get("shares", F.lit(2)) + F.get("shares", F.lit(3))).cast("double") / F.lit(whole))
+        .withColumn("predicted", (F.array_position("shares", best) - 1).cast("int"))
+        .drop("shares")
+    )
+
+
 def held_out_report(featured: DataFrame, model: PipelineModel, row_id: str) -> DataFrame:
     """Precision, recall and F1 of the model on the part it was not fitted on."""
     tested = final_scores(featured.where(is_held_out(row_id)), model)

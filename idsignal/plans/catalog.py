@@ -12,9 +12,9 @@ from idsignal.functions.ip import extract_ip, repair_ip
 from idsignal.functions.numeric import round_half_up
 from idsignal.functions.risk import with_risk
 from idsignal.functions.times import iso_text
-from idsignal.operators import anomaly, enrich, events, fusion, metrics, reports, scaling, warehouse
+from idsignal.operators import anomaly, enrich, events, forest, fusion, metrics, reports, scaling, warehouse
 from idsignal.operators.lookup import lookup
-from idsignal.plans import analysis, fixtures as fx
+from idsignal.plans import analysis, fixtures as fx, fusion_sql
 from idsignal.sources import files, lines, payloads, sinks
 from idsignal.streaming import alerts as streams, cards
 from idsignal.workspace import fresh_path, shared_dir, stage, together
@@ -959,8 +959,38 @@ def fusion_bucket(spark, sf):
     return flat_logs(spark, sf).select("id", scores.fusion_bucket(F.col("alert_score")).alias("final_priority"))
 
 
-@query("fusion_final")
+FOREST = fx.oracle(flat=fx.ENRICHED_FLAT, filled=f"""
+select id, {LABEL} as label, coalesce(alert_score, 0.0) as alert_score, cast(coalesce(ti_score, 0) as double) as ti_score,
+ coalesce(ip_score, 0.0) as ip_score, cast(cast(result_flag as int) as double) as result_flag from flat""", scaled=f"select id, label, {SCALED} from filled",
+    named="select id, label, " + ", ".join(f"{name} as f{i}" for i, name in enumerate(fusion.SCALED)) + " from scaled"
+) + "," + fusion_sql.grown_sql("named", forest.TREES, forest.DEPTH) + f""",
+final as (
+  select f.id, event_ts as "timestamp", user_name as "user", src_ip, a.label, a.predicted::int as predicted,
+    {sql_even(f"(greatest(s0, s1, s2, s3)::double * 100.0::double / {forest.TREES * forest.SHARE_UNITS}.0::double)", 2)} as final_score,
+    (s2 + s3)::double / {forest.TREES * forest.SHARE_UNITS}.0::double as p_high
+  from alerts a join flat f on f.id = a.id),
+final_alerts as (select *, {BUCKET.replace("alert_score", "final_score / 100.0::double")} as final_priority from final)
+"""
+
+
+def forest_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Final alerts of the forest that SQL can grow again; grown once per application and table set, then loaded."""
+    featured = stage(fusion.fusion_features(flat_logs(spark, sf)).select(
+        "id", F.col("event_ts").alias("timestamp"), "user", "src_ip", *fusion.SCALED, "label"), "fusion_features")
+    where = f"{shared_dir(spark)}/idsignal/{spark.sparkContext.applicationId}/forest-{zlib.crc32(sf.encode())}"
+    return fusion.forest_scores(featured, fusion.grow_forest(where, featured, "id"), "id")
+
+
+@query("fusion_final", FOREST + """
+select id, "timestamp", "user", src_ip, label, predicted, final_score, final_priority, p_high from final_alerts""")
 def fusion_final(spark, sf):
+    return forest_alerts(spark, sf).select(
+        "id", "timestamp", "user", "src_ip", "label", "predicted", "final_score", "final_priority", "p_high")
+
+
+@query("fusion_ml_final")
+def fusion_ml_final(spark, sf):
+    """Final alerts of Spark ML's forest."""
     featured = stage(fusion.fusion_features(flat_logs(spark, sf)).select(
         "id", F.col("event_ts").alias("timestamp"), "user", "src_ip", *fusion.SCALED, "label"), "fusion_features")
     model = fusion.train(featured, "id")
@@ -1009,12 +1039,19 @@ def fusion_held_out(spark, sf):
     return fused(spark, sf)[1]
 
 
-@query("fusion_preview", fx.oracle(**FLAT) + f"""
-select event_ts as "timestamp", user_name as "user", src_ip, {BUCKET} as final_priority from flat order by id limit 10""")
+@query("fusion_preview", FOREST + """
+select "timestamp", "user", src_ip, final_priority from final_alerts order by id limit 10""")
 def fusion_preview(spark, sf):
-    """The short list, all four columns; priorities by bucket of the rule score, which SQL can follow."""
-    alerts = flat_logs(spark, sf).withColumn("timestamp", F.col("event_ts"))
-    return fusion.preview(alerts.withColumn("final_priority", scores.fusion_bucket(F.col("alert_score"))), "id")
+    """The short list, all four columns, of the forest's alerts."""
+    return fusion.preview(forest_alerts(spark, sf), "id")
+
+
+@query("fusion_priorities", FOREST + """
+select final_priority, predicted, count(*) as alerts, count(*) filter (label = predicted) as hits from final_alerts group by 1, 2""")
+def fusion_priorities(spark, sf):
+    """How many alerts of each predicted class come out at each priority."""
+    return forest_alerts(spark, sf).groupBy("final_priority", "predicted").agg(
+        F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("label") == F.col("predicted")).alias("hits"))
 
 
 @query("fusion_model_preview")

@@ -40,7 +40,7 @@ def test_entry_gives_the_hundred_riskiest(spark):
 
 
 def test_only_models_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"fusion_final", "fusion_held_out", "fusion_model_preview"}
+    assert set(QUERIES) - set(ORACLES) == {"fusion_ml_final", "fusion_held_out", "fusion_model_preview"}
     assert set(ORACLES) <= set(QUERIES)
 
 
