@@ -28,6 +28,7 @@ BINS = 32
 TREES = 100
 DEPTH = 10
 TRIED = 2  # inputs tried at a node
+FIT_PARTS = 16  # tasks that draw weights, one per row and tree
 SEED = 42
 CLASSES = 4
 LEAST_GAIN = 1e-6
@@ -59,12 +60,14 @@ def squares(counts: list[Column]) -> Column:
 
 def bootstrap_cells(rows: DataFrame, row_id: str, inputs: list[str], label: str, trees: int, seed: int) -> DataFrame:
     """(tree, cell, n0..): how often each class occurs in each cell, by the rows' weights in the tree."""
-    drawn = draw(seed, row_id, "tree")
-    weight = sum([(drawn >= edge).cast("long") for edge in POISSON[1:]], (drawn >= POISSON[0]).cast("long"))
+    # an array of one, so that the draw is made once and not per edge
+    weight = F.transform(F.array(draw(seed, row_id, "tree")), lambda drawn: sum(
+        [(drawn >= edge).cast("long") for edge in POISSON[1:]], (drawn >= POISSON[0]).cast("long")))
     weighed = (
         rows.where(F.col(row_id).isNotNull() & F.col(label).isNotNull())
         .select(row_id, binned(inputs).alias("cell"), F.col(label).cast("int").alias("label"))
-        .withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("weight", weight).where("weight > 0")
+        .repartition(FIT_PARTS, row_id)
+        .withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("weight", F.explode(weight)).where("weight > 0")
     )
     return weighed.groupBy("tree", "cell").agg(
         *[F.sum(F.when(F.col("label") == c, F.col("weight")).otherwise(0)).alias(n) for c, n in enumerate(COUNTS)])
@@ -83,9 +86,9 @@ def walk(placed: DataFrame, splits: DataFrame) -> DataFrame:
 def best_splits(placed: DataFrame, width: int, tried: int, seed: int) -> DataFrame:
     """(tree, node, input, bin): the best split of each node that gains by one."""
     order = F.array_sort(F.array(*[F.struct(draw(seed, "tree", "node", i).alias("at"), F.lit(i).alias("input")) for i in range(width)]))
+    asked = placed.select("tree", "node").distinct().withColumn("input", F.explode(F.slice(order, 1, tried)["input"]))
     histogram = (
-        placed.groupBy("tree", "node", "cell").agg(*[F.sum(n).alias(n) for n in COUNTS])
-        .withColumn("input", F.explode(F.slice(order, 1, tried)["input"])).withColumn("bin", F.get("cell", F.col("input")))
+        placed.join(F.broadcast(asked), ["tree", "node"]).withColumn("bin", F.get("cell", F.col("input")))
         .groupBy("tree", "node", "input", "bin").agg(*[F.sum(n).alias(n) for n in COUNTS])
     )
     whole = Window.partitionBy("tree", "node", "input")
@@ -104,13 +107,13 @@ def best_splits(placed: DataFrame, width: int, tried: int, seed: int) -> DataFra
 
 def grow(rows: DataFrame, row_id: str, inputs: list[str], label: str, trees: int = TREES, depth: int = DEPTH,
          tried: int = TRIED, seed: int = SEED, name: str = "forest") -> DataFrame:
-    """The node table of a forest fitted on all `rows`; leaves have no input (runs a job per level)."""
+    """The node table of a forest fitted on all `rows`; leaves have no input (runs two jobs per level)."""
     cells = stage(bootstrap_cells(rows, row_id, inputs, label, trees, seed), f"{name}-cells")
     placed, levels = cells.withColumn("node", F.lit(1)), []
-    for _ in range(depth):
+    for level in range(depth):
         # nodes that did not split a level ago find no split now either: same cells, same draws
-        levels.append(stage(best_splits(placed.where(F.col("node") >= 1 << len(levels)), len(inputs), tried, seed), f"{name}-splits"))
-        placed = walk(placed, levels[-1])
+        levels.append(stage(best_splits(placed.where(F.col("node") >= 1 << level), len(inputs), tried, seed), f"{name}-splits"))
+        placed = stage(walk(placed, levels[-1]), f"{name}-placed")
     splits = reduce(DataFrame.unionByName, levels)
     leaves = placed.groupBy("tree", "node").agg(*[F.sum(n).alias(n) for n in COUNTS])
     return leaves.select(
