@@ -11,13 +11,14 @@
 3. Filter, exact: by Cauchy and Schwarz a unit's cosine is at most the share of a template's norm that
    its tokens make up. So it needs one of the template's heaviest tokens, without which the others are
    too little to reach `SIMILAR`, and at least as many tokens as the heaviest ones need for it. Files
-   that hold too few are passed over, then chunks of sentences, then blocks; the rest is scored.
+   that hold too few are passed over, then chunks of sentences, then blocks; the rest is scored inside
+   its row (`likest`), so only a file's licence is shuffled, never its tokens.
 4. A licence file declares its own licence for its directory; that of the root is the empty name. A file
    without one of its own takes that of the nearest ancestor directory that declares one: directories,
    each once, are joined by their path prefixes, and files by their directory.
 
 Files are numbered when they are written, so equal paths, texts or hashes cannot be mixed up.
-Templates and their tokens are a bounded table (broadcast, at most `TEMPLATE_TOKENS` rows, checked).
+Templates and their tokens are bounded values of the plan (at most `TEMPLATE_TOKENS` tokens, checked).
 Defined cases: null or empty text has no units; null path no directory, hence nothing to inherit; a path
 without `/` lies in the root; equal paths are separate files that may declare together (the best cosine
 wins, ties to the first name).
@@ -170,26 +171,61 @@ def units(files: DataFrame, reach) -> DataFrame:
     return made.unionByName(whole)
 
 
+def let(value: Column, body) -> Column:
+    """`body` of `value`, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def likest(line: Column, bags: dict[tuple[str, int], Counter], idf: dict[str, float], unseen: float, similar: float = SIMILAR) -> Column:
+    """(minus, licence) of the template nearest to a unit, null if none reaches `similar`; counted inside the row.
+
+    By Cauchy and Schwarz a cosine is at most the share of the unit's norm that template tokens make up, and
+    n tokens add n squared weights to it at least; a unit with too many others is passed over before it is scored.
+    """
+    norms = {key: math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) for key, b in bags.items()}
+    array = lambda found: F.array(*[F.lit(x) for x in found])
+    templates = F.array(*[F.struct(
+        F.lit(key[0]).alias("licence"), F.lit(TIMES * sum(b.values())).alias("longest"),
+        F.map_from_arrays(array(sorted(b)), array(n * idf[t] / norms[key] for t, n in sorted(b.items()))).alias("shares")) for key, b in sorted(bags.items())])
+    vocabulary = array(sorted(idf))
+    idfs = F.map_from_arrays(vocabulary, array(idf[t] for t in sorted(idf)))
+    bar = (similar - 1e-6) ** 2
+
+    def squares(words: Column) -> Column:
+        """Sum of the squared counts of all tokens, counted up along the sorted ones."""
+        start = F.struct(F.lit("").alias("token"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"))
+        same = lambda held, w: F.when(held["token"] == w, held["n"]).otherwise(0)
+        return F.aggregate(F.sort_array(words), start, lambda held, w: F.struct(
+            w.alias("token"), (same(held, w) + 1).alias("n"), (held["sum"] + 2 * same(held, w) + 1).alias("sum")))["sum"]
+
+    def total(known: Column, part, zero: Column) -> Column:
+        return F.aggregate(known, zero, lambda held, k: held + part(k))
+
+    def best(words: Column, known: Column, norm: Column) -> Column:
+        rest = squares(words) - total(known, lambda k: k["n"] * k["n"], F.lit(0).cast("long"))
+        cosine = lambda h, length: F.round(total(known, lambda k: k["w"] * F.coalesce(F.try_element_at(h["shares"], k["token"]), F.lit(0.0)), F.lit(0.0)) / length, 6)
+        return let(F.sqrt(norm + rest * F.lit(unseen ** 2)), lambda length: F.array_min(F.filter(
+            F.transform(F.filter(templates, lambda h: F.size(words) <= h["longest"]), lambda h: F.struct((-cosine(h, length)).alias("minus"), h["licence"].alias("licence"))),
+            lambda found: found["minus"] <= -similar)))
+
+    def judged(words: Column, known: Column) -> Column:
+        sums = F.struct(total(known, lambda k: k["w"] * k["w"], F.lit(0.0)).alias("norm"),
+                        (F.size(words) - total(known, lambda k: k["n"], F.lit(0).cast("long"))).alias("others"))
+        return let(sums, lambda held: F.when((held["norm"] > 0) & (held["norm"] >= bar * (held["norm"] + held["others"] * F.lit(unseen ** 2))),
+                                             best(words, known, held["norm"])))
+
+    def weighed(words: Column, t: Column) -> Column:
+        n = F.size(words) - F.size(F.array_remove(words, t))
+        return F.struct(t.alias("token"), n.cast("long").alias("n"), (n * F.try_element_at(idfs, t)).alias("w"))
+
+    return let(tokens(line), lambda words: let(F.transform(F.array_intersect(words, vocabulary), lambda t: weighed(words, t)), lambda known: judged(words, known)))
+
+
 def own_licences(files: DataFrame, bags: dict[tuple[str, int], Counter], idf: dict[str, float], unseen: float) -> DataFrame:
     """(number, licence, cosine) of the files that state a licence; only files that may reach a template have text here."""
-    spark = files.sparkSession
-    unit = ["number", "size", "block"]
-    bag = (units(files, lambda text, unit=False: may_reach(text, bags, idf, unit)).select(*unit, F.explode(tokens(F.col("line"))).alias("token"))
-           .groupBy(*unit, "token").agg(F.count("*").alias("n")))
-    norms = {key: math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) for key, b in bags.items()}
-    shares: dict[str, list] = {t: [] for t in idf}
-    for (name, i), b in sorted(bags.items()):
-        for t, n in sorted(b.items()):
-            shares[t].append((name, i, n * idf[t] / norms[name, i], TIMES * sum(b.values())))
-    table = spark.createDataFrame([(t, idf[t], held) for t, held in sorted(shares.items())],
-                                  "token string, idf double, held array<struct<licence:string,template:int,share:double,longest:int>>")
-    weighed = bag.join(F.broadcast(table), "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
-    found = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.sum("n").alias("words"),
-                                       F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("w", "held"))).alias("known"))
-    dots = (found.select(*unit, "length", "words", F.explode("known").alias("k")).select(*unit, "length", "words", "k.w", F.explode("k.held").alias("h"))
-            .where(F.col("words") <= F.col("h.longest")).groupBy(*unit, "h.licence", "h.template").agg((F.sum(F.col("w") * F.col("h.share")) / F.first("length")).alias("cosine")))
-    reached = dots.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= SIMILAR)
-    best = reached.groupBy("number").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("best"))
+    made = units(files, lambda text, unit=False: may_reach(text, bags, idf, unit))
+    reached = made.select("number", likest(F.col("line"), bags, idf, unseen).alias("found")).where("found is not null")
+    best = reached.groupBy("number").agg(F.min("found").alias("best"))
     return best.select("number", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"))
 
 

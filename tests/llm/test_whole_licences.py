@@ -81,3 +81,14 @@ def test_cosines_by_brute_force(spark, seed):
         want[(path, best[1], -best[0]) if -best[0] >= licenses.SIMILAR else (path, None, None)] += 1
     got = Counter((r.path, r.own, r.cosine) for r in scanned(spark, files))
     assert (got - want, want - got) == (Counter(), Counter()) and len({k[1] for k in want}) > 2
+
+
+def test_units_are_scored_inside_their_row(spark):
+    bags = licenses.template_tokens([*licenses.TEMPLATES.items()])
+    idf = {t: 2.0 for bag in bags.values() for t in bag}
+    files = spark.createDataFrame([(1, f"a\nb\n{EMBEDDED}\n" * 3, False), (2, MIT, True)], "number long, text string, is_licence boolean")
+    found = licenses.own_licences(files, bags, idf, 3.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(dealt) == 1 and "hashpartitioning(number" in dealt[0] and "token" not in dealt[0]
+    assert {r.number: r.licence for r in found.collect()}[1] == "Apache-2.0"
