@@ -4,12 +4,15 @@
 * Generators with high recall propose overlapping candidates: other separators, missing `+`,
   bracketed `at` and `dot`, parts of longer digit runs (`candidates`).
 * Boosted trees score each candidate by its format and context, whether it is a base span or not.
-  There are no labels of personal data, so they are fitted on a bounded labelled set (`examples`):
-  at most `SEEDS` base spans a kind, chosen by hash, and `MADE` made-up values a kind are written
-  in the base and the wider forms, in their own context, as positives; version, id and hash numbers and
-  numbers of wrong check digit are put in the same contexts as negatives.
+  There are no labels of personal data, so they are fitted on values of known kind: every different base
+  span of the table, a made-up value in the context of each, and `MADE` made-up ones a kind without such
+  a context. They are written in the base and the wider forms as positives; version, id and hash numbers
+  and numbers of wrong check digit are put in the same contexts as negatives (`known`).
+* All of them count. Those of a kind weigh at most as much as `SEEDS` base spans and `MADE` / 2
+  made-up values, so that frequent kinds do not drown rare ones; cuts, trees and thresholds are exact sums over
+  the whole table, by Spark.
 * Thresholds: per kind, the lowest score above which at least `PRECISION` of the candidates of the
-  held-out part of that set (every fifth value) are positives. Candidates above it that touch no
+  held-out values (every fifth) are positives, by weight. Candidates above it that touch no
   base span and no better candidate are added.
 
 Positions are code points, end exclusive. Defined cases: null text has no spans and stays null when
@@ -26,12 +29,14 @@ from bisect import bisect_left, insort
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from idsignal.llm import boosting
 from idsignal.llm.common import map_batches, packed, text_bytes
 from idsignal.workspace import stage
 
 KINDS = ["email", "ip", "card", "phone"]
+#: What the base spans of a kind weigh at most, all together.
 SEEDS = 400
 MADE = 400
 CONTEXT = 24
@@ -222,12 +227,11 @@ def collect_candidates(docs: DataFrame, carry: list[str], text: str = "text") ->
     return map_batches(rows, work, schema)
 
 
-def seeds(found: DataFrame, limit: int = SEEDS) -> list[tuple[int, bytes, bytes, bytes]]:
-    """(kind, before, value, after) of at most `limit` different base spans a kind, chosen by hash."""
+def seeds(found: DataFrame) -> DataFrame:
+    """(kind, before, value, after, pick, other) of every different base span: a hash of it, and the kind to make up in its context."""
     rows = found.select(F.explode("seeds").alias("s")).select("s.*").distinct()
-    rows = rows.withColumn("pick", F.xxhash64(F.lit(5), "kind", "before", "value", "after"))
-    kinds = [rows.where(F.col("kind") == kind).orderBy("pick").limit(limit) for kind in range(len(KINDS))]
-    return [(r["kind"], bytes(r["before"]), bytes(r["value"]), bytes(r["after"])) for part in kinds for r in part.collect()]
+    pick = F.xxhash64(F.lit(5), "kind", "before", "value", "after")
+    return rows.withColumn("pick", pick).withColumn("other", F.pmod(F.xxhash64(F.lit(7), "pick"), F.lit(len(KINDS))).cast("int"))
 
 
 def _number(rng: np.random.Generator, size: int) -> bytes:
@@ -303,43 +307,143 @@ def other_number(rng: np.random.Generator, kind: int, value: bytes) -> tuple[byt
                  b"0x" + area + middle + mark + last, b"%s %s %s %s" % (_number(rng, 4), _number(rng, 5), middle, last)][rng.integers(5)]
 
 
-def examples(found: list[tuple[int, bytes, bytes, bytes]], made: int = MADE, seed: int = 3) -> list[tuple[int, bool, bool, list[float]]]:
-    """(kind, held out, label, features) of candidates of known label; every fifth value is held out.
+CUES = [[b"", b"", b"mail ", b"write to ", b"contact: "], [b"", b"", b"host ", b"ip ", b"from "], [b"", b"", b"card ", b"visa: "],
+        [b"", b"", b"call ", b"tel. ", b"phone: "]]
+
+
+def known(rng: np.random.Generator, kind: int, before: bytes, value: bytes, after: bytes) -> list[tuple[bool, list[float]]]:
+    """(label, features) of the candidates of a kind in texts written around a value.
 
     Candidates inside a number that is no personal data are negatives, as are those that hold less or
     more than a value that is; those of other kinds inside a value are left out.
     """
+    out = []
+    cue = CUES[kind][rng.integers(len(CUES[kind]))]
+    lead = before if before[-1:].isspace() or not before else before + b" "
+    tail = after if not after or after[:1] in b" \n,;!?)" else b" " + after
+    word, other = other_number(rng, kind, value)
+    written = [(True, lead + cue, wider_form(rng, kind, value)), (True, before, value), (False, lead + word, other)]
+    for sound, head, middle in written:
+        text = head + middle + tail
+        start, end = len(head), len(head) + len(middle)
+        for a, k, b in candidates(text, zones(text)):
+            if k == kind and a < end and start < b:
+                out.append((sound and (a, b) == (start, end), features(text, a, k, b)))
+    return out
+
+
+def examples(found: list[tuple[int, bytes, bytes, bytes]], made: int = MADE, seed: int = 3) -> list[tuple[int, bool, bool, list[float]]]:
+    """(kind, held out, label, features) from given and made-up values; every fifth value is held out."""
     rng = np.random.default_rng(seed)
     around = [(b"", b"")] + [(b, a) for _, b, _, a in found]
-    cues = [[b"", b"", b"mail ", b"write to ", b"contact: "], [b"", b"", b"host ", b"ip ", b"from "], [b"", b"", b"card ", b"visa: "],
-            [b"", b"", b"call ", b"tel. ", b"phone: "]]
     values = list(found)
     for kind in range(len(KINDS)):
         for i in range(made):
             before, after = around[rng.integers(len(around))] if i % 2 else (b"see the ", b" or so, and then")
             values.append((kind, before, made_value(rng, kind), after))
-    out = []
-    for number, (kind, before, value, after) in enumerate(values):
-        cue = cues[kind][rng.integers(len(cues[kind]))]
-        lead = before if before[-1:].isspace() or not before else before + b" "
-        tail = after if not after or after[:1] in b" \n,;!?)" else b" " + after
-        word, other = other_number(rng, kind, value)
-        written = [(True, lead + cue, wider_form(rng, kind, value)), (True, before, value), (False, lead + word, other)]
-        for sound, head, middle in written:
-            text = head + middle + tail
-            start, end = len(head), len(head) + len(middle)
-            for a, k, b in candidates(text, zones(text)):
-                if k == kind and a < end and start < b:
-                    out.append((kind, number % 5 == 0, sound and (a, b) == (start, end), features(text, a, k, b)))
-    return out
+    return [(value[0], number % 5 == 0, *row) for number, value in enumerate(values) for row in known(rng, *value)]
+
+
+EXAMPLE = "kind int, part int, held boolean, label boolean, features array<float>"
+#: Parts of the labelled set: base spans, made-up values in their contexts, the other made-up values.
+SPANS, IN_CONTEXT, MADE_UP = range(3)
+
+
+def _example_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.float32())]
+    columns = zip(*rows) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "part", "held", "label", "features"])
+
+
+def all_examples(values: DataFrame) -> DataFrame:
+    """Candidates of known label from every row of `seeds`, and the made-up ones."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                out = []
+                for r in batch.slice(start, 1000).to_pylist():
+                    rng = np.random.default_rng(r["pick"] & (1 << 64) - 1)
+                    written = [(SPANS, r["kind"], r["value"]), (IN_CONTEXT, r["other"], made_value(rng, r["other"]))]
+                    out += [(kind, part, r["pick"] % 5 == 0, label, [float(x) for x in row]) for part, kind, value in written
+                            for label, row in known(rng, kind, r["before"], value, r["after"])]
+                yield _example_batch(out)
+
+    made = _example_batch([(k, MADE_UP, held, label, [float(x) for x in row]) for k, held, label, row in examples([])])
+    return values.mapInArrow(run, EXAMPLE).unionByName(values.sparkSession.createDataFrame(pa.Table.from_batches([made])).to(StructType.fromDDL(EXAMPLE)))
+
+
+def example_weights(values: DataFrame) -> Column:
+    """What an example weighs, in `boosting.UNIT`, by its part and kind."""
+    counts = values.groupBy("kind", "other").count().collect()
+    weight = F.lit(boosting.UNIT)
+    for part, most, column in ((SPANS, SEEDS, "kind"), (IN_CONTEXT, MADE // 2, "other")):
+        for kind in range(len(KINDS)):
+            n = sum(r["count"] for r in counts if r[column] == kind)
+            if n > most:
+                weight = F.when((F.col("part") == part) & (F.col("kind") == kind), F.lit(max(1, boosting.UNIT * most // n))).otherwise(weight)
+    return weight.cast("long")
+
+
+def cut_points(rows: DataFrame, width: int) -> list[np.ndarray]:
+    """Up to 32 exact quantiles of every feature of (features, weight), over all rows."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                table = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                weight = batch.column("weight").to_numpy(zero_copy_only=False)
+                for f in range(width):
+                    met, place = np.unique(table[:, f], return_inverse=True)
+                    sums = np.zeros(len(met), np.int64)
+                    np.add.at(sums, place, weight)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), f), pa.int32()), pa.array(met.astype(float)), pa.array(sums)], ["feature", "value", "weight"])
+
+    counts = rows.select("features", "weight").mapInArrow(run, "feature int, value double, weight long").groupBy("feature", "value").agg(F.sum("weight").alias("weight"))
+    found = counts.groupBy("feature").agg(F.percentile("value", [float(q) for q in np.linspace(0, 1, 33)[:-1]], F.col("weight")).alias("cuts")).collect()
+    cuts = {r["feature"]: np.unique(r["cuts"]) for r in found}
+    return [cuts.get(f, np.zeros(0)) for f in range(width)]
+
+
+def in_bins(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """(kind, held, label, bins, weight, n): equal examples are one row."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                table = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cuts))
+                place = np.stack([np.searchsorted(edges, table[:, f]) for f, edges in enumerate(cuts)], 1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("kind", "held", "label", "weight")], pa.array([r.tobytes() for r in place], pa.binary())],
+                                                 ["kind", "held", "label", "weight", "bins"])
+
+    return (rows.mapInArrow(run, "kind int, held boolean, label boolean, weight long, bins binary")
+            .groupBy("kind", "held", "label", "bins").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
+
 
+def fit_model(found: DataFrame, name: str = "pii") -> tuple[dict, list[float]]:
+    """Boosted trees and thresholds from all values of known kind."""
+    values = stage(seeds(found), f"{name}-seeds")
+    rows = stage(all_examples(values).withColumn("weight", example_weights(values)), f"{name}-examples")
+    width = len(features(b"", 0, 0, 0))
+    cuts = cut_points(rows.where("not held"), width)
+    binned = stage(in_bins(rows, cuts), f"{name}-binned")
+    model, on_bins = boosting.grow(binned.where("not held"), cuts)
+    return model, thresholds(held_scores(binned.where("held"), on_bins, width))
 
-def fit_model(found: DataFrame) -> tuple[dict, list[float]]:
-    """Boosted trees and thresholds from the labelled set."""
-    rows = examples(seeds(found))
-    learn, held = [r for r in rows if not r[1]], [r for r in rows if r[1]]
-    model = boosting.fit(np.array([r[3] for r in learn], float), np.array([r[2] for r in learn], float))
-    return model, thresholds(held, predicted(model, np.array([r[3] for r in held], float)))
+
+def held_scores(binned: DataFrame, on_bins: dict, width: int) -> np.ndarray:
+    """Weights of the rows by kind, label and score in `BINS`."""
+
+    def run(batches):
+        for batch in batches:
+            place = (predicted(on_bins, boosting.unpacked(batch.column("bins"), width)) * BINS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("kind", "label", "weight")], pa.array(place)], ["kind", "label", "weight", "place"])
+
+    counts = binned.select("kind", "label", "weight", "bins").mapInArrow(run, "kind int, label boolean, weight long, place long")
+    table = np.zeros((len(KINDS), 2, BINS + 1), np.int64)
+    for kind, label, place, weight in counts.groupBy("kind", "label", "place").agg(F.sum("weight")).collect():
+        table[kind, int(label), place] = weight
+    return table
 
 
 def score_candidates(found: DataFrame, model: dict) -> DataFrame:
@@ -364,14 +468,10 @@ def predicted(model: dict, rows: np.ndarray) -> np.ndarray:
     return boosting.predict(model, rows) if len(rows) else np.zeros(0)
 
 
-def thresholds(held: list[tuple], scores: np.ndarray, precision: float = PRECISION) -> list[float]:
+def thresholds(tables: np.ndarray, precision: float = PRECISION) -> list[float]:
     """Per kind: the lowest score with the wanted share of positives at or above it, at least 0.5."""
     limits = []
-    for kind in range(len(KINDS)):
-        table = np.zeros((2, BINS + 1))
-        for r, score in zip(held, scores):
-            if r[0] == kind:
-                table[int(r[2]), int(score * BINS)] += 1
+    for table in tables:
         above = table[:, ::-1].cumsum(1)[:, ::-1]
         right = np.flatnonzero((above[1] > 0) & (above[1] >= precision * above.sum(0)))
         limits.append(max(0.5, right[0] / BINS) if len(right) else 2.0)
@@ -381,7 +481,7 @@ def thresholds(held: list[tuple], scores: np.ndarray, precision: float = PRECISI
 def fitted(docs: DataFrame, carry: list[str], text: str = "text", name: str = "pii") -> tuple[DataFrame, dict, list[float]]:
     """Scored candidates of every row, the model, the thresholds."""
     found = stage(collect_candidates(docs, carry, text), f"{name}-candidates")
-    model, limits = fit_model(found)
+    model, limits = fit_model(found, name)
     return score_candidates(found.drop("seeds"), model), model, limits
 
 

@@ -1,8 +1,9 @@
 """Personal data outside the base patterns."""
 
+import numpy as np
 import pytest
 
-from idsignal.llm import pii
+from idsignal.llm import boosting, pii
 
 WIDER = {
     1: "please call (555) 010-9999 today", 2: "ring 555.010.9999 or so", 3: "write to name [at] host [dot] com please",
@@ -39,3 +40,25 @@ def test_held_out_values_and_no_seeds():
     rows = pii.examples([])
     assert {r[0] for r in rows if r[1] and r[2]} == {r[0] for r in rows if r[1] and not r[2]} == {0, 1, 2, 3}
     assert len(rows) < 20_000
+
+
+def test_every_base_span_counts(spark):
+    n = 3 * pii.SEEDS
+    docs = spark.createDataFrame([(i, f"write to u{i}@host{i % 7}.com, or not") for i in range(n)] * 2, "doc_id long, text string")
+    values = pii.seeds(pii.collect_candidates(docs, ["doc_id"]))
+    assert values.count() == n
+    rows = pii.all_examples(values).withColumn("weight", pii.example_weights(values)).where("part = 0 and label")
+    weights = [r.weight for r in rows.where(rows.features[16] == 1).select("weight").collect()]
+    assert len(weights) >= n and set(weights) == {boosting.UNIT * pii.SEEDS // n}
+
+
+def test_trees_of_a_table_are_those_of_its_rows(spark):
+    dice = np.random.default_rng(1)
+    table = dice.integers(0, [2, 9, 30], (600, 3))
+    labels = (table[:, 1] + table[:, 2] // 3 + dice.integers(0, 6, 600) > 10)
+    plain = boosting.fit(table.astype(float), labels.astype(float), trees=4)
+    cuts = [np.unique(np.quantile(table[:, f], np.linspace(0, 1, 33)[:-1])) for f in range(3)]
+    bins = np.stack([np.searchsorted(c, table[:, f]) for f, c in enumerate(cuts)], 1).astype(np.uint8)
+    rows = [(r.tobytes(), bool(y), boosting.UNIT, 1) for r, y in zip(bins, labels)]
+    model, _ = boosting.grow(spark.createDataFrame(rows, "bins binary, label boolean, weight long, n long").repartition(5), cuts, trees=4)
+    assert np.allclose(boosting.predict(model, table), boosting.predict(plain, table), atol=1e-6)
