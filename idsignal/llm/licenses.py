@@ -150,7 +150,36 @@ def may_reach(text: Column, bags: dict[tuple[str, int], Counter], idf: dict[str,
         & (F.size(F.array_intersect(h["known"], array(whole))) >= count) for needed, whole, count, total in tests]))
 
 
-def units(files: DataFrame, reach) -> DataFrame:
+def let(value: Column, body) -> Column:
+    """`body` of `value`, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def marks(lines: Column, idf: dict[str, float]) -> Column:
+    """(norm, others) of every sentence: the norm of its template tokens, and how many others it has."""
+    vocabulary = F.array(*[F.lit(t) for t in sorted(idf)])
+    idfs = F.map_from_arrays(vocabulary, F.array(*[F.lit(idf[t]) for t in sorted(idf)]))
+
+    def mark(words: Column) -> Column:
+        n = lambda t: F.size(words) - F.size(F.array_remove(words, t))
+        start = F.struct(F.lit(0.0).alias("norm"), F.lit(0).alias("held"))
+        added = lambda held, t: F.struct((held["norm"] + F.pow(n(t) * F.try_element_at(idfs, t), F.lit(2.0))).alias("norm"), (held["held"] + n(t)).alias("held"))
+        return F.aggregate(F.array_intersect(words, vocabulary), start, added,
+                           lambda held: F.struct(F.sqrt(held["norm"]).alias("norm"), (F.size(words) - held["held"]).alias("others")))
+
+    return F.transform(lines, lambda line: let(tokens(line), mark))
+
+
+def may_be_near(block: Column, unseen: float, similar: float = SIMILAR) -> Column:
+    """Whether the sentences with these `marks` may make up a unit that passes the bound of `likest`: the
+    norm of its template tokens is at most the sum of theirs."""
+    bar = (similar - 1e-6) ** 2
+    start = F.struct(F.lit(0.0).alias("norm"), F.lit(0).alias("others"))
+    return F.aggregate(block, start, lambda held, m: F.struct((held["norm"] + m["norm"]).alias("norm"), (held["others"] + m["others"]).alias("others")),
+                       lambda held: (held["norm"] > 0) & (held["norm"] * held["norm"] * (1 - bar) >= held["others"] * F.lit(bar * unseen ** 2)))
+
+
+def units(files: DataFrame, reach, idf: dict[str, float], unseen: float) -> DataFrame:
     """(number, size, block, line): the blocks of sentences that may reach a template, and whole licence files.
 
     A file's sentences are cut into chunks of `CHUNK`, each with as many of the next as its blocks reach into.
@@ -161,21 +190,17 @@ def units(files: DataFrame, reach) -> DataFrame:
     chunks = (files.select("number", F.explode(F.flatten(F.transform(F.array(F.split("text", SENTENCE_END)), chunk))).alias("c"))
               .select("number", "c.part", "c.lines").where(reach(F.array_join("lines", "\n"))))
 
-    def blocks(size: int, step: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(CHUNK // step - 1)), lambda n: F.struct(
+    def blocks(size: int, step: int, marked: Column) -> Column:
+        near = F.filter(F.sequence(F.lit(0), F.lit(CHUNK // step - 1)), lambda n: may_be_near(F.slice(marked, n * step + 1, size), unseen))
+        return F.transform(near, lambda n: F.struct(
             F.lit(size).alias("size"), (F.col("part") * (CHUNK // step) + n).alias("block"),
             F.array_join(F.slice("lines", n * step + 1, size), "\n").alias("line")))
 
-    made = chunks.select("number", F.explode(F.concat(*[blocks(*b) for b in BLOCKS])).alias("b")).select("number", "b.*").where(reach(F.col("line"), True))
+    made = chunks.select("number", F.explode(let(marks(F.col("lines"), idf), lambda marked: F.concat(*[blocks(*b, marked) for b in BLOCKS]))).alias("b")).select("number", "b.*").where(reach(F.col("line"), True))
     whole = files.where("is_licence").select("number", F.lit(0).alias("size"), F.lit(0).alias("block"), F.col("text").alias("line"))
     return made.unionByName(whole)
 
 
-def let(value: Column, body) -> Column:
-    """`body` of `value`, which is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def likest(line: Column, bags: dict[tuple[str, int], Counter], idf: dict[str, float], unseen: float, similar: float = SIMILAR) -> Column:
     """(minus, licence) of the template nearest to a unit, null if none reaches `similar`; counted inside the row.
 
@@ -223,7 +248,7 @@ def likest(line: Column, bags: dict[tuple[str, int], Counter], idf: dict[str, fl
 
 def own_licences(files: DataFrame, bags: dict[tuple[str, int], Counter], idf: dict[str, float], unseen: float) -> DataFrame:
     """(number, licence, cosine) of the files that state a licence; only files that may reach a template have text here."""
-    made = units(files, lambda text, unit=False: may_reach(text, bags, idf, unit))
+    made = units(files, lambda text, unit=False: may_reach(text, bags, idf, unit), idf, unseen)
     reached = made.select("number", likest(F.col("line"), bags, idf, unseen).alias("found")).where("found is not null")
     best = reached.groupBy("number").agg(F.min("found").alias("best"))
     return best.select("number", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("cosine"))

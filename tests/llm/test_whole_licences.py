@@ -92,3 +92,12 @@ def test_units_are_scored_inside_their_row(spark):
     dealt = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(dealt) == 1 and "hashpartitioning(number" in dealt[0] and "token" not in dealt[0]
     assert {r.number: r.licence for r in found.collect()}[1] == "Apache-2.0"
+
+
+def test_blocks_of_other_words_are_no_units(spark):
+    bags = licenses.template_tokens([*licenses.TEMPLATES.items()])
+    idf = {t: 2.0 for bag in bags.values() for t in bag}
+    text = "\n".join([*(["the version of this form is subject to many quite unlike rules and terms we never name"] * 5), EMBEDDED])
+    files = spark.createDataFrame([(1, text, False)], "number long, text string, is_licence boolean")
+    made = licenses.units(files, lambda t, unit=False: licenses.F.lit(True), idf, 9.0).collect()
+    assert {r.line for r in made if r.size == 1} == {"Licensed under the Apache License, Version 2.0."}
