@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 UNIT = 1 << 40
+#: Rows of a table that sum one histogram together.
+PART_ROWS = 50_000
 
 
 def _leaf(gradient: np.ndarray, weight: np.ndarray) -> float:
@@ -100,8 +102,17 @@ def unpacked(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _histograms(binned: DataFrame, model: dict, tree: tuple, open_nodes: int, width: int, bins: int) -> np.ndarray:
-    """Sums (gradient, weight, rows) by open node, feature and bin over all rows."""
+def in_parts(binned: DataFrame, rows: int) -> DataFrame:
+    """`binned`, of at most `rows` rows, in one part per `PART_ROWS` of them.
+
+    Each part gives a row per cell of its histogram on every level. Spread over more parts the same rows
+    give the same sums in many more rows, up to one per row and feature.
+    """
+    return binned.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
+def _partial_sums(binned: DataFrame, model: dict, tree: tuple, open_nodes: int, width: int, bins: int) -> DataFrame:
+    """Sums (slot, gradient, weight, n) of each part of `binned`, without its empty cells."""
     slots = open_nodes * width * bins
 
     def run(batches):
@@ -124,8 +135,14 @@ def _histograms(binned: DataFrame, model: dict, tree: tuple, open_nodes: int, wi
         met = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), *[pa.array(x[met]) for x in sums]], ["slot", "gradient", "weight", "n"])
 
-    found = binned.mapInArrow(run, "slot long, gradient long, weight long, n long").groupBy("slot").agg(F.sum("gradient"), F.sum("weight"), F.sum("n"))
-    out = np.zeros((slots, 3), np.int64)
+    return binned.mapInArrow(run, "slot long, gradient long, weight long, n long")
+
+
+def _histograms(binned: DataFrame, model: dict, tree: tuple, open_nodes: int, width: int, bins: int) -> np.ndarray:
+    """Sums (gradient, weight, rows) by open node, feature and bin over all rows."""
+    parts = _partial_sums(binned, model, tree, open_nodes, width, bins)
+    found = parts.groupBy("slot").agg(F.sum("gradient"), F.sum("weight"), F.sum("n"))
+    out = np.zeros((open_nodes * width * bins, 3), np.int64)
     for slot, *sums in found.collect():
         out[slot] = sums
     return out.reshape(open_nodes, width, bins, 3)
@@ -134,7 +151,7 @@ def _histograms(binned: DataFrame, model: dict, tree: tuple, open_nodes: int, wi
 def grow(binned: DataFrame, cuts: list[np.ndarray], trees: int = 40, depth: int = 3, rate: float = 0.3) -> tuple[dict, dict]:
     """The model that `fit` describes from all rows (bins, label, weight in `UNIT`, n) of a written table; it and its form on bins.
 
-    A row's bins are bytes, one a feature: the number of its cuts below the value.
+    A row's bins are bytes, one a feature: the number of its cuts below the value. The table is best written `in_parts`.
     """
     weights = {r["label"]: r["weight"] / UNIT for r in binned.groupBy("label").agg(F.sum("weight").alias("weight")).collect()}
     share = (weights.get(True, 0.0) + 0.5) / (sum(weights.values()) + 1.0)

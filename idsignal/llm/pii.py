@@ -426,7 +426,7 @@ def fit_model(found: DataFrame, name: str = "pii") -> tuple[dict, list[float]]:
     rows = stage(all_examples(values).withColumn("weight", example_weights(values)), f"{name}-examples")
     width = len(features(b"", 0, 0, 0))
     cuts = cut_points(rows.where("not held"), width)
-    binned = stage(in_bins(rows, cuts), f"{name}-binned")
+    binned = stage(boosting.in_parts(in_bins(rows, cuts), rows.count()), f"{name}-binned")
     model, on_bins = boosting.grow(binned.where("not held"), cuts)
     return model, thresholds(held_scores(binned.where("held"), on_bins, width))
 

@@ -62,3 +62,33 @@ def test_trees_of_a_table_are_those_of_its_rows(spark):
     rows = [(r.tobytes(), bool(y), boosting.UNIT, 1) for r, y in zip(bins, labels)]
     model, _ = boosting.grow(spark.createDataFrame(rows, "bins binary, label boolean, weight long, n long").repartition(5), cuts, trees=4)
     assert np.allclose(boosting.predict(model, table), boosting.predict(plain, table), atol=1e-6)
+
+
+def test_histograms_follow_the_rows_not_the_partitions(spark, monkeypatch):
+    """Many shuffle partitions: as many partial sums as in one part, and all rows in them."""
+    set_before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes",
+                                                 "spark.sql.files.maxPartitionBytes")}
+    written = {}
+    stage = pii.stage
+    monkeypatch.setattr(pii, "stage", lambda df, name: written.setdefault(name, stage(df, name)))
+    docs = spark.createDataFrame([(i, f"write to u{i}@host{i % 7}.com or call +1 (555) 010-{1000 + i}, will you") for i in range(300)], "doc_id long, text string")
+    try:
+        for key, value in zip(set_before, ("64", "false", "64k", "1m")):
+            spark.conf.set(key, value)
+        pii.fit_model(pii.collect_candidates(docs, ["doc_id"]), "many")
+        binned = written["many-binned"]
+        model, width = {"start": 0.0, "rate": 0.3, "trees": []}, len(pii.features(b"", 0, 0, 0))
+        made = [boosting._partial_sums(rows, model, (1.0,), 1, width, 33).count() for rows in (binned, binned.coalesce(1))]
+        counted = boosting._histograms(binned, model, (1.0,), 1, width, 33)[0, :, :, 2].sum(1)
+    finally:
+        for key, value in set_before.items():
+            spark.conf.set(key, value)
+    assert made[0] == made[1]
+    assert set(counted) == {written["many-examples"].count()}
+
+
+def test_parts_hold_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "PART_ROWS", 100)
+    rows = spark.range(950).repartition(40)
+    assert [boosting.in_parts(rows, n).rdd.getNumPartitions() for n in (0, 100, 101, 950)] == [1, 1, 2, 10]
+    assert boosting.in_parts(rows, 950).distinct().count() == 950
